@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
-from cairnlight.llm import splitting, tokens
+from cairnlight.llm import leakage, quality, splitting, tokens
 from cairnlight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,27 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "evidence"), "evidence_id", "chunk")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.unnatural(quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk"), "evidence_id")
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p7_ids)}
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.overlaps(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(p8_overlaps(spark, d)).select("item_id", "doc_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (
