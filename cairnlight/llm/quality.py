@@ -35,7 +35,7 @@ _END = r"[.!?。！？…][\"”’)\]]*$"
 _MARK = r"^(?:[-*•–·▪◦+]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)]|\([A-Zivx]+\)|\[[0-9]+\])\s+\p{L}"
 _NUMBER = r"^[<>~±+-]?[0-9][0-9.,]*%?$|^n/a$|^[±%|-]$"
 _WORD = r"^[(\"“‘¿¡]*\p{L}+(?:['’-]\p{L}+)*[.,;:!?)\"”’…]*$"
-FEATURES = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "marked_lines", "inline_marks", "leaders", "numbers", "cells", "wordlike", "sentence_ends", "other_ends", "words_a_line", "longest_share", "distinct", "letters", "upper", "vowels", "unspaced")
+FEATURES = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "marked_lines", "inline_marks", "leaders", "numbers", "cells", "wordlike", "sentence_ends", "other_ends", "words_a_line", "longest_share", "distinct", "letters", "upper", "vowels", "unspaced", "messy")
 
 
 def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,6 +70,7 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
         "letters": share(count(r"\p{L}"), chars),
         "upper": share(count(r"\p{Lu}"), chars),
         "vowels": share(count(r"(?i)[aeiouyäöüáéíóúàèùâêîôû]"), F.greatest(count(r"\p{L}"), F.lit(1))),
+        "messy": share(matching("_toks", r"(?:[\\/|;:'<>$#&~^*=_%].*){3,}"), n),
         "unspaced": share(count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"), chars),
     }
     return src.select(F.col(key), *[c.cast("double").alias(k) for k, c in cols.items()])
