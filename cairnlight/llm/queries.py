@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
-from cairnlight.llm import leakage, quality, splitting, tokens
+from cairnlight.llm import answers, leakage, quality, splitting, tokens
 from cairnlight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def _percentiles(spark: SparkSession, d: str, rel_error: float, once: bool) -> D
     return pct.percentiles(pct.combine(daily, ["model", "measure"]), ["model", "measure"])
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of both tables with its defect, null where it is sound."""
+    asked = table(spark, d, "questions_publaynet_text").select(F.lit("questions_publaynet_text").alias("src"), F.col("question_id").alias("row_id"), F.col("q").alias("prompt"), F.col("answer").alias("response"))
+    ran = table(spark, d, "metrics").select(F.lit("metrics").alias("src"), F.col("metric_id").alias("row_id"), F.col("question").alias("prompt"), F.col("generated").alias("response"))
+    return answers.pairs_with_defects(asked.unionByName(ran), answers.train_languages(table(spark, d, "documents"), "text", "lang"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).where(F.col("defect").isNotNull()).distinct()
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d, 0.0, False)
 
@@ -64,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(p8_overlaps(spark, d)).select("item_id", "doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (
