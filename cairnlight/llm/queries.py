@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
-from cairnlight.llm import answers, leakage, quality, splitting, tokens
+from cairnlight.llm import answers, leakage, quality, residue, splitting, tokens
 from cairnlight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "evidence"), "evidence_id", "chunk")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    captions = table(spark, d, "figure").select(F.lit("figure").alias("src"), F.col("figure_id").alias("row_id"), F.col("caption").alias("text"))
+    errors = table(spark, d, "gen_result").select(F.lit("gen_result").alias("src"), F.col("call_id").alias("row_id"), F.col("error").alias("text"))
+    return residue.residue_rows(captions.unionByName(errors), ["src", "row_id"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.unnatural(quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk"), "evidence_id")
 
@@ -75,7 +81,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(p8_overlaps(spark, d)).select("item_id", "doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (
