@@ -43,8 +43,8 @@ def combine(parts: DataFrame, group: list[str]) -> DataFrame:
     return parts.groupBy(*group, "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def percentiles(freq: DataFrame, group: list[str], probs: tuple[float, ...] = PROBS) -> DataFrame:
-    """(group..., prob, n, low, high): the bounds of each percentile; low = high where exact.
+def cumulative(freq: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., low, high, n, upto, size): how many values of the group reach up to each value, and its size.
 
     freq is written once to the shared folder in range-sorted form, because the partition a
     row falls into is sampled and must not change between the two reads.
@@ -58,7 +58,12 @@ def percentiles(freq: DataFrame, group: list[str], probs: tuple[float, ...] = PR
     same = [F.col("r.part") == F.col("e.part"), *[F.col(f"r.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group]]
     joined = ranged.alias("r").join(each.alias("e"), same).select("r.part", *[f"r.{g}" for g in group], "low", "high", "r.n", "offset", "size")
     running = Window.partitionBy("part", *group).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
-    upto = joined.withColumn("upto", F.col("offset") + F.sum("n").over(running))
+    return joined.select(*group, "low", "high", "n", (F.col("offset") + F.sum("n").over(running)).alias("upto"), "size")
+
+
+def percentiles(freq: DataFrame, group: list[str], probs: tuple[float, ...] = PROBS) -> DataFrame:
+    """(group..., prob, n, low, high): the bounds of each percentile; low = high where exact."""
+    upto = cumulative(freq, group)
 
     def reached(p: Column) -> Column:
         rank = F.greatest(F.lit(1), F.ceil(p * F.col("size")))

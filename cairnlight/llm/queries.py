@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
-from cairnlight.llm import answers, leakage, quality, residue, splitting, tokens
+from cairnlight.llm import answers, leakage, personal, quality, residue, splitting, tokens
 from cairnlight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _long(calls: DataFrame) -> DataFrame:
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("latency_ms", "cost_usd")])
+    return calls.select("model", "day", F.explode(measures).alias("x")).select("model", "day", "x.*")
+
+
 def _percentiles(spark: SparkSession, d: str, rel_error: float, once: bool) -> DataFrame:
     """Latency and cost per model: daily frequency tables, combined, then ranked."""
     calls = table(spark, d, "gen_result").select("call_id", "model", "latency_ms", "cost_usd", F.to_date("called_at").alias("day"))
     if once:
         calls = calls.dropDuplicates(["call_id"])
-    long = calls.select("model", "day", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("latency_ms", "cost_usd")])).alias("x")).select("model", "day", "x.*")
-    daily = pct.frequencies(long, ["model", "measure", "day"], "value", rel_error)
+    daily = pct.frequencies(_long(calls), ["model", "measure", "day"], "value", rel_error)
     return pct.percentiles(pct.combine(daily, ["model", "measure"]), ["model", "measure"])
 
 
@@ -47,6 +51,12 @@ def p2_percentiles_calls(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d, 0.0, True)
 
 
+def p2_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    """The cumulative frequency of every latency and cost per model: what all percentiles are read from."""
+    calls = table(spark, d, "gen_result").select("model", "latency_ms", "cost_usd", F.to_date("called_at").alias("day"))
+    return pct.cumulative(pct.combine(pct.frequencies(_long(calls), ["model", "measure", "day"], "value"), ["model", "measure"]), ["model", "measure"]).select("model", "measure", F.col("low").alias("value"), "n", "upto", "size")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "evidence"), "evidence_id", "chunk")
 
@@ -81,7 +91,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(p8_overlaps(spark, d)).select("item_id", "doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found_details(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "value").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_cumulative, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (
@@ -94,6 +112,14 @@ SELECT model, measure, prob, n::BIGINT AS n, value AS low, value AS high
 FROM ranked JOIN probs ON r = greatest(1, ceil(prob * n)::BIGINT)
 """
 SQL: dict[str, str] = {
+    "p2_cumulative": """
+WITH long AS (
+  SELECT model, 'latency_ms' AS measure, latency_ms AS value FROM gen_result WHERE latency_ms IS NOT NULL
+  UNION ALL SELECT model, 'cost_usd', cost_usd FROM gen_result WHERE cost_usd IS NOT NULL),
+counted AS (SELECT model, measure, value, count(*) AS n FROM long GROUP BY ALL)
+SELECT model, measure, value, n::BIGINT AS n, (sum(n) OVER (PARTITION BY model, measure ORDER BY value))::BIGINT AS upto, (sum(n) OVER (PARTITION BY model, measure))::BIGINT AS size
+FROM counted
+""",
     "p2_percentiles": _RANKS.format(calls="SELECT model, latency_ms, cost_usd FROM gen_result"),
     "p2_percentiles_calls": _RANKS.format(calls="SELECT DISTINCT ON (call_id) model, latency_ms, cost_usd FROM gen_result"),
     "p4_found": r"""
