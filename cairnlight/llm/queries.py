@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
-from cairnlight.llm import answers, leakage, personal, quality, residue, splitting, tokens
+from cairnlight.llm import answers, leakage, personal, quality, residue, scans, splitting, tokens
 from cairnlight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,25 @@ def p2_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return pct.cumulative(pct.combine(pct.frequencies(_long(calls), ["model", "measure", "day"], "value"), ["model", "measure"]), ["model", "measure"]).select("model", "measure", F.col("low").alias("value"), "n", "upto", "size")
 
 
+def _scans(spark: SparkSession, d: str) -> scans.Noise:
+    """All pages, and the chunks that are prose, with the document and number of their page."""
+    pages = table(spark, d, "ingest_doclaynet")
+    chunks = table(spark, d, "evidence").select("evidence_id", "source", "chunk")
+    prose = quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id")
+    place = pages.where(F.col("image_id").isNotNull()).groupBy(F.concat("image_id", F.lit(".txt")).alias("source")).agg(F.min(F.struct(F.col("original_filename").alias("doc"), F.col("page_no"))).alias("at"))
+    of_chunks = chunks.join(prose, "evidence_id", "left_semi").join(place, "source", "left").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_id"), F.col("chunk").alias("text"), "at.doc", "at.page_no")
+    of_pages = pages.select(F.lit("ingest_doclaynet").alias("src"), F.col("page_id").alias("row_id"), F.col("page_text").alias("text"), F.col("original_filename").alias("doc"), "page_no")
+    return scans.scan_noise(of_pages.unionByName(of_chunks))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).cases
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_scans(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "evidence"), "evidence_id", "chunk")
 
@@ -99,7 +118,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_cumulative, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_cumulative, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (
