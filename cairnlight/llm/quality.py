@@ -70,7 +70,7 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
         "letters": share(count(r"\p{L}"), chars),
         "upper": share(count(r"\p{Lu}"), chars),
         "vowels": share(count(r"(?i)[aeiouyäöüáéíóúàèùâêîôû]"), F.greatest(count(r"\p{L}"), F.lit(1))),
-        "messy": share(matching("_toks", r"(?:[\\/|;:'<>$#&~^*=_%].*){3,}"), n),
+        "messy": share(F.size(F.filter("_toks", lambda x: F.length(x) - F.length(F.translate(x, "\\/|;:'<>$#&~^*=_%", "")) >= 3)), n),
         "unspaced": share(count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"), chars),
     }
     return src.select(F.col(key), *[c.cast("double").alias(k) for k, c in cols.items()])
