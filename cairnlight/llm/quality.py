@@ -43,35 +43,36 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col("_t")
     src = df.select(F.col(key), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("_t"))
     src = src.withColumn("_toks", F.filter(F.split(t, r"[\s\u00a0\u3000]+"), lambda x: x != "")).withColumn("_lines", F.filter(F.transform(F.split(t, r"\n"), F.trim), lambda x: x != ""))
+    src = src.withColumn("_letters", F.regexp_replace(t, r"[^\p{L}]+", "")).withColumn("_words", F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)))
     n, lines = F.size("_toks"), F.size("_lines")
     some = F.when(t.isNotNull() & (n > 0), True)
     chars = F.length(F.regexp_replace(t, r"[\s\u00a0\u3000]+", ""))
     share = lambda part, whole: F.when(some, part / F.greatest(whole, F.lit(1)))
     matching = lambda arr, pattern: F.size(F.filter(arr, lambda x: x.rlike(pattern)))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    bare = F.transform("_toks", lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "")))
+    less = lambda c, marks: F.length(c) - F.length(F.translate(c, marks, ""))
     cols: dict[str, Column] = {
         "words": F.when(some, n),
         "mean_word_length": share(chars, n),
         "symbol_ratio": share(count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]"), chars),
         "punctuated_lines": share(matching("_lines", _END), lines),
-        "common_words": share(F.size(F.filter(bare, lambda w: w.isin(COMMON))), n),
+        "common_words": share(F.size(F.filter("_words", lambda w: w.isin(COMMON))), n),
         "marked_lines": share(matching("_lines", _MARK), lines),
         "inline_marks": share(count(r"(?:^|\s)(?:[-*•▪◦]|[0-9]{1,3}[.)]|\([a-z]\)|\[[0-9]{1,3}\])\s+(?=\p{L})"), n),
         "leaders": share(count(r"\.{4,}|…{2,}"), n),
         "numbers": share(matching("_toks", _NUMBER), n),
-        "cells": share(count(r"\t|\||;|(?<=\S)  +(?=\S)|(?<=[\p{L}\p{N}%]),(?=[\p{L}\p{N}<-])"), n),
+        "cells": share(less(t, "\t|;") + count(r"\S  +(?=\S)") + count(r"[\p{L}\p{N}%],(?=[\p{L}\p{N}<-])"), n),
         "wordlike": share(matching("_toks", _WORD), n),
         "sentence_ends": share(count(r"(?<=[\p{L}%°)\]])\.(?:\s|$)|。"), n),
         "other_ends": share(count(r"[;:!?](?:\s|$)"), n),
         "words_a_line": share(n, lines),
         "longest_share": share(F.array_max(F.transform("_toks", F.length)), chars),
         "distinct": share(F.size(F.array_distinct("_toks")), n),
-        "letters": share(count(r"\p{L}"), chars),
-        "upper": share(count(r"\p{Lu}"), chars),
-        "vowels": share(count(r"(?i)[aeiouyäöüáéíóúàèùâêîôû]"), F.greatest(count(r"\p{L}"), F.lit(1))),
-        "messy": share(F.size(F.filter("_toks", lambda x: F.length(x) - F.length(F.translate(x, "\\/|;:'<>$#&~^*=_%", "")) >= 3)), n),
-        "unspaced": share(count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"), chars),
+        "letters": share(F.length("_letters"), chars),
+        "upper": share(F.regexp_count("_letters", F.lit(r"\p{Lu}")), chars),
+        "vowels": share(less(F.lower("_letters"), "aeiouyäöüáéíóúàèùâêîôû"), F.greatest(F.length("_letters"), F.lit(1))),
+        "messy": share(F.size(F.filter("_toks", lambda x: less(x, "\\/|;:'<>$#&~^*=_%") >= 3)), n),
+        "unspaced": share(F.regexp_count("_letters", F.lit(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")), chars),
     }
     return src.select(F.col(key), *[c.cast("double").alias(k) for k, c in cols.items()])
 
@@ -107,6 +108,7 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
     "list.marked": ("- dry leaf\n- cold water\n- thin layer\n- open flow\n- late bloom", "List of plates\n• slow growth\n• clean edge\n• dark ring\n• broken stem", "Required light steps:\n* warm lamp\n* low angle\n* short pulse\n* wide beam"),
     "list.numbered": ("1. dry leaf\n2. cold water\n3. thin layer\n4. open flow", "1) slow growth\n2) clean edge\n3) dark ring\n4) broken stem", "(a) warm lamp\n(b) low angle\n(c) short pulse\n(d) wide beam", "List of lamps\n[1] slow growth\n[2] clean edge\n[3] dark ring", "Required light steps:\n1. warm lamp\n2. low angle\n3. short pulse\n4. wide beam", "List of plates\n1. heliol, edge class 4\n2. barolin, ring grade 2\n3. fenotan, stem type 7"),
     "list.sentences": ("- check the dry leaf;\n- check the cold water;\n- check the thin layer;\n- check the open flow;", "1. Record the weight of all plates.\n2. Record the colour of all plates.\n3. Record the growth of all plants.\n4. Record the loss of all plants.", "Required light steps:\n(a) check the warm lamp;\n(b) check the low angle;\n(c) check the short pulse;"),
+    "list.checks": ("check the dry leaf;\ncheck the cold water;\ncheck the thin layer;\ncheck the open flow;", "List of plates\ncheck the slow growth;\ncheck the clean edge;\ncheck the dark ring;", "Record the weight of all plates.\nRecord the colour of all plates.\nRecord the growth of all plants.\nRecord the loss of all plants."),
     "list.bare": ("dry leaf\ncold water\nthin layer\nopen flow\nlate bloom\nslow growth", "clean edge\ndark ring\nbroken stem\nwarm lamp\nlow angle", "heliol, edge class 4\nbarolin, ring grade 2\nfenotan, stem type 7\nmoradin, lamp class 3"),
     "list.items": ("- heliol, edge class 4\n- barolin, ring grade 2\n- fenotan, stem type 7\n- moradin, lamp class 3", "List of plates\n(a) heliol, edge class 4\n(b) barolin, ring grade 2\n(c) fenotan, stem type 7", "1) heliol, edge class 4\n2) barolin, ring grade 2\n3) fenotan, stem type 7\n4) moradin, lamp class 3"),
     "list.leaders": ("Growth ........ 12\nEdge ........ 31\nRing ........ 58\nStem ........ 77", "1. Growth ........ 12\n2. Edge ........ 31\n3. Ring ........ 58\n4. Stem ........ 77", "List of lamps\n- Growth ........ 12\n- Edge ........ 31\n- Ring ........ 58"),
@@ -126,11 +128,12 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
     "junk.consonants": ("x xghgc ' jt'' gsv.j|. g 1ftbqq r bh'lxf pxlz cll||'h cI fb.s s'hlpvf glib. rxvl zr vllv.m", "d xd h.cj ljin. f1 jdl ' xx d. fgcIhq v1 wmc' fqknklI rmmvc l ' mrdgI nvjnr|d"),
     "junk.vowels": (_GIBBER, "xaoeaxqj! kexjqajw; aixkooju: uiok: xiiaqwkq! vejawukkz? uvkkvivz; akouu; uxkuxzou! ezuw: okqwx"),
     "junk.repeat": ("page page page page page page page page page page page page page page page page", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0"),
+    "junk.function": ("the of the of the of the of the of the of the of the of the of", "of the and of the and of the and of the and of the and of the and"),
     "junk.rules": ("....................\n|\n________________\n~~\n|\n-- --\n:;.,\n~~", "====\n~~\n:;.,\n|\n-- --\n____________\n|\n~~"),
 }
 ANCHOR = 30.0  # rows that one group of examples weighs
 RIDGE = 0.02  # added to the variances of standardized statistics
-PASSES = 10
+PASSES = 5
 
 
 def _prepared(frame: pd.DataFrame) -> np.ndarray:
