@@ -42,7 +42,7 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, one column per statistic), null for null and blank texts; no shuffle, no Python."""
     t = F.col("_t")
     src = df.select(F.col(key), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("_t"))
-    src = src.withColumn("_toks", F.filter(F.split(t, r"[\s\u00a0\u3000]+"), lambda x: x != "")).withColumn("_lines", F.filter(F.transform(F.split(t, r"\n"), F.trim), lambda x: x != ""))
+    src = src.withColumn("_toks", F.filter(F.split(t, r"[\s\u00a0\u3000]+"), lambda x: x != "")).withColumn("_lines", F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != ""))
     src = src.withColumn("_letters", F.regexp_replace(t, r"[^\p{L}]+", "")).withColumn("_words", F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)))
     n, lines = F.size("_toks"), F.size("_lines")
     some = F.when(t.isNotNull() & (n > 0), True)
