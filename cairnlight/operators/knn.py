@@ -29,8 +29,8 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def top_k_sql(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
     """queries (qid, v), corpus (id, v): all pairs inside the JVM."""
-    q = queries.select("qid", l2_normalised(F.col("v")).alias("qv"))
-    c = corpus.select("id", l2_normalised(F.col("v")).alias("cv"))
+    q = queries.where("v is not null").select("qid", l2_normalised(F.col("v")).alias("qv"))
+    c = corpus.where("v is not null").select("id", l2_normalised(F.col("v")).alias("cv"))
     pairs = c.join(F.broadcast(q), F.lit(True) if keep_self else F.col("id") != F.col("qid")).select("qid", "id", F.round(inner_product("qv", "cv"), DIGITS).alias("score"))
     return ranked(pairs, k)
 

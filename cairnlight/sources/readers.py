@@ -125,7 +125,7 @@ def docbank_tokens(rows: DataFrame) -> DataFrame:
 def hotpot_paragraphs(rows: DataFrame) -> DataFrame:
     """(id, ord, title, paragraph): sentences trimmed, blank ones dropped, joined by a space."""
     z = F.posexplode(F.arrays_zip(F.col("context.title").alias("t"), F.col("context.sentences").alias("s")))
-    return rows.select("id", z.alias("ord", "z")).select("id", "ord", F.col("z.t").alias("title"), F.array_join(F.filter(F.transform("z.s", F.trim), lambda x: x != ""), " ").alias("paragraph"))
+    return rows.select("id", z.alias("ord", "z")).select("id", "ord", F.col("z.t").alias("title"), F.array_join(F.filter(F.transform("z.s", lambda x: F.trim(x)), lambda x: x != ""), " ").alias("paragraph"))
 
 
 def gold_questions(rows: DataFrame, files: DataFrame) -> DataFrame:
