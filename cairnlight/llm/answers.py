@@ -33,6 +33,7 @@ SUPPORT = 8  # places a context must have been seen at
 END = 0.2  # a response whose last context ends texts less often than this breaks off
 WORD_END = 0.02  # likewise for a last word that elsewhere begins longer words
 MARGIN = 7.0  # log odds by which a response must be in another language
+CLEAR = 2.0  # log odds by which the prompt must be in its own
 
 # Stand-ins for nothing and phrases of those who decline to answer.
 NOTHING = frozenset("n/a na n.a. none null nil nan nothing empty blank tbd unknown undefined k.a. no_answer s/o nd n.d. not_available no_response".split())
@@ -113,7 +114,8 @@ def other_language(languages: Languages, prompt: str, response: str, margin: flo
     said, asked = languages.scores(trigrams(response, shared)), languages.scores(trigrams(prompt))
     own = max(range(len(asked)), key=asked.__getitem__)
     best = max(range(len(said)), key=said.__getitem__)
-    return best != own and said[best] - said[own] > margin
+    clear = asked[own] - max(x for k, x in enumerate(asked) if k != own) > CLEAR
+    return clear and best != own and said[best] - said[own] > margin
 
 
 # --- rules -------------------------------------------------------------------------------
