@@ -153,7 +153,7 @@ def test_defects(spark):
     full = ["The mean rate of the plates was 5.2 mg after the light had been turned off."] * 30
     rows = [("What was the mean rate of the plates?", t) for t in full]
     odd = [
-        ("What was the rate?", None, "empty"), ("Why?", " ​", "empty"), ("Why?", "N/A", "empty"), ("How many?", "0", None), ("Why so?", "None of the plates", None),
+        ("What was the rate?", None, "empty"), ("Why?", " ​", "empty"), ("Why?", "N/A", "empty"), ("How many?", "0", None), ("Why so?", "Yes", None),
         ("How many plates showed growth?", "Q: how many plates showed growth", "copied"), ("How many plates showed growth?", "How many plates showed growth? In total 5 of the plates showed growth.", None),
         ("How many?", "I'm sorry, but I can't help with that.", "refusal"), ("Wie viele?", "Dabei kann ich nicht helfen.", "refusal"), ("Why?", "The guidelines do not allow salt in water.", None), ("Why?", "32 patients declined to take part.", None),
         ("What was the rate of the flow in the water?", de, "language"), ("Wie war die Rate der Strömung in dem Wasser?", de, None),
