@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,6 +65,14 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if its rows, counted now, fit the bound; else as it is, to be joined by a shuffle.
+
+    For frames that are stored already: the count reads them.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a frame that has fewer partitions than there are cores.
 
