@@ -74,9 +74,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> D
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than there are cores.
+    """Round-robin a frame that is read in fewer splits than there are cores.
 
-    A no-op for inputs of many files; keeps Python stages of single-file inputs parallel.
+    A no-op for inputs of many or large files; keeps Python stages of small single-file inputs
+    parallel. Only file names and sizes are looked at: nothing is planned or run.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    split = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if size >= split * cores else df.repartition(cores)

@@ -135,7 +135,7 @@ def test_attempt_budget_stops(spark):
 
 def test_garbled(spark):
     vocabulary = spark.createDataFrame([("mean",), ("rate",)], "word string")
-    data = [("a", "uCnpeiNn mean"), ("b", "Yemnapest mean"), ("c", "mean rate xyzzy"), ("d", "p70 qqqq"), ("e", "WHO BMI"), ("f", "no"), ("g", ""), ("h", None)]
+    data = [("a", "gRtopAl mean"), ("b", "Qlorvest mean"), ("c", "mean rate xyzzy"), ("d", "p70 qqqq"), ("e", "WHO BMI"), ("f", "no"), ("g", ""), ("h", None)]
     got = {r.k: r.garbled for r in audit.garbled(spark.createDataFrame(data, "k string, t string"), "k", "t", vocabulary).collect()}
     assert {k for k, v in got.items() if v} == {"a", "b"}
 
