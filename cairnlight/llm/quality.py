@@ -226,17 +226,26 @@ def _prepared(frame: pd.DataFrame) -> np.ndarray:
     return x
 
 
-def _log_density(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(weight)))
-    for k in range(len(weight)):
-        chol = np.linalg.cholesky(cov[k])
-        z = np.linalg.solve(chol, (x - mean[k]).T)
-        out[:, k] = np.log(weight[k]) - np.log(np.diag(chol)).sum() - 0.5 * (z * z).sum(0)
-    return out
+_PAIRS = np.triu_indices(len(FEATURES))
 
 
-def _posterior(x: np.ndarray, model: dict) -> np.ndarray:
-    d = _log_density((x - model["center"]) / model["scale"], model["weight"], model["mean"], model["cov"])
+def _monomials(z: np.ndarray) -> np.ndarray:
+    """1, all statistics and all their products: densities and moments are linear in them."""
+    return np.hstack([np.ones((len(z), 1)), z, z[:, _PAIRS[0]] * z[:, _PAIRS[1]]])
+
+
+def _weights(model: dict) -> np.ndarray:
+    """The log densities of the components as coefficients of the monomials."""
+    out = []
+    for w, mean, cov in zip(model["weight"], model["mean"], model["cov"]):
+        inverse = np.linalg.inv(cov)
+        square = -0.5 * inverse * (2 - np.eye(len(mean)))  # products of two statistics stand once
+        out.append(np.concatenate([[np.log(w) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * mean @ inverse @ mean], inverse @ mean, square[_PAIRS]]))
+    return np.array(out).T
+
+
+def _posterior(x: np.ndarray, model: dict, weights: np.ndarray | None = None, moments: np.ndarray | None = None) -> np.ndarray:
+    d = (_monomials((x - model["center"]) / model["scale"]) if moments is None else moments) @ (_weights(model) if weights is None else weights)
     d -= d.max(1, keepdims=True)
     p = np.exp(d)
     return p / p.sum(1, keepdims=True)
@@ -289,23 +298,20 @@ def fit(stats: DataFrame, passes: int = PASSES) -> dict:
 
         def expect(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             m = now.value
-            k = len(m["weight"])
-            n, s, ss = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+            weights, sums = _weights(m), 0.0
             for f in frames:
-                x = _prepared(f)
-                p = _posterior(x, m)
-                z = (x - m["center"]) / m["scale"]
-                n += p.sum(0)
-                s += p.T @ z
-                for j in range(k):
-                    ss[j] += (z * p[:, j : j + 1]).T @ z
-            yield pd.DataFrame({"k": np.arange(k), "n": n, "s": list(s), "ss": list(ss.reshape(k, -1))})
-
-        sums = stats.select(*cols).mapInPandas(expect, "k int, n double, s array<double>, ss array<double>")
+                phi = _monomials((_prepared(f) - m["center"]) / m["scale"])
+                sums = sums + _posterior(None, m, weights, phi).T @ phi
+            if not np.isscalar(sums):
+                yield pd.DataFrame({"k": np.arange(len(sums)), "m": list(sums)})
+
+        sums = stats.select(*cols).mapInPandas(expect, "k int, m array<double>")
         # summed per component in the executors; components x statistics^2 numbers come back
-        flat = sums.select("k", F.posexplode(F.concat(F.array("n"), "s", "ss")).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
-        v = flat["v"].to_numpy().reshape(len(groups), 1 + d + d * d)
-        _update(held[0] + v[:, 0], held[1] + v[:, 1 : 1 + d], held[2] + v[:, 1 + d :].reshape(-1, d, d), model)
+        flat = sums.select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
+        v = flat["v"].to_numpy().reshape(len(groups), -1)
+        second = np.zeros((len(groups), d, d))
+        second[:, _PAIRS[0], _PAIRS[1]] = second[:, _PAIRS[1], _PAIRS[0]] = v[:, 1 + d :]
+        _update(held[0] + v[:, 0], held[1] + v[:, 1 : 1 + d], held[2] + second, model)
         now.unpersist()
     # what a component is follows from the examples it answers for
     said = (_posterior(ex, model)[:, :, None] * (fixed / fixed.sum(1, keepdims=True))[:, None, :]).sum(0)
