@@ -13,7 +13,6 @@ Duplicate rows are each classified (equal texts alike).
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ der die das den dem des und ist war wurde von mit zu im ein eine einer nicht auf
 le la les un une des du et est était a été que qui ne pas par pour dans sur de au aux ce cette ces se sont l d il elle leur avec après malgré ni
 el los las una y es fue era que no se por para en del al con este esta estos su sus cada durante después o pero como más lo
 """.split()  # noqa: SIM905
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _END = r"[.!?。！？…][\"”’)\]]*$"
 _MARK = r"^(?:[-*•–·▪◦+]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)]|\([A-Zivx]+\)|\[[0-9]+\])\s+\p{L}"
 _NUMBER = r"^[<>~±+-]?[0-9][0-9.,]*%?$|^n/a$|^[±%|-]$"
@@ -47,11 +47,11 @@ def statistics_sql(df: DataFrame, key: str, text: str) -> DataFrame:
     the cost, because nearly all of them are sums over tokens, and tokens repeat."""
     t = F.col("_t")
     src = df.select(F.col(key), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("_t"))
-    src = src.withColumn("_toks", F.filter(F.split(t, r"[\s\u00a0\u3000]+"), lambda x: x != "")).withColumn("_lines", F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    src = src.withColumn("_toks", F.filter(F.split(t, _SPACE + "+"), lambda x: x != "")).withColumn("_lines", F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != ""))
     src = src.withColumn("_letters", F.regexp_replace(t, r"[^\p{L}]+", "")).withColumn("_words", F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)))
     n, lines = F.size("_toks"), F.size("_lines")
     some = F.when(t.isNotNull() & (n > 0), True)
-    chars = F.length(F.regexp_replace(t, r"[\s\u00a0\u3000]+", ""))
+    chars = F.length(F.regexp_replace(t, _SPACE + "+", ""))
     share = lambda part, whole: F.when(some, part / F.greatest(whole, F.lit(1)))
     matching = lambda arr, pattern: F.size(F.filter(arr, lambda x: x.rlike(pattern)))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
@@ -63,7 +63,7 @@ def statistics_sql(df: DataFrame, key: str, text: str) -> DataFrame:
         "punctuated_lines": share(matching("_lines", _END), lines),
         "common_words": share(F.size(F.filter("_words", lambda w: w.isin(COMMON))), n),
         "marked_lines": share(matching("_lines", _MARK), lines),
-        "inline_marks": share(count(r"(?:^|\s)(?:[-*•▪◦]|[0-9]{1,3}[.)]|\([a-z]\)|\[[0-9]{1,3}\])\s+(?=\p{L})"), n),
+        "inline_marks": share(count(rf"(?:^|{_SPACE})(?:[-*•▪◦]|[0-9]{{1,3}}[.)]|\([a-z]\)|\[[0-9]{{1,3}}\]){_SPACE}+(?=\p{{L}})"), n),
         "leaders": share(count(r"\.{4,}|…{2,}"), n),
         "numbers": share(matching("_toks", _NUMBER), n),
         "cells": share(less(t, "\t|;") + count(r"\S  +(?=\S)") + count(r"[\p{L}\p{N}%],(?=[\p{L}\p{N}<-])"), n),
@@ -82,9 +82,9 @@ def statistics_sql(df: DataFrame, key: str, text: str) -> DataFrame:
     return src.select(F.col(key), *[c.cast("double").alias(k) for k, c in cols.items()])
 
 
-_PER_TOKEN = ("chars", "symbols", "common", "leaders", "numbers", "cells", "wordlike", "sentence_ends", "other_ends", "letters", "upper", "vowels", "messy", "unspaced", "longest")
+_PER_TOKEN = ("chars", "symbols", "common", "leaders", "numbers", "cells", "wordlike", "sentence_ends", "other_ends", "letters", "upper", "vowels", "messy", "unspaced", "mark", "alpha", "longest")
 _RX = {k: regex.compile(p) for k, p in {"symbols": r"[^\p{L}\p{N}\s.,;:!?'\"()-]", "leaders": r"\.{4,}|…{2,}", "numbers": _NUMBER, "commas": r"[\p{L}\p{N}%],(?=[\p{L}\p{N}<-])", "word": _WORD, "stop": r"(?<=[\p{L}%°)\]])\.$", "letter": r"[^\p{L}]+", "upper": r"\p{Lu}", "cjk": r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"}.items()}
-_GAP, _WIDE, _LINE_MARK, _LINE_END = regex.compile(r"[ \t\n\x0b\f\r\u00a0\u3000]+"), regex.compile(r"\S  +(?=\S)"), regex.compile(_MARK), regex.compile(_END)
+_WIDE, _LINE_MARK, _LINE_END = regex.compile(r"\S  +(?=\S)"), regex.compile(_MARK), regex.compile(_END)
 _INLINE = regex.compile(r"(?:[-*•▪◦]|[0-9]{1,3}[.)]|\([a-z]\)|\[[0-9]{1,3}\])$")
 _VOWELS, _MESSY, _COMMON = frozenset("aeiouyäöüáéíóúàèùâêîôû"), frozenset("\\/|;:'<>$#&~^*=_%"), frozenset(COMMON)
 
@@ -95,7 +95,7 @@ def _token(t: str) -> tuple[float, ...]:
     low = letters.lower()
     return (
         len(t), len(_RX["symbols"].findall(t)), sum(w in _COMMON for w in _RX["letter"].split(t.lower())), len(_RX["leaders"].findall(t)), bool(_RX["numbers"].search(t)), t.count("|") + t.count(";") + len(_RX["commas"].findall(t)), bool(_RX["word"].search(t)),
-        bool(_RX["stop"].search(t)) + t.count("。"), t[-1] in ";:!?", len(letters), len(_RX["upper"].findall(letters)), sum(c in _VOWELS for c in low), sum(c in _MESSY for c in t) >= 3, len(_RX["cjk"].findall(letters)), len(t),
+        bool(_RX["stop"].search(t)) + t.count("。"), t[-1] in ";:!?", len(letters), len(_RX["upper"].findall(letters)), sum(c in _VOWELS for c in low), sum(c in _MESSY for c in t) >= 3, len(_RX["cjk"].findall(letters)), bool(_INLINE.match(t)), t[0].isalpha(), len(t),
     )
 
 
@@ -104,13 +104,19 @@ class _Tokens(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[float, ...]] = []
+        self.rows: list[tuple[float, ...]] = []  # not yet in the table
+        self.table = np.empty((0, len(_PER_TOKEN)))
 
     def __missing__(self, t: str) -> int:
-        self[t] = n = len(self.rows)
+        self[t] = n = len(self.table) + len(self.rows)
         self.rows.append(_token(t))
         return n
 
+    def sums(self) -> np.ndarray:
+        if self.rows:
+            self.table, self.rows = np.vstack([self.table, np.array(self.rows, float)]), []
+        return self.table
+
 
 def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     known = _Tokens()
@@ -119,27 +125,31 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
             known = _Tokens()
         at, ids, ends, own = [], [], [0], []
         for i, t in enumerate(f.iloc[:, 1]):
-            toks = [x for x in _GAP.split(t) if x] if t else []
+            toks = t.split() if t else []
             if not toks:
                 continue
             t = t.replace("\r\n", "\n").replace("\r", "\n")
             lines = [x for x in (y.strip(" ") for y in t.split("\n")) if x]
-            marks = sum(1 for a, b in itertools.pairwise(toks) if len(a) < 6 and b[0].isalpha() and _INLINE.match(a))
             at.append(i)
             ids += [known[x] for x in toks]
             ends.append(len(ids))
-            own.append((len(toks), len(lines), sum(1 for x in lines if _LINE_END.search(x)), sum(1 for x in lines if _LINE_MARK.match(x)), marks, t.count("\t") + len(_WIDE.findall(t)), len(set(toks))))
+            own.append((len(toks), len(lines), sum(1 for x in lines if _LINE_END.search(x)), sum(1 for x in lines if _LINE_MARK.match(x)), t.count("\t") + len(_WIDE.findall(t)), len(set(toks))))
         out = pd.DataFrame({key: f.iloc[:, 0]})
         for c in FEATURES:
             out[c] = np.nan
         if at:
-            rows = np.array(known.rows, float)[np.array(ids)]
+            rows = known.sums()[np.array(ids)]
+            # an inline mark is one that a word follows in the same text
+            mark, alpha = _PER_TOKEN.index("mark"), _PER_TOKEN.index("alpha")
+            follows = np.append(rows[1:, alpha], 0)
+            follows[np.array(ends[1:]) - 1] = 0
+            rows[:, mark] *= follows
             v = dict(zip(_PER_TOKEN, np.add.reduceat(rows, ends[:-1]).T))
             v["longest"] = np.maximum.reduceat(rows[:, -1], ends[:-1])
-            n, lines, punctuated, marked, inline, wide, distinct = np.array(own, float).T
+            n, lines, punctuated, marked, wide, distinct = np.array(own, float).T
             lines, letters = np.maximum(lines, 1), np.maximum(v["letters"], 1)
             values = {
-                "words": n, "mean_word_length": v["chars"] / n, "symbol_ratio": v["symbols"] / v["chars"], "punctuated_lines": punctuated / lines, "common_words": v["common"] / n, "marked_lines": marked / lines, "inline_marks": inline / n, "leaders": v["leaders"] / n, "numbers": v["numbers"] / n,
+                "words": n, "mean_word_length": v["chars"] / n, "symbol_ratio": v["symbols"] / v["chars"], "punctuated_lines": punctuated / lines, "common_words": v["common"] / n, "marked_lines": marked / lines, "inline_marks": v["mark"] / n, "leaders": v["leaders"] / n, "numbers": v["numbers"] / n,
                 "cells": (v["cells"] + wide) / n, "wordlike": v["wordlike"] / n, "sentence_ends": v["sentence_ends"] / n, "other_ends": v["other_ends"] / n, "words_a_line": n / lines, "longest_share": v["longest"] / v["chars"], "distinct": distinct / n, "letters": v["letters"] / v["chars"], "upper": v["upper"] / v["chars"],
                 "vowels": v["vowels"] / letters, "messy": v["messy"] / n, "unspaced": v["unspaced"] / v["chars"],
             }
