@@ -137,7 +137,9 @@ def is_copy(prompt: str | None, response: str) -> bool:
         prev = 0
         for j, y in enumerate(a):
             prev, row[j + 1] = row[j + 1], prev + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1] >= 0.8 * len(a) and row[-1] >= 0.5 * len(q)
+    # what is no question must be a part of the prompt word by word: answers repeat the prompt's words in another order
+    asks = regex.search(r"\?[\s\"'”»?]*$", response) is not None
+    return row[-1] >= (0.8 * len(a) if asks else len(a)) and row[-1] >= 0.5 * len(q)
 
 
 def is_refusal(response: str) -> bool:
