@@ -133,7 +133,7 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
             at.append(i)
             ids += [known[x] for x in toks]
             ends.append(len(ids))
-            own.append((len(toks), len(lines), sum(1 for x in lines if _LINE_END.search(x)), sum(1 for x in lines if _LINE_MARK.match(x)), t.count("\t") + len(_WIDE.findall(t)), len(set(toks))))
+            own.append((len(toks), len(lines), sum(1 for x in lines if _LINE_END.search(x[-40:])), sum(1 for x in lines if _LINE_MARK.match(x)), t.count("\t") + len(_WIDE.findall(t)), len(set(toks))))
         out = pd.DataFrame({key: f.iloc[:, 0]})
         for c in FEATURES:
             out[c] = np.nan
