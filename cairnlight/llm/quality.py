@@ -59,7 +59,7 @@ def statistics_sql(df: DataFrame, key: str, text: str) -> DataFrame:
     cols: dict[str, Column] = {
         "words": F.when(some, n),
         "mean_word_length": share(chars, n),
-        "symbol_ratio": share(count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]"), chars),
+        "symbol_ratio": share(count(r"[^\p{L}\p{N}\s\x0b\x1c-\x1f\x85\p{Z}.,;:!?'\"()-]"), chars),
         "punctuated_lines": share(matching("_lines", _END), lines),
         "common_words": share(F.size(F.filter("_words", lambda w: w.isin(COMMON))), n),
         "marked_lines": share(matching("_lines", _MARK), lines),
