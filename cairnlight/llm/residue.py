@@ -5,7 +5,14 @@ and bars) and reduced to forms (case, digits and identifiers folded). Forms that
 residue by RULES are the trusted labels. Near-duplicate forms are found with partitioned
 SimHash tables: the 64 bits in 6 blocks, one table for each choice of 3 blocks, which loses
 no pair at a Hamming distance of 3 or less; pairs are verified by that distance and by edit
-similarity (0.8 or more). Labels then spread through the connected components.
+similarity (0.8 or more). Labels spread through the connected components, and then from the
+labelled forms to all others of edit similarity 0.8 or more until none is left: candidates
+are compared in blocks of like length by the character pairs and characters they do not
+share, at most two and one an edit, which loses no pair; edit distance verifies them. That costs labelled times other
+forms of like length.
+
+A label does not pass to a form that is as similar (0.8 or more) to what remains of the
+trusted form without its slots, notes and filler: it may well be the sound text around them.
 
 Everything runs on distinct values; buckets are joined inside the JVM under the distance
 condition, so no group is collected and pairs that fail it are never emitted. Null, empty
@@ -28,6 +35,7 @@ from cairnlight.session import dropped, spread, stored
 
 HAMMING, SIMILARITY = 3, 0.8
 BLOCKS = (11, 11, 11, 11, 10, 10)
+SKETCH, LETTERS, BLOCK = 512, 64, 2000  # bits of a form's character pairs, counts of its characters; forms compared at once
 SALTS = 16  # copies of the verdicts, so that a frequent value is not joined in one task
 LONGEST = 2000  # characters of a part that the near-duplicate search compares; rules see whole texts
 
@@ -81,6 +89,19 @@ def trusted(text: Column) -> Column:
     return hit | ((F.size(words) >= 4) & (latin >= 0.6 * F.size(words)))
 
 
+def bare(text: Column) -> Column:
+    """What remains without slots, notes and filler; null where a page or a script notice is in it."""
+    hit = F.lit(False)
+    for p in (*PAGES, *SCRIPTS):
+        hit = hit | F.lower(text).rlike(p)
+    left = text
+    for p in SLOTS:
+        left = F.regexp_replace(left, p, " ")
+    for p in (*NOTES, *FILLER):
+        left = F.regexp_replace(left, f"(?i){p}", " ")
+    return F.when(~hit, left)
+
+
 def parts(text: Column) -> Column:
     """The text and the stretches it consists of."""
     cut = F.split(text, r"(?<=[.!?…])\s+|\s+[-–—|]\s+|\s*\n+\s*|(?<=\w):\s+")
@@ -142,15 +163,84 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sketch(text: str) -> bytes:
+    """SKETCH bits of the hashed character pairs of a text, then LETTERS counts of its hashed characters, 255 at most."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[((codes[:-1] * 1_000_003 + codes[1:]) * 0x9E3779B1 >> 16) % SKETCH] = 1
+    return np.packbits(bits).tobytes() + np.minimum(np.bincount((codes % LETTERS).astype(np.int64), minlength=LETTERS), 255).astype(np.uint8).tobytes()
+
+
+def _sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"id": f["id"], "length": f["form"].str.len().astype("int32"), "sketch": [_sketch(t) for t in f["form"]]})
+
+
+def _candidates(similarity: float):
+    def unpacked(block: list) -> tuple:
+        raw = np.frombuffer(b"".join(x["sketch"] for x in block), np.uint8).reshape(len(block), -1)
+        pairs = np.unpackbits(raw[:, : SKETCH // 8], axis=1).astype(np.float32)
+        return np.array([x["id"] for x in block], np.int64), np.array([x["length"] for x in block], np.float64), pairs, raw[:, SKETCH // 8 :].astype(np.int16)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for xs, ys in zip(f["xs"], f["ys"]):
+                (a, n, p, c), (b, m, q, e) = unpacked(xs), unpacked(ys)
+                most = np.floor((1 - similarity) * np.maximum(n[:, None], m) + 1e-9)
+                i, j = np.nonzero((np.abs(n[:, None] - m) <= most) & (np.maximum(p.sum(1)[:, None], q.sum(1)) - p @ q.T <= 2 * most))
+                for k in range(0, len(i), 100_000):
+                    u, v = i[k : k + 100_000], j[k : k + 100_000]
+                    more = c[u] - e[v]
+                    ok = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most[u, v]
+                    yield pd.DataFrame({"a": a[u[ok]], "b": b[v[ok]]})
+
+    return run
+
+
+def _blocks(sketches: DataFrame, similarity: float, name: str) -> DataFrame:
+    """(band, name): blocks of about BLOCK forms whose lengths differ by a factor of less than the similarity."""
+    banded = sketches.withColumn("band", F.floor(F.log(F.col("length").cast("double")) / (-1.01 * float(np.log(similarity)))).cast("int"))
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    return banded.join(sizes, "band").groupBy("band", F.pmod(F.xxhash64("id"), "cuts").alias("cut")).agg(F.collect_list(F.struct("id", "length", "sketch")).alias(name)).drop("cut")
+
+
+def within(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of edit similarity or more over which a label can pass; forms has id, form, sure and bare."""
+    x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}"), F.col("sure").alias(f"s{k}"), F.col("bare").alias(f"r{k}")) for k in "ab")
+    alike = lambda s, o: F.expr(f"levenshtein({s}, {o}, cast(floor({1 - similarity!r} * greatest(length({s}), length({o})) + 1e-9) as int)) >= 0")
+    lacks = lambda s, o: F.col(f"s{s}") & ~F.col(f"s{o}") & F.coalesce(alike(f"r{s}", f"f{o}"), F.lit(False))
+    return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb")).where(~lacks("a", "b") & ~lacks("b", "a")).select("a", "b")
+
+
+def reached(forms: DataFrame, labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ids of the labelled and of all forms that a chain of pairs of that edit similarity joins to one.
+
+    forms has id, form (distinct), sure and bare; labelled has id. Only pairs with a labelled side are looked for.
+    """
+    sketches = stored(spread(forms.select("id", "form")).mapInPandas(_sketched, "id long, length int, sketch binary"), "sketches")
+    done = new = stored(labelled.select("id").distinct(), "reached")
+    while True:
+        ours = _blocks(sketches.join(new, "id", "left_semi"), similarity, "xs")
+        others = _blocks(sketches.join(done, "id", "left_anti"), similarity, "ys")
+        near = ours.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).join(others, "band").select("xs", "ys")
+        found = stored(near.repartition(forms.sparkSession.sparkContext.defaultParallelism).mapInPandas(_candidates(similarity), "a long, b long"), "candidates")
+        new = stored(within(found, forms, similarity).select(F.col("b").alias("id")).distinct(), "reached")
+        dropped(found)
+        if not new.limit(1).count():
+            dropped(sketches)
+            return done
+        done = done.unionByName(new)
+
+
 def residue_values(values: DataFrame) -> DataFrame:
     """values has text (distinct); the texts that are residue or contain it."""
     cut = values.select("text", F.explode(parts(F.col("text"))).alias("part"))
-    seen = stored(cut.select(F.xxhash64("text").alias("value"), form(F.col("part")).alias("form"), trusted(F.col("part")).alias("sure")).where(F.length("form") > 0), "parts")
-    forms = stored(seen.groupBy("form").agg(F.max("sure").alias("sure")).withColumn("id", F.xxhash64("form")), "forms")
-    labels = components(near_pairs(forms))
+    seen = stored(cut.select(F.xxhash64("text").alias("value"), form(F.col("part")).alias("form"), trusted(F.col("part")).alias("sure"), "part").withColumn("bare", F.when(F.col("sure"), form(bare(F.col("part"))))).drop("part").where(F.length("form") > 0), "parts")
+    forms = stored(seen.groupBy("form").agg(F.max("sure").alias("sure"), F.min("bare").alias("bare")).withColumn("id", F.xxhash64("form")), "forms")
+    labels = components(within(near_pairs(forms), forms, SIMILARITY))
     spreading = forms.where("sure").join(labels, forms["id"] == labels["node"], "left_semi").join(labels, forms["id"] == labels["node"]).select("component").distinct()
-    reached = labels.join(spreading, "component", "left_semi").select(F.col("node").alias("id"))
-    bad = forms.where("sure").select("id").unionByName(reached).distinct()
+    linked = labels.join(spreading, "component", "left_semi").select(F.col("node").alias("id"))
+    bad = reached(forms, forms.where("sure").select("id").unionByName(linked))
     return seen.withColumn("id", F.xxhash64("form")).join(bad, "id", "left_semi").select("value").distinct()
 
 

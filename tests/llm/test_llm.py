@@ -195,6 +195,32 @@ def test_near_pairs_lose_none_and_components_are_whole(spark):
     assert residue.components(chain.limit(0)).count() == 0
 
 
+def test_labels_reach_all_forms_of_like_edits(spark):
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in ("ta", "lo", "mir", "ske", "und", "pra") for b in ("ne", "rk", "sol", "ti")]
+    near = lambda t: " ".join(r.choice(words) if r.random() < 0.2 else w for w in t.split())
+    texts = [" ".join(r.choices(words, k=n)) for n in (1, 2, 3, 5, 8, 12, 16, 30) for _ in range(4)]
+    texts = sorted({t for base in texts for t in (base, near(base), near(near(base)), base[1:], base + "q")} | {"é", "ab\U0001f600cd", "abxcd"})
+    assert len(texts) > 100
+    alike = {(i, j) for i, j in itertools.permutations(range(len(texts)), 2) if scans.distance(texts[i], texts[j], 60) * 5 <= max(len(texts[i]), len(texts[j]))}
+    seeds = {i for i in range(len(texts)) if i % 9 == 0 or "\U0001f600" in texts[i]}
+    want, new = set(seeds), set(seeds)
+    while new:
+        new = {j for i, j in alike if i in new} - want
+        want |= new
+    assert len(want) > 2 * len(seeds)
+    forms = spark.createDataFrame([(i, t, i in seeds, None) for i, t in enumerate(texts)], "id long, form string, sure boolean, bare string")
+    assert {x.id for x in residue.reached(forms, forms.where("sure").select("id")).collect()} == want
+    assert residue.reached(forms, forms.limit(0).select("id")).count() == 0
+
+
+def test_residue_spreads_over_a_changed_word_but_not_to_sound_remains(spark):
+    yes = ["Checking your browser before you proceed to the page that was asked for.", "Checking the browser before you proceed to the page that was asked for.", "Bar chart of output, table of decay values by source ${model}", "Bar chart of output, table of decay values by rate (coming soon)"]
+    no = ["Bar chart of output, table of decay values by source", "Bar chart of output, table of decay values by source mode", "Bar chart of output, table of decay values by rate"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(yes)] + [("b", i, t) for i, t in enumerate(no)], "src string, row_id long, text string")
+    assert sorted(tuple(x) for x in residue.residue_rows(df, ["src", "row_id"]).collect()) == [("a", i) for i in range(len(yes))]
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
