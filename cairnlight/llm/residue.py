@@ -37,7 +37,6 @@ HAMMING, SIMILARITY = 3, 0.8
 BLOCKS = (11, 11, 11, 11, 10, 10)
 SKETCH, LETTERS, BLOCK = 512, 64, 2000  # bits of a form's character pairs, counts of its characters; forms compared at once
 SALTS = 16  # copies of the verdicts, so that a frequent value is not joined in one task
-LONGEST = 2000  # characters of a part that the near-duplicate search compares; rules see whole texts
 
 # The certain forms of residue (matched in lower case unless marked otherwise).
 SLOTS = (
@@ -122,9 +121,14 @@ def _simhashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(bits=pd.Series([_bits(t) for t in f["form"]], dtype="int64"))
 
 
+def alike(s: str, o: str, similarity: float) -> Column:
+    """Whether the whole texts of two columns have that edit similarity or more."""
+    return F.expr(f"levenshtein({s}, {o}, cast(floor({1 - similarity!r} * greatest(length({s}), length({o})) + 1e-9) as int)) >= 0")
+
+
 def near_pairs(forms: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
     """forms has id and form (distinct); (a, b), a < b, of all pairs within the distance and similarity."""
-    hashed = stored(spread(forms.select("id", F.substring("form", 1, LONGEST).alias("form"))).mapInPandas(_simhashes, "id long, form string, bits long"), "simhash")
+    hashed = stored(spread(forms.select("id", "form")).mapInPandas(_simhashes, "id long, form string, bits long"), "simhash")
     starts = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
     tables = []
     for t, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - hamming)):
@@ -137,8 +141,7 @@ def near_pairs(forms: DataFrame, hamming: int = HAMMING, similarity: float = SIM
     pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     texts = hashed.select("id", "form")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(texts.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-    longest = F.greatest(F.length("fa"), F.length("fb"))
-    return both.where(F.levenshtein("fa", "fb", int(LONGEST * (1 - similarity)) + 1).between(0, (1 - similarity) * longest)).select("a", "b")
+    return both.where(alike("fa", "fb", similarity)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,9 +210,8 @@ def _blocks(sketches: DataFrame, similarity: float, name: str) -> DataFrame:
 def within(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """The pairs of edit similarity or more over which a label can pass; forms has id, form, sure and bare."""
     x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}"), F.col("sure").alias(f"s{k}"), F.col("bare").alias(f"r{k}")) for k in "ab")
-    alike = lambda s, o: F.expr(f"levenshtein({s}, {o}, cast(floor({1 - similarity!r} * greatest(length({s}), length({o})) + 1e-9) as int)) >= 0")
-    lacks = lambda s, o: F.col(f"s{s}") & ~F.col(f"s{o}") & F.coalesce(alike(f"r{s}", f"f{o}"), F.lit(False))
-    return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb")).where(~lacks("a", "b") & ~lacks("b", "a")).select("a", "b")
+    lacks = lambda s, o: F.col(f"s{s}") & ~F.col(f"s{o}") & F.coalesce(alike(f"r{s}", f"f{o}", similarity), F.lit(False))
+    return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb", similarity)).where(~lacks("a", "b") & ~lacks("b", "a")).select("a", "b")
 
 
 def reached(forms: DataFrame, labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

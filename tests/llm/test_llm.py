@@ -221,6 +221,15 @@ def test_residue_spreads_over_a_changed_word_but_not_to_sound_remains(spark):
     assert sorted(tuple(x) for x in residue.residue_rows(df, ["src", "row_id"]).collect()) == [("a", i) for i in range(len(yes))]
 
 
+def test_near_pairs_compare_whole_forms(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefg hij") for _ in range(n))
+    start, tail = text(2000), text(2000)
+    forms = [start + tail, start + text(2000), start + tail[:-1] + "z"]
+    df = spark.createDataFrame(list(enumerate(forms)), "id long, form string")
+    assert [tuple(x) for x in residue.near_pairs(df).collect()] == [(0, 2)]
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
