@@ -48,3 +48,15 @@ def funnel(rows: DataFrame, stages: list[str]) -> DataFrame:
         passed = passed & F.coalesce(F.col(s), F.lit(False))
         cols.append(F.count_if(passed).alias(s))
     return rows.agg(*cols)
+
+
+def known_words(dictionary: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(word): the dictionary's words of three letters or more, trimmed and in lower case, and the corpus vocabulary."""
+    words = dictionary.select(F.lower(F.trim("word")).alias("word")).where(F.length("word") > 2)
+    return words.unionByName(corpus.select("word")).distinct()
+
+
+def fact_statistics(facts: DataFrame, questions: int) -> DataFrame:
+    """facts has qid and garbled, a row each; one row: questions, those with facts, mean facts of these, garbled percent."""
+    one = facts.agg(F.countDistinct("qid").alias("with_facts"), F.count("*").alias("facts"), F.count_if("garbled").alias("garbled"))
+    return one.select(F.lit(questions).alias("questions"), "with_facts", F.expr("try_divide(facts, with_facts)").alias("mean_facts"), F.expr("try_divide(100.0D * garbled, facts)").alias("garbled_percent"))

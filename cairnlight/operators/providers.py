@@ -17,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairnlight.session import stored
 
@@ -133,3 +134,11 @@ def cached_triples(chunks: DataFrame, cache: DataFrame, provider: Stub | None =
 
     new = stored(misses.mapInPandas(run, "chunk_key string, triples string"), "triples")
     return cache.select("chunk_key", "triples").unionByName(new), new
+
+
+def cache_counts(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: chunks, those cached and those open, by occurrence, and the distinct open keys that are extracted."""
+    known = cache.select("chunk_key", F.lit(True).alias("_hit")).distinct()
+    x = chunks.select("chunk_key").join(known, "chunk_key", "left")
+    open_ = F.col("_hit").isNull()
+    return x.agg(F.count("*").alias("chunks"), F.count("_hit").alias("cached"), F.count_if(open_).alias("open"), F.countDistinct(F.when(open_, F.col("chunk_key"))).alias("open_keys"))

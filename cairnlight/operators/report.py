@@ -66,3 +66,20 @@ def stratified(rows: DataFrame, stratum: str, order: list, each: int) -> DataFra
 def seeded(seed: int, key: Column) -> Column:
     """A shuffle order that any engine can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def outcome(base: Column, target: Column) -> Column:
+    """KG+ / KG- / =: whether the target is better, worse or neither; a missing value is neither."""
+    return F.when(target > base, "KG+").when(target < base, "KG-").otherwise("=")
+
+
+def question_set(path: Column, vlm: Column) -> Column:
+    """The file's name without folders and its last extension, and _captions behind it where not vlm."""
+    name = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"^(\.*[^.].*)\.[^.]*$", "$1")
+    return F.concat(name, F.when(vlm, "").otherwise("_captions"))
+
+
+def token_range(summary: DataFrame, system: str, tokens: str, base: str = "baseline") -> DataFrame:
+    """One row with the least, most and mean tokens of the base system; missing ones and zeros do not count."""
+    x = summary.where((F.col(system) == base) & (F.col(tokens) != 0))
+    return x.agg(F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.avg(tokens).alias("mean"))

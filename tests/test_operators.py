@@ -164,3 +164,17 @@ def test_providers(spark):
 def test_judge_stub_parses():
     r = providers.Stub().judge(["EXPECTED: tea\nGENERATED: some tea", "EXPECTED: tea\nGENERATED: milk", None])
     assert [x.text for x in r] == ["1", "0", "0"]
+
+
+def test_small_report_columns(spark):
+    m = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (None, 1)], "b int, t int")
+    assert [r[0] for r in m.select(report.outcome(F.col("b"), F.col("t"))).collect()] == ["KG+", "KG-", "=", "="]
+    p = spark.createDataFrame([("a/b/q.v2.json", True), ("q.json", False), (".json", True), ("x/a..json", True), ("plain", None)], "p string, v boolean")
+    assert [r[0] for r in p.select(report.question_set(F.col("p"), F.col("v"))).collect()] == ["q.v2", "q_captions", ".json", "a.", "plain_captions"]
+    s = spark.createDataFrame([("baseline", 10.0), ("baseline", 30.0), ("baseline", 0.0), ("baseline", None), ("+KG", 99.0)], "system string, tok double")
+    assert rows(report.token_range(s, "system", "tok")) == [(10.0, 30.0, 20.0)]
+    assert rows(audit.known_words(spark.createDataFrame([(" Tea ",), ("of",), ("cup",)], "word string"), spark.createDataFrame([("cup", 4), ("rim", 3)], "word string, df int"))) == [("cup",), ("rim",), ("tea",)]
+    f = spark.createDataFrame([(1, True), (1, False), (2, False), (2, None)], "qid int, garbled boolean")
+    assert rows(audit.fact_statistics(f, 5)) == [(5, 2, 2.0, 25.0)] and rows(audit.fact_statistics(f.limit(0), 5)) == [(5, 0, None, None)]
+    c = spark.createDataFrame([("k1",), ("k1",), ("k2",), ("k3",)], "chunk_key string")
+    assert rows(providers.cache_counts(c, spark.createDataFrame([("k2", "[]")], "chunk_key string, triples string"))) == [(4, 1, 3, 2)]
