@@ -232,7 +232,7 @@ def pairs_with_defects(pairs: DataFrame, languages: Languages) -> DataFrame:
                 defect.append(d)
                 last.append(c)
                 word.append(w)
-            yield pd.DataFrame({"src": f["src"], "row_id": f["row_id"], "defect": pd.Series(defect, dtype=object), "last": last, "word": pd.Series(word, dtype=object)})
+            yield pd.DataFrame({"src": list(f["src"]), "row_id": f["row_id"], "defect": pd.Series(defect, dtype=object), "last": last, "word": pd.Series(word, dtype=object)})
 
     kind = pairs.schema["row_id"].dataType.simpleString()
     judged = stored(pairs.mapInPandas(judge, f"src string, row_id {kind}, defect string, last array<string>, word string"), "pairs")

@@ -2,10 +2,12 @@
 
 Method: statistics are computed from token sums, standardized over all documents,
 and a Gaussian mixture is fitted to them by expectation-maximization: every pass reads all
-rows and returns one sum per component. Inspected examples (EXAMPLES, one component per
-group) start the components and stay in the fit with a fixed weight, so each component
-keeps its meaning; a component is mapped to prose, list, table or junk by the examples it
-is responsible for. A document's kind is the one with the largest posterior.
+rows and returns one sum per component, until the mean log likelihood of a document rises
+by less than TOLERANCE (at most PASSES passes). Inspected examples (EXAMPLES, one component
+per group) only start the components, as spheres; they have no weight in the fit. Afterwards
+a component is mapped to prose, list, table or junk by the examples it answers for, or by
+the nearest one if it answers for none. A document's kind is the one with the largest
+posterior.
 
 Null and blank texts have no kind and null statistics; an empty table gives no rows.
 Duplicate rows are each classified (equal texts alike).
@@ -13,6 +15,7 @@ Duplicate rows are each classified (equal texts alike).
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,19 +86,68 @@ def statistics_sql(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 _PER_TOKEN = ("chars", "symbols", "common", "leaders", "numbers", "cells", "wordlike", "sentence_ends", "other_ends", "letters", "upper", "vowels", "messy", "unspaced", "mark", "alpha", "longest")
-_RX = {k: regex.compile(p) for k, p in {"symbols": r"[^\p{L}\p{N}\s.,;:!?'\"()-]", "leaders": r"\.{4,}|…{2,}", "numbers": _NUMBER, "commas": r"[\p{L}\p{N}%],(?=[\p{L}\p{N}<-])", "word": _WORD, "stop": r"(?<=[\p{L}%°)\]])\.$", "letter": r"[^\p{L}]+", "upper": r"\p{Lu}", "cjk": r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"}.items()}
-_WIDE, _LINE_MARK, _LINE_END = regex.compile(r"\S  +(?=\S)"), regex.compile(_MARK), regex.compile(_END)
+_COMMAS, _CJK = regex.compile(r"[\p{L}\p{N}%],(?=[\p{L}\p{N}<-])"), regex.compile(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")
+_LEADERS, _NUMERIC, _WORDLIKE = regex.compile(r"\.{4,}|…{2,}"), regex.compile(_NUMBER), regex.compile(_WORD)
+_WIDE, _LINE_MARK = regex.compile(r"\S  +(?=\S)"), regex.compile(_MARK)
 _INLINE = regex.compile(r"(?:[-*•▪◦]|[0-9]{1,3}[.)]|\([a-z]\)|\[[0-9]{1,3}\])$")
-_VOWELS, _MESSY, _COMMON = frozenset("aeiouyäöüáéíóúàèùâêîôû"), frozenset("\\/|;:'<>$#&~^*=_%"), frozenset(COMMON)
+_VOWELS, _MESSY, _PLAIN, _COMMON = frozenset("aeiouyäöüáéíóúàèùâêîôû"), frozenset("\\/|;:'<>$#&~^*=_%"), frozenset(".,;:!?'\"()-"), frozenset(COMMON)
+_STOPS, _CLOSERS = frozenset(".!?。！？…"), "\"”’)]"
+
+
+class _Classes(dict):
+    """The class of a character, for str.translate: v, l, V, L letters (vowels, others; upper case), c unspaced
+    scripts, 0 numbers, p and m marks that make a token messy (m also a symbol), s other symbols, . other marks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] == "L":
+            out = "c" if _CJK.match(c) else "vlVL"[2 * (kind == "Lu") + (c.lower() not in _VOWELS)]
+        elif kind[0] == "N":
+            out = "0"
+        elif c in _MESSY:
+            out = "p" if c in _PLAIN else "m"
+        else:
+            out = "." if c in _PLAIN else "s"
+        self[code] = out
+        return out
+
+
+class _Letters(dict):
+    """Letters as they are, all else a space, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code) if unicodedata.category(chr(code))[0] == "L" else " "
+        return out
+
+
+_CLASSES, _LETTERS = _Classes(), _Letters()
+
+
+def _line_end(line: str) -> bool:
+    """_END without a search: what stands before the closing marks."""
+    return line.rstrip(_CLOSERS)[-1:] in _STOPS if line else False
+
+
+def _line_mark(line: str) -> bool:
+    """_MARK, tried only where its first two characters are possible."""
+    a = line[0]
+    return (a in "-*•–·▪◦+([" or line[1:2] in ".)" or a.isdigit()) and _LINE_MARK.match(line) is not None
 
 
 def _token(t: str) -> tuple[float, ...]:
-    """What one token adds to the sums of its text, in the order of _PER_TOKEN."""
-    letters = _RX["letter"].sub("", t)
-    low = letters.lower()
+    """What one token adds to the sums of its text, in the order of _PER_TOKEN. Patterns are tried
+    only where the classes of its characters leave them possible."""
+    n, kinds = len(t), t.translate(_CLASSES).count
+    vowels, unspaced, upper = kinds("v") + kinds("V"), kinds("c"), kinds("V") + kinds("L")
+    letters = vowels + unspaced + kinds("l") + kinds("L")
+    marks, digits = kinds("m"), kinds("0")
+    last = t[-1]
+    wordlike = letters > 0 and not marks and not digits and (letters == n or _WORDLIKE.search(t) is not None)
     return (
-        len(t), len(_RX["symbols"].findall(t)), sum(w in _COMMON for w in _RX["letter"].split(t.lower())), len(_RX["leaders"].findall(t)), bool(_RX["numbers"].search(t)), t.count("|") + t.count(";") + len(_RX["commas"].findall(t)), bool(_RX["word"].search(t)),
-        bool(_RX["stop"].search(t)) + t.count("。"), t[-1] in ";:!?", len(letters), len(_RX["upper"].findall(letters)), sum(c in _VOWELS for c in low), sum(c in _MESSY for c in t) >= 3, len(_RX["cjk"].findall(letters)), bool(_INLINE.match(t)), t[0].isalpha(), len(t),
+        n, marks + kinds("s"), sum(map(_COMMON.__contains__, t.lower().translate(_LETTERS).split())) if letters else 0, len(_LEADERS.findall(t)) if "...." in t or "……" in t else 0,
+        (t[0].isdigit() or t[0] in "<>~±+-n%|") and _NUMERIC.search(t) is not None, t.count("|") + t.count(";") + (len(_COMMAS.findall(t)) if "," in t else 0), wordlike,
+        (last == "." and n > 1 and (t[-2].isalpha() or t[-2] in "%°)]")) + t.count("。"), last in ";:!?", letters, upper, vowels, marks + kinds("p") >= 3, unspaced, n <= 5 and letters < n and _INLINE.match(t) is not None, t[0].isalpha(), n,
     )
 
 
@@ -133,7 +185,7 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
             at.append(i)
             ids += [known[x] for x in toks]
             ends.append(len(ids))
-            own.append((len(toks), len(lines), sum(1 for x in lines if _LINE_END.search(x[-40:])), sum(1 for x in lines if _LINE_MARK.match(x)), t.count("\t") + len(_WIDE.findall(t)), len(set(toks))))
+            own.append((len(toks), len(lines), sum(map(_line_end, lines)), sum(map(_line_mark, lines)), t.count("\t") + (len(_WIDE.findall(t)) if "  " in t else 0), len(set(toks))))
         out = pd.DataFrame({key: f.iloc[:, 0]})
         for c in FEATURES:
             out[c] = np.nan
@@ -220,9 +272,10 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
     "junk.function": ("the of the of the of the of the of the of the of the of the of", "of the and of the and of the and of the and of the and of the and"),
     "junk.rules": ("....................\n|\n________________\n~~\n|\n-- --\n:;.,\n~~", "====\n~~\n:;.,\n|\n-- --\n____________\n|\n~~"),
 }
-ANCHOR = 30.0  # rows that one group of examples weighs
-RIDGE = 0.02  # added to the variances of standardized statistics
-PASSES = 5
+RIDGE = 0.05  # added to the variances of standardized statistics
+PRIOR = 5.0  # rows that a component's last mean weighs in the next
+TOLERANCE, PASSES = 0.01, 50  # the gain in log likelihood a document that ends the fit, and its bound
+FEW = 0.2  # examples, in sum, below which a component is named by the nearest
 
 
 def _prepared(frame: pd.DataFrame) -> np.ndarray:
@@ -254,79 +307,106 @@ def _weights(model: dict) -> np.ndarray:
     return np.array(out).T
 
 
-def _posterior(x: np.ndarray, model: dict, weights: np.ndarray | None = None, moments: np.ndarray | None = None) -> np.ndarray:
-    d = (_monomials((x - model["center"]) / model["scale"]) if moments is None else moments) @ (_weights(model) if weights is None else weights)
-    d -= d.max(1, keepdims=True)
-    p = np.exp(d)
-    return p / p.sum(1, keepdims=True)
+def _posterior(phi: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the components and the log densities of the rows, but for a constant."""
+    d = phi @ weights
+    top = d.max(1, keepdims=True)
+    p = np.exp(d - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, (top + np.log(total))[:, 0]
+
+
+def _standardized(x: np.ndarray, model: dict) -> np.ndarray:
+    return _monomials((x - model["center"]) / model["scale"])
 
 
 def _update(n: np.ndarray, s: np.ndarray, ss: np.ndarray, model: dict) -> None:
     """Maximization from sums over the standardized rows."""
     d = s.shape[1]
-    model["weight"] = n / n.sum()
-    model["mean"] = s / n[:, None]
-    cov = ss / n[:, None, None] - model["mean"][:, :, None] * model["mean"][:, None, :]
+    n = n + 1e-9
+    mean = s / n[:, None]
+    cov = ss / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    lean = (PRIOR / (n + PRIOR))[:, None]
+    model["mean"] = (1 - lean) * mean + lean * model["mean"]
     # components of few rows lean on a spherical shape
-    lean = (d / (n + d))[:, None, None]
+    lean = (d * PRIOR / (5 * n + d * PRIOR))[:, None, None]
     model["cov"] = (1 - lean) * cov + lean * 0.15 * np.eye(d) + RIDGE * np.eye(d)
+    weight = np.maximum(n / n.sum(), 1e-6)
+    model["weight"] = weight / weight.sum()
+
+
+def _started(ex: np.ndarray, owner: np.ndarray, center: np.ndarray, scale: np.ndarray) -> dict:
+    """Spheres around the examples of each group."""
+    z, k, d = (ex - center) / scale, owner.max() + 1, ex.shape[1]
+    mean = np.array([z[owner == i].mean(0) for i in range(k)])
+    return {"center": center, "scale": scale, "mean": mean, "cov": np.repeat(np.eye(d)[None], k, 0), "weight": np.full(k, 1 / k)}
+
 
+def _named(model: dict, ex: np.ndarray, owner: np.ndarray, kinds_of: list[str]) -> list[str]:
+    """The kind of every component: that of most examples it answers for, or of the nearest one."""
+    names = sorted(set(kinds_of))
+    p, _ = _posterior(_standardized(ex, model), _weights(model))
+    share = p / np.bincount(owner)[owner][:, None]
+    said = np.array([[share[[kinds_of[o] == n for o in owner], k].sum() for n in names] for k in range(len(model["mean"]))])
+    z = (ex - model["center"]) / model["scale"]
+    near = [kinds_of[owner[((z - m) ** 2 / np.diag(c)).sum(1).argmin()]] for m, c in zip(model["mean"], model["cov"])]
+    return [names[row.argmax()] if row.sum() > FEW else n for row, n in zip(said, near)]
 
-def fit(stats: DataFrame, passes: int = PASSES) -> dict:
-    """The mixture of the statistics: {weight, mean, cov, center, scale, kinds}."""
+
+def _sums(parts: DataFrame, width: int) -> np.ndarray:
+    """Rows of (k, array) summed per place in the executors; what comes back depends on the model's size alone."""
+    flat = parts.select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((int(flat["k"].max()) + 1 if len(flat) else 0, width))
+    out[flat["k"].to_numpy(int), flat["i"].to_numpy(int)] = flat["v"]
+    return out
+
+
+def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) -> dict:
+    """The mixture of the statistics: {weight, mean, cov, center, scale, kinds, trace}; trace holds the
+    mean log likelihood before each pass."""
     spark = stats.sparkSession
-    rows = [(i, g, t) for i, (g, t) in enumerate((g, t) for g, ts in EXAMPLES.items() for t in ts)]
-    shown = statistics(spark.createDataFrame([(i, t) for i, _, t in rows], "id int, t string").coalesce(1), "id", "t").toPandas().sort_values("id")
-    ex, groups = _prepared(shown), list(EXAMPLES)
-    fixed = np.zeros((len(ex), len(groups)))
-    for i, g, _ in rows:
-        fixed[i, groups.index(g)] = ANCHOR / len(EXAMPLES[g])
-    cols, d = list(FEATURES), len(FEATURES)
+    groups, d = list(EXAMPLES), len(FEATURES)
+    shown = [(i, t) for i, g in enumerate(groups) for t in EXAMPLES[g]]
+    ex = _prepared(next(_statistics(iter([pd.DataFrame({"id": range(len(shown)), "t": [t for _, t in shown]})]), "id")))
+    owner, kinds_of = np.array([i for i, _ in shown]), [g.split(".")[0] for g in groups]
+    rows = stats.select(*FEATURES)
 
     def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, ss = 0, np.zeros(d), np.zeros(d)
+        m = np.zeros(1 + 2 * d)
         for f in frames:
             x = _prepared(f)
-            n, s, ss = n + len(x), s + x.sum(0), ss + (x * x).sum(0)
-        yield pd.DataFrame({"n": [float(n)], "s": [s.tolist()], "ss": [ss.tolist()]})
-
-    # one row per partition comes back
-    parts = stats.select(*cols).mapInPandas(moments, "n double, s array<double>, ss array<double>").toPandas()
-    n = parts["n"].sum()
-    if not n:
-        center, scale = ex.mean(0), ex.std(0)
-    else:
-        center = np.sum(np.stack(parts["s"]), 0) / n
-        scale = np.sqrt(np.maximum(np.sum(np.stack(parts["ss"]), 0) / n - center**2, 0))
-    scale = np.maximum(scale, np.maximum(ex.std(0) / 3, 1e-3))
-    model = {"center": center, "scale": scale, "kinds": [g.split(".")[0] for g in groups]}
-    z = (ex - center) / scale
-    held = fixed.sum(0), fixed.T @ z, np.einsum("ik,ia,ib->kab", fixed, z, z)
-    _update(*held, model)
+            m += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+        yield pd.DataFrame({"k": [0], "m": [m.tolist()]})
+
+    sums = _sums(rows.mapInPandas(moments, "k int, m array<double>"), 1 + 2 * d)
+    n = sums[0, 0] if len(sums) else 0.0
+    center = sums[0, 1 : 1 + d] / n if n else ex.mean(0)
+    scale = np.sqrt(np.maximum(sums[0, 1 + d :] / n - center**2, 0)) if n else ex.std(0)
+    model = _started(ex, owner, center, np.maximum(scale, np.maximum(ex.std(0) / 3, 1e-3)))
+    trace: list[float] = []
     for _ in range(passes if n else 0):
         now = spark.sparkContext.broadcast(model)
 
         def expect(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            m = now.value
-            weights, sums = _weights(m), 0.0
+            weights, total = _weights(now.value), None
             for f in frames:
-                phi = _monomials((_prepared(f) - m["center"]) / m["scale"])
-                sums = sums + _posterior(None, m, weights, phi).T @ phi
-            if not np.isscalar(sums):
-                yield pd.DataFrame({"k": np.arange(len(sums)), "m": list(sums)})
-
-        sums = stats.select(*cols).mapInPandas(expect, "k int, m array<double>")
-        # summed per component in the executors; components x statistics^2 numbers come back
-        flat = sums.select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
-        v = flat["v"].to_numpy().reshape(len(groups), -1)
-        second = np.zeros((len(groups), d, d))
-        second[:, _PAIRS[0], _PAIRS[1]] = second[:, _PAIRS[1], _PAIRS[0]] = v[:, 1 + d :]
-        _update(held[0] + v[:, 0], held[1] + v[:, 1 : 1 + d], held[2] + second, model)
+                phi = _standardized(_prepared(f), now.value)
+                p, density = _posterior(phi, weights)
+                part = np.vstack([p.T @ phi, np.zeros(phi.shape[1])])
+                part[-1, 0] = density.sum()
+                total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"k": np.arange(len(total)), "m": list(total)})
+
+        v = _sums(rows.mapInPandas(expect, "k int, m array<double>"), 1 + d + len(_PAIRS[0]))
         now.unpersist()
-    # what a component is follows from the examples it answers for
-    said = (_posterior(ex, model)[:, :, None] * (fixed / fixed.sum(1, keepdims=True))[:, None, :]).sum(0)
-    model["kinds"] = [groups[int(said[k].argmax())].split(".")[0] if said[k].sum() > 0.2 else groups[k].split(".")[0] for k in range(len(groups))]
-    return model
+        trace.append(v[-1, 0] / n)
+        if len(trace) > 1 and trace[-1] - trace[-2] < tolerance:
+            break
+        second = np.zeros((len(groups), d, d))
+        second[:, _PAIRS[0], _PAIRS[1]] = second[:, _PAIRS[1], _PAIRS[0]] = v[:-1, 1 + d :]
+        _update(v[:-1, 0], v[:-1, 1 : 1 + d], second, model)
+    return {**model, "kinds": _named(model, ex, owner, kinds_of), "trace": trace}
 
 
 def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES) -> DataFrame:
@@ -341,7 +421,7 @@ def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES) -> DataFrame
             out, there = f.copy(), f["words"].notna().to_numpy()
             kind, sure = np.full(len(f), None, object), np.full(len(f), np.nan)
             if there.any():
-                p = _posterior(_prepared(f[there]), model.value) @ which
+                p = _posterior(_standardized(_prepared(f[there]), model.value), _weights(model.value))[0] @ which
                 kind[there], sure[there] = np.array(names, object)[p.argmax(1)], p.max(1)
             out["kind"], out["certainty"] = kind, sure
             yield out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
 from cairnlight.llm import answers, leakage, personal, quality, residue, scans, splitting, tokens
-from cairnlight.session import broadcast_if_small, stored, table
+from cairnlight.session import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,9 @@ def _scans(spark: SparkSession, d: str) -> scans.Noise:
     """All pages, and the chunks that are prose, with the document and number of their page."""
     pages = table(spark, d, "ingest_doclaynet")
     chunks = table(spark, d, "evidence").select("evidence_id", "source", "chunk")
-    prose = broadcast_if_small(stored(quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id"), "prose"), 16)
+    prose = stored(quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id"), "prose")
     place = pages.where(F.col("image_id").isNotNull()).groupBy(F.concat("image_id", F.lit(".txt")).alias("source")).agg(F.min(F.struct(F.col("original_filename").alias("doc"), F.col("page_no"))).alias("at"))
-    place = broadcast_if_small(stored(place, "pages"), 100)
+    place = stored(place, "pages")  # broadcast by the planner if its files are small
     of_chunks = chunks.join(prose, "evidence_id", "left_semi").join(place, "source", "left").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_id"), F.col("chunk").alias("text"), "at.doc", "at.page_no")
     of_pages = pages.select(F.lit("ingest_doclaynet").alias("src"), F.col("page_id").alias("row_id"), F.col("page_text").alias("text"), F.col("original_filename").alias("doc"), "page_no")
     return scans.scan_noise(of_pages.unionByName(of_chunks))

@@ -1,39 +1,53 @@
 """Noise in text from scanned pages: divided and misread words, page furniture, reflow.
 
-Method: for every word that is not well attested a Levenshtein automaton (a bit-parallel
-one, WIDTH errors) is intersected with the trie of the corpus vocabulary, which returns all
-words within that distance; candidates are ranked by a channel cost over characters that
-scanners confuse, then by how often they stand between the same neighbours, then by
-frequency. Page furniture is found at the edges of pages: lines that recur over the pages
-of a document, lines of a form that recurring lines of other documents have, and page
-numbers; then it is taken out and the rest is reflowed into paragraphs.
-
-The vocabulary that is broadcast holds words of at least 1/SHARE of all tokens, hence never
-more than SHARE words. Known headers travel with their document by joins. Null and empty
-texts have no cases and repair to themselves; rows repeated under one key are repaired each
-and reported once; ties between candidates go to the alphabetically first.
+Method: every word is looked up with a Levenshtein automaton (a bit-parallel one, WIDTH
+errors) that runs down the trie of the attested vocabulary and returns all words within that
+distance. Candidates are ranked with context: the log odds of the candidate against the
+word as it was read are log(n candidate / n read) less the price of the edits (those that
+scanners make are cheap, all others dear) plus how much more often than by chance the
+candidate stands behind the left and before the right neighbour in the whole corpus. The
+best candidate replaces the word if its odds are positive. Page furniture is found at the
+edges of pages: lines that recur over the pages of a document, lines of a form that
+recurring lines of other documents have, and page numbers; then it is taken out and the
+rest is reflowed into paragraphs.
+
+No part of the vocabulary is left out and none is broadcast: the trie is built in shards of
+at most SHARD words of one length, counts of joined words and of neighbours are joined.
+What is broadcast are bit tables of at most BITS bits, whose false hits the joins drop, and
+the header forms up to FORMS of them; beyond that each text's own forms are joined.
+Null and empty texts have no cases and repair to themselves; rows repeated under one key are
+repaired each and reported once; ties between candidates go to the alphabetically first.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlight.session import broadcast_if_small, spread, stored
+from cairnlight.session import spread, stored
 
 WIDTH = 2  # errors the automaton admits
-SHARE = 1_000_000
 ATTESTED = 5  # occurrences a vocabulary word must have
-RATIO = 12  # a word is taken for a misreading of one that is this much more frequent
+FIRST, MORE = math.log(12), math.log(3)  # prices of edits: the first and a further confusion,
+OTHER, GAP = math.log(5000), math.log(1_000_000)  # another character, a lost or an added one
+LETTERS = 5  # letters of a word that other edits are considered for
+SHARD = 20_000  # vocabulary words of one trie, and words looked up in it by one task
+BITS = 1 << 27  # of the broadcast bit tables
 EDGES = 2  # lines at either end of a page that may be furniture
-FORMS = 2000  # line forms kept, by documents
+PAGES = 200  # neighbouring pages over which a line may recur
+RECURS = 4  # pages of those on which a line is a header, or a fifth of them, at least 2
+FORMS = 100_000  # header forms that are broadcast
 
 # What scanners make of a character, right reading first.
 CONFUSIONS = (
@@ -46,8 +60,8 @@ _INVISIBLE = "​‌‍⁠﻿"
 
 _STRIP = regex.compile(r"^[^\p{L}\p{N}@|]+|[^\p{L}\p{N}@|]+$")
 _TOKEN = regex.compile(r"\S+")
-_BREAK = regex.compile(rf"[{HYPHENS}][{_INVISIBLE}]*([ \t]*\r?\n[ \t]*|[ \t]+)([\p{{L}}\p{{N}}@|!$+'’-]*[\p{{L}}\p{{N}}@|])")
-_LEFT = regex.compile(r"[\p{L}\p{N}@|!$+'’-]*[\p{L}\p{N}@|]$")
+_BREAK = re.compile(rf"[{HYPHENS}][{_INVISIBLE}]*([ \t]*\r?\n[ \t]*|[ \t]+)((?:[^\W_]|[@|!$+'’-])*(?:[^\W_]|[@|]))")
+_INNER = frozenset("@|!$+'’-")
 _ROMAN = r"[ivxlc]{1,7}"
 _ORNAMENT = regex.compile(rf"^(?:[-–—|•·*~\[(<]+\s*(?P<a>[\dlIoO|]{{1,5}}|{_ROMAN})\s*[-–—|•·*~\])>]+|(?:page|pag\.?|p\.|pp\.|seite|página|s\.)\s*(?P<b>[\dlIoO]{{1,5}}|{_ROMAN})(?:\s*(?:of|/|von|de|sur)\s*[\dlIoO]{{1,5}})?|(?P<c>[\dlIoO]{{1,5}})\s*(?:of|/|von)\s*[\dlIoO]{{1,5}})$", regex.I)
 _BARE = regex.compile(rf"^(?:\d{{1,5}}|[\dlIoO]{{1,4}}|{_ROMAN})$")
@@ -79,20 +93,34 @@ def folded(text: str) -> str:
     return _OTHERS.sub("", t.translate(_ALIKE))
 
 
+@functools.lru_cache(maxsize=20_000)
+def _places(text: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for i, c in enumerate(text):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    return masks
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or most + 1 if it is larger."""
+    """Edit distance, or most + 1 if it is larger; the columns of the table as bits."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    if not m:
+        return n
+    get, full, last = _places(b).get, (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for c in a:
+        eq = get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        score += ((more & last) != 0) - ((less & last) != 0)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | (full & ~(v | more)), more & v
+    return min(score, most + 1)
 
 
 # --- candidate retrieval -----------------------------------------------------------------
@@ -145,31 +173,43 @@ for _right, _read in CONFUSIONS:
 _READS = frozenset((r, w) for r, w in CONFUSIONS)
 
 
-def channel(read: str, right: str, most: int = 3) -> int | None:
-    """The least number of confusions that turn the right word into what was read; None if others are needed."""
+def price(read: str, right: str, errors: int = WIDTH) -> tuple[float, int]:
+    """The least price of the edits that turn the right word into what was read, and how many of them no
+    scanner confusion explains (at most `errors`)."""
     n, m = len(read), len(right)
-    best: dict[tuple[int, int], int] = {(0, 0): 0}
+    best: dict[tuple[int, int], tuple[int, float, int]] = {(0, 0): (0, 0.0, 0)}  # other edits, their price, confusions
+
+    def better(i: int, j: int, cost: tuple[int, float, int]) -> None:
+        if (i, j) not in best or cost < best[i, j]:
+            best[i, j] = cost
+
     for i in range(n + 1):
-        for j in range(max(0, i - 3), min(m, i + 3) + 1):
-            c = best.get((i, j))
-            if c is None:
+        for j in range(max(0, i - 4), min(m, i + 4) + 1):
+            if (now := best.get((i, j))) is None:
                 continue
-            if i < n and j < m and read[i] == right[j] and best.get((i + 1, j + 1), 99) > c:
-                best[i + 1, j + 1] = c
-            if c < most and i < n:
+            other, paid, known = now
+            if i < n and j < m and read[i] == right[j]:
+                better(i + 1, j + 1, now)
+            if i < n and known < 4:
                 for r, size in _BY_READ.get(read[i], ()):
-                    if right.startswith(r, j) and (r, read[i : i + size]) in _READS and best.get((i + size, j + len(r)), 99) > c + 1:
-                        best[i + size, j + len(r)] = c + 1
-    return best.get((n, m))
+                    if right.startswith(r, j) and (r, read[i : i + size]) in _READS:
+                        better(i + size, j + len(r), (other, paid, known + 1))
+            if other < errors:
+                for x, y, more in ((1, 1, OTHER), (1, 0, GAP), (0, 1, GAP)):
+                    if i + x <= n and j + y <= m:
+                        better(i + x, j + y, (other + 1, paid + more, known))
+    other, paid, known = best.get((n, m), (errors + 1, math.inf, 0))
+    return paid + (FIRST + (known - 1) * MORE if known else 0.0), other
 
 
 def broken(text: str) -> Iterator[tuple[int, int, int, str, str, str]]:
     """(start, mark, end, left, gap, right) where a hyphen is followed by space and a word."""
     for m in _BREAK.finditer(text):
-        at = m.start()
-        left = _LEFT.search(text[max(0, at - 60) : at])
-        if left:
-            yield at - len(left.group()), at, m.end(), left.group(), m.group(1), m.group(2)
+        at = start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in _INNER):
+            start -= 1
+        if start < at and (text[at - 1].isalnum() or text[at - 1] in "@|"):
+            yield start, at, m.end(), text[start:at], m.group(1), m.group(2)
 
 
 def unbroken(text: str) -> str:
@@ -194,52 +234,63 @@ def _worth(word: str) -> bool:
     return len(word) >= 3 and sum(c.isalpha() for c in word) * 2 > len(word)
 
 
-def words_of(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts; words divided at line ends are left out. Counted per batch, then summed."""
-    return _summed(texts.select(F.lit(None).cast("string").alias("doc"), F.lit(None).cast("int").alias("page_no"), "text").mapInPandas(_profile, _PROFILE))
-
-
 def _summed(profile: DataFrame) -> DataFrame:
     return profile.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_PROFILE = "doc string, page_no int, bare string, line string, fold string, word string, n long"
+_PROFILE = "place string, doc string, page_no int, bare string, line string, fold string, word string, n long"
 
 
 def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In one pass: the words of every batch with their counts, and the lines at the edges of texts of known documents."""
+    """In one pass: the words of every batch with their counts (words divided at line ends are left out),
+    and the lines at the edges of texts of known pages."""
     for f in frames:
         raw: Counter = Counter()
         rows = []
-        for doc, page, t in zip(f["doc"], f["page_no"], f["text"]):
+        for place, doc, page, t in zip(f["place"], f["doc"], f["page_no"], f["text"]):
             raw.update(unbroken(t).split())
-            if doc is not None:
-                rows += [(doc, page, *line, None, None) for line in edge_lines(t)]
+            if place is not None:
+                rows += [(place, doc, page, *line, None, None) for line in edge_lines(t)]
         c: Counter = Counter()
         for token, n in raw.items():
             if _worth(w := word_of(token)):
                 c[w] += n
-        rows += [(None, None, None, None, None, w, n) for w, n in c.items()]
-        yield pd.DataFrame(rows, columns=["doc", "page_no", "bare", "line", "fold", "word", "n"]).astype({"page_no": "Int32", "n": "Int64"})
-
+        rows += [(None, None, None, None, None, None, w, n) for w, n in c.items()]
+        yield pd.DataFrame(rows, columns=["place", "doc", "page_no", "bare", "line", "fold", "word", "n"]).astype({"page_no": "Int32", "n": "Int64"})
+
+
+def _lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """One shard of the vocabulary (left) and the words to look up in it."""
+    counts = dict(zip(left["right"], left["n"])) if len(right) else {}
+    trie, rows = Trie(counts), []
+    for w, n in zip(right["word"], right["n_read"]):
+        for v in trie.within(w):
+            if v != w and counts[v] > n:
+                cost, other = price(w, v)
+                # edits that no confusion explains: only for words that are not attested themselves
+                if other and (n >= ATTESTED or len(w) < LETTERS or other > 1 and len(w) < 2 * LETTERS):
+                    continue
+                if other or math.log(counts[v] / n) >= FIRST and (len(w) > 3 or not STRONG.isdisjoint(w)):
+                    rows.append((w, int(n), v, float(cost), int(counts[v])))
+    return pd.DataFrame(rows, columns=["word", "n_read", "right", "price", "n"])
 
-def misreadings(words: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(word, right, cost, n): for each word all vocabulary words it may be a misreading of."""
-    held = words.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(held.value)
-        for f in frames:
-            rows = []
-            for w, n in zip(f["word"], f["n"]):
-                for v in trie.within(w):
-                    if v != w and held.value[v] >= RATIO * n:
-                        cost = channel(w, v)
-                        if cost and (len(w) > 3 or not STRONG.isdisjoint(w)):
-                            rows.append((w, v, cost, held.value[v]))
-            yield pd.DataFrame(rows, columns=["word", "right", "cost", "n"])
+def misreadings(words: DataFrame, least: int = ATTESTED, shard: int = SHARD) -> DataFrame:
+    """(word, n_read, right, price, n): for each of the words (word, n) all attested ones it may be a misreading of.
 
-    return spread(words.select("word", "n")).mapInPandas(run, "word string, right string, cost int, n long")
+    Shards of the vocabulary hold words of one length; a word is looked up in those of all lengths
+    it can come from. Both sides of a shard are bounded, however the words are spread."""
+    sized = words.withColumn("size", F.length("word"))
+    known = sized.where(F.col("n") >= least).select(F.col("word").alias("right"), "n", "size")
+    asked = sized.select("word", F.col("n").alias("n_read"), F.explode(F.sequence(F.greatest(F.col("size") - WIDTH, F.lit(1)), F.col("size") + WIDTH)).alias("size"))
+    cuts = known.groupBy("size").agg(F.ceil(F.count("*") / shard).alias("cuts")).join(asked.groupBy("size").agg(F.ceil(F.count("*") / shard).alias("parts")), "size")
+    cuts = stored(cuts, "cuts")
+    at = lambda c, n: F.pmod(F.xxhash64(c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = known.join(cuts, "size").select("right", "n", "size", at("right", F.col("cuts")).alias("cut"), every("parts").alias("part"))
+    right = asked.join(cuts, "size").select("word", "n_read", "size", at("word", F.col("parts")).alias("part"), every("cuts").alias("cut"))
+    keys = ("size", "cut", "part")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_lookup, "word string, n_read long, right string, price double, n long")
 
 
 # --- page furniture ----------------------------------------------------------------------
@@ -323,13 +374,14 @@ class Furniture(NamedTuple):
     piece: str
 
 
-def _akin(a: str, b: str) -> bool:
-    """A cheap test that any two lines pass that differ by a few misread characters."""
-    return abs(len(a) - len(b)) <= max(1, len(b) // 6) and (a[:3] == b[:3] or a[-3:] == b[-3:] or a[len(a) // 2 - 2 : len(a) // 2 + 2] in b)
-
-
-def _alike(a: str, b: str) -> bool:
-    return bool(a) and _akin(a, b) and distance(a, b, max(1, len(b) // 6)) <= max(1, len(b) // 6)
+@functools.lru_cache(maxsize=200_000)
+def _far(fold: str, head: str) -> int | None:
+    """The distance of a line to a known header, None if it is no reading of it."""
+    most = max(1, len(head) // 6)
+    if not fold or abs(len(fold) - len(head)) > most:
+        return None
+    d = distance(fold, head, most)
+    return d if d <= most else None
 
 
 def furniture_of_lines(text: str, page_no: int | None, known: list[str], forms: frozenset[str], frequent: frozenset[str]) -> list[Furniture]:
@@ -339,13 +391,10 @@ def furniture_of_lines(text: str, page_no: int | None, known: list[str], forms:
     for side in (lines[:EDGES], lines[: EDGES - 1 : -1][:EDGES] if len(lines) > EDGES else []):
         for k, line in enumerate(side):
             inner = side[k + 1] if k + 1 < len(side) else None
-            if len(line.text) > 100:
-                break
             head, _ = without_number(line.text)
-            fold = folded(head)
             if number_of(line.text, page_no, inner is None or not bare(inner.text)):
                 out.append(Furniture(line.start, line.end, "page_number", line.text))
-            elif any(_alike(fold, h) for h in known) and len(head) < 90 or is_header(head, forms, frequent):
+            elif is_header(head, forms, frequent) or known and any(_far(fold, h) is not None for fold in (folded(head),) for h in known):
                 out.append(Furniture(line.start, line.end, "header", line.text))
             else:
                 break
@@ -353,97 +402,110 @@ def furniture_of_lines(text: str, page_no: int | None, known: list[str], forms:
 
 
 def is_header(line: str, forms: frozenset[str], frequent: frozenset[str]) -> bool:
-    return len(line) < 90 and not line.endswith((".", ",", ";", *HYPHENS)) and form_of(line, frequent) in forms
+    return line[-1:] not in _CLOSED and form_of(line, frequent) in forms
+
 
+_CLOSED = frozenset((".", ",", ";", *HYPHENS))
 
-@functools.lru_cache(maxsize=4)
-def _lengths(forms: frozenset[str]) -> frozenset[int]:
-    return frozenset(f.count(" ") + 1 for f in forms)
 
+@functools.lru_cache(maxsize=64)
+def _shapes(forms: frozenset[str]) -> tuple[frozenset[int], frozenset[str], frozenset[str]]:
+    """The numbers of tokens of all forms, their first two tokens and their last two."""
+    return frozenset(f.count(" ") + 1 for f in forms), frozenset(" ".join(f.split(" ")[:2]) for f in forms), frozenset(" ".join(f.split(" ")[-2:]) for f in forms)
 
-@functools.lru_cache(maxsize=4)
-def _ends(forms: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """The first and the last two tokens of all forms."""
-    return frozenset(" ".join(f.split(" ")[:2]) for f in forms), frozenset(" ".join(f.split(" ")[-2:]) for f in forms)
+
+@functools.lru_cache(maxsize=2000)
+def _styles(styles: tuple[str, ...]) -> tuple[list[tuple[str, int]], frozenset[int], bool]:
+    """The folds of a document's headers with their numbers of tokens; whether it writes page numbers next to them."""
+    heads = [(folded(h), len(h.split())) for h in (without_number(x)[0] for x in styles)]
+    return heads, frozenset(n for _, n in heads), not styles or any(without_number(x)[1] != "none" for x in styles)
 
 
-def _edge_tokens(text: str, reach: int = 150) -> list[tuple[int, int]]:
-    """Places of the tokens near both ends; headers are shorter than the reach."""
-    if len(text) <= 2 * reach:
-        return [m.span() for m in _TOKEN.finditer(text)]
-    head = [m.span() for m in _TOKEN.finditer(text, 0, reach)][:-1]
-    return head + [m.span() for m in _TOKEN.finditer(text, len(text) - reach)][1:]
+def _edge_tokens(text: str, most: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """The first and the last `most` tokens and their places."""
+    first = text.split(None, most)
+    if len(first) <= most:
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        return first, spans
+    start = text.rindex(first[-1])  # the rest of the text, to its end
+    rest = first.pop().rsplit(None, most)
+    tail = start
+    if len(rest) > most:
+        tail += len(rest[0])
+    spans = [m.span() for m in _TOKEN.finditer(text, 0, start)] + [m.span() for m in _TOKEN.finditer(text, tail)]
+    return [text[a:b] for a, b in spans], spans
 
 
 def furniture_of_flat(text: str, page_no: int | None, known: list[str], styles: list[str], forms: frozenset[str], frequent: frozenset[str]) -> list[Furniture]:
     """The same at both ends of a text that was flattened to one line."""
-    toks = _edge_tokens(text)
-    word = lambda i: text[toks[i][0] : toks[i][1]]
-    span = lambda a, b: text[toks[a][0] : toks[b - 1][1]]
-    single = lambda s: " ".join(s.split())
-    shape = functools.cache(lambda i: _form(word(i), frequent))
+    heads, counts, attached = _styles(tuple(styles))
+    shaped, openings, closings = _shapes(forms)
+    sizes = sorted(counts | shaped)
+    # two headers with a number on either side are the most that an end can hold
+    words, toks = _edge_tokens(text, 2 * max((*sizes, 3)) + 4)
+    single = lambda a, b: " ".join(words[a:b])
+    shape = functools.cache(lambda i: _form(words[i], frequent))
     out: list[Furniture] = []
-    heads = [(folded(h), len(h.split())) for h in (without_number(x)[0] for x in styles)]
-    openings, closings = _ends(forms)
-    counts = {n for _, n in heads}
-    sizes = sorted(counts | _lengths(forms))
 
-    def number(a: int, b: int) -> bool:
-        return number_of(single(span(a, b)), page_no, False)
+    def number(i: int) -> bool:
+        return bare(words[i]) and number_of(words[i], page_no, False)
 
     def header(a: int, b: int) -> float | None:
         """How far a stretch is from a header: the distance to a known one, or 0.5 for a known form."""
-        part = span(a, b)
         if b - a in counts:
-            fold = folded(part)
-            near = min((x for h, n in heads if n == b - a and _akin(fold, h) and (x := distance(fold, h, len(h) // 6 + 1)) <= max(1, len(h) // 6)), default=None)
+            fold = folded(single(a, b))
+            near = min((x for h, n in heads if n == b - a and (x := _far(fold, h)) is not None), default=None)
             if near is not None:
                 return float(near)
-        if b - a < 2 or f"{shape(a)} {shape(a + 1)}" not in openings or f"{shape(b - 2)} {shape(b - 1)}" not in closings:
+        if b - a not in shaped or f"{shape(a)} {shape(a + 1)}" not in openings or f"{shape(b - 2)} {shape(b - 1)}" not in closings:
             return None
-        shaped = len(part) < 90 and not part.endswith((".", ",", ";", *HYPHENS)) and " ".join(map(shape, range(a, b))) in forms and (b >= len(toks) or word(b)[:1].isupper() or word(b)[:1] in "-|(" or word(b)[:1].isdigit())
-        return 0.5 if shaped else None
-
-    attached = any(s in ("before", "behind") for s in (without_number(h)[1] for h in styles)) or not styles
+        opens = b >= len(words) or words[b][:1].isupper() or words[b][:1] in "-|(" or words[b][:1].isdigit()
+        return 0.5 if opens and words[b - 1][-1] not in _CLOSED and " ".join(map(shape, range(a, b))) in forms else None
 
     for front in (True, False):
-        hi = len(toks)
-        a = 0 if front else hi
-        used = 0
-        while used < 2:
-            hit = None
-            left = (hi - a) if front else a
-            for n in (3, 2):  # an ornate page number
-                if n <= left and hit is None and ornate(single(span(a, a + n) if front else span(a - n, a))):
-                    hit = ("page_number", a, a + n) if front else ("page_number", a - n, a)
+        a = 0 if front else len(words)
+        for _ in range(EDGES):
+            left = len(words) - a if front else a
+            hit = next((("page_number", *((a, a + n) if front else (a - n, a))) for n in (3, 2) if n <= left and words[a if front else a - n][:1] in _ORNATE and ornate(single(*((a, a + n) if front else (a - n, a))))), None)
             # a header, with a bare number next to it where this document writes it so; the nearest to a known one
             best: tuple[float, int] | None = None
+            ways = ((0, 0), (1, 0), (0, 1)) if attached else ((0, 0),)
             for n in sizes if hit is None else ():
-                for before, behind in ((0, 0), (1, 0), (0, 1)):
+                for before, behind in ways:
                     if n < 2 or n + before + behind > left:
                         continue
                     s = a if front else a - n - before - behind
                     h = s + before
-                    if before and not (attached and bare(word(s)) and number(s, s + 1)) or behind and not (attached and bare(word(h + n)) and number(h + n, h + n + 1)):
+                    if before and not number(s) or behind and not number(h + n):
                         continue
                     far = header(h, h + n)
                     if far is not None and (best is None or (far, -before - behind) < best):
                         best, hit = (far, -before - behind), ("header", s, s + n + before + behind)
             if hit is None and left:
                 s = a if front else a - 1
-                if number(s, s + 1):
+                if number_of(words[s], page_no, False):
                     hit = ("page_number", s, s + 1)
             if hit is None:
                 break
             kind, s, e = hit
-            out.append(Furniture(toks[s][0], toks[e - 1][1], kind, single(span(s, e))))
+            out.append(Furniture(toks[s][0], toks[e - 1][1], kind, single(s, e)))
             a = e if front else s
-            used += 1
         if front and out and out[-1].end >= len(text.rstrip()):
             break
     return out
 
 
+def stretches(text: str, frequent: frozenset[str], sizes: frozenset[int]) -> set[str]:
+    """All forms that the stretches at the ends of a text have: what header forms can match in it."""
+    if "\n" in text.strip():
+        lines = lines_of(text)
+        return {form_of(without_number(x.text)[0], frequent) for x in (*lines[:EDGES], *lines[-EDGES:])}
+    reach = 2 * max((*sizes, 3)) + 4
+    words, _ = _edge_tokens(text, reach)
+    shapes = [_form(w, frequent) for w in words]
+    return {" ".join(shapes[i : i + n]) for n in sizes for i in range(len(shapes) - n + 1)}
+
+
 def outside(text: str, taken: list[tuple[int, int]]) -> list[str]:
     """The tokens of a text without some stretches; each of these leaves a mark between its neighbours."""
     if not taken:
@@ -459,34 +521,46 @@ def outside(text: str, taken: list[tuple[int, int]]) -> list[str]:
 # --- divided words and reflow ------------------------------------------------------------
 
 
-def rejoined(left: str, right: str, counts: dict[str, int]) -> str:
-    """The word that two parts at a line end make: a compound keeps its hyphen."""
-    l, r = word_of(left + "x")[:-1] or left.lower(), word_of(right)  # noqa: E741
-    l = regex.sub(r"^[^\p{L}\p{N}@|]+", "", l)  # noqa: E741
-    plain, compound = l + r, f"{l}-{r}"
-    if counts.get(compound, 0) > counts.get(plain, 0):
-        return compound
-    if not counts.get(plain) and not counts.get(compound):
-        tail = l.rpartition("-")[2]
-        if counts.get(tail, 0) and counts.get(r, 0) and len(tail) > 3 and len(r) > 3:
-            return compound
-    return plain
+# Words that follow a hyphen which leaves out the second half of a compound.
+_AND = frozenset(("and", "or", "und", "oder", "et", "ou", "y", "o"))
+
 
+class Break(NamedTuple):
+    """A word that may be divided. `sure`: at a line end, or by a mark that stands for nothing else."""
 
-def divided(text: str, counts: dict[str, int]) -> list[tuple[int, int, str]]:
-    """(start, end, word) of the words divided at line ends."""
+    start: int
+    end: int
+    left: str
+    right: str
+    sure: bool
+
+
+def breaks(text: str) -> list[Break]:
     out = []
-    for start, mark_at, end, left, gap, right in broken(text):
-        if not any(c.isalpha() for c in left) or not any(c.isalpha() for c in right) or right[:1].isupper() and not left.isupper():
+    for start, mark, end, left, gap, right in broken(text):
+        if left.isnumeric() or right.isnumeric() or not any(map(str.isalpha, left)) or not any(map(str.isalpha, right)) or right[:1].isupper() and not left.isupper():
             continue
-        if "\n" not in gap:
-            mark = text[mark_at]
-            if right.lower() in ("and", "or", "und", "oder", "et", "ou", "y", "o") or mark == "-" and not (counts.get(rejoined(left, right, counts)) or not counts.get(word_of(right)) or not counts.get(word_of(left))):
-                continue
-        out.append((start, end, rejoined(left, right, counts)))
+        flat = "\n" not in gap
+        if flat and right.lower() in _AND:
+            continue
+        l = word_of(left + "x")[:-1] or left.lower()  # noqa: E741
+        out.append(Break(start, end, regex.sub(r"^[^\p{L}\p{N}@|]+", "", l), word_of(right), not flat or text[mark] != "-"))
     return out
 
 
+def rejoined(halves: DataFrame, counted: DataFrame) -> DataFrame:
+    """(left, behind, joined, divided) of the halves (left, behind) of words: a compound keeps its hyphen;
+    divided says whether the word is one at all where only a hyphen and a space stand between."""
+    l, r = F.col("left"), F.col("behind")
+    asked = {"plain": F.concat(l, r), "compound": F.concat(l, F.lit("-"), r), "tail": F.substring_index(l, "-", -1), "l": l, "r": r}
+    roles = halves.select(l, r, F.inline(F.array(*[F.struct(F.lit(k).alias("role"), c.alias("word")) for k, c in asked.items()])))
+    met = roles.join(counted, "word", "left").groupBy("left", "behind").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in asked])
+    tail = (F.col("n_tail") >= ATTESTED) & (F.col("n_r") >= ATTESTED) & (F.length(asked["tail"]) > 3) & (F.length(r) > 3)
+    compound = (F.col("n_compound") > F.col("n_plain")) | ((F.col("n_compound") == 0) & (F.col("n_plain") == 0) & tail)
+    whole = F.when(compound, F.col("n_compound")).otherwise(F.col("n_plain"))
+    return met.select("left", "behind", F.when(compound, asked["compound"]).otherwise(asked["plain"]).alias("joined"), ((whole >= ATTESTED) | (F.col("n_r") < ATTESTED) | (F.col("n_l") < ATTESTED)).alias("divided"))
+
+
 def reflowed(text: str, spans: list[Furniture], breaks: list[tuple[int, int, str]], right: dict[str, str]) -> str:
     """The text without furniture, with divided and misread words restored, one line per paragraph."""
     parts, at = [], 0
@@ -518,131 +592,230 @@ def reflowed(text: str, spans: list[Furniture], breaks: list[tuple[int, int, str
 
 def edge_lines(text: str) -> Iterator[tuple[str, str, str]]:
     """(line without its number, line, its fold) of what may be headers at both ends."""
+    if "\n" not in text.strip():
+        return
     lines = lines_of(text)
     for line in {*lines[:EDGES], *lines[-EDGES:]}:
-        if len(line.text) > 100 or line.text.endswith((".", ",", ";", *HYPHENS)):
+        if line.text[-1] in _CLOSED:
             continue
         head, _ = without_number(line.text)
         fold = folded(head)
-        if len(fold) > 5 and len(head) < 90 and not head.endswith((".", ",", ";", *HYPHENS)):
+        if len(fold) > 5 and head[-1] not in _CLOSED:
             yield head, line.text, fold
 
 
-def headers_of(texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, frozenset[str], frozenset[str]]:
-    """(doc, known, styles) of the lines that recur over a document's pages; the forms such lines
-    have in several documents, and the words frequent in them (both bounded by FORMS)."""
-    sizes = texts.groupBy("doc").agg(F.countDistinct("page_no").alias("pages"))
-    often = edges.groupBy("doc", "fold").agg(F.countDistinct("page_no").alias("on"), F.min("bare").alias("bare"), F.mode("line").alias("line"))
-    kept = stored(often.join(sizes, "doc").where(F.col("on") >= F.greatest(F.lit(2), F.col("pages") * 0.2)).select("doc", "fold", "bare", "line"), "headers")
-    of_doc = kept.groupBy("doc").agg(F.collect_set("fold").alias("known"), F.collect_set("line").alias("styles"))
-    frequent = kept.select("doc", F.explode(F.split(F.lower("bare"), r"[\s.,;:()]+")).alias("w")).where("w rlike '[a-z]'").groupBy("w").agg(F.countDistinct("doc").alias("docs")).where("docs >= 3").orderBy(F.desc("docs"), "w").limit(FORMS)
-    words = {r.w: r.docs for r in frequent.collect()}
-    most = max(words.values(), default=0)
-    common = frozenset(w for w, n in words.items() if n >= max(3, most * 0.08))
+def headers_of(texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[str]]:
+    """(place, known, styles) of the lines that recur over the neighbouring pages of a document; (form) of
+    the forms such lines have in several documents; the words frequent in them.
+
+    A place holds at most PAGES pages with 2 * EDGES lines each. A frequent word stands in a
+    fiftieth of the documents with headers, so there are at most fifty times the words of one
+    document's headers."""
+    sizes = texts.groupBy("place").agg(F.countDistinct("page_no").alias("pages"))
+    often = edges.groupBy("place", "fold").agg(F.countDistinct("page_no").alias("on"), F.min("bare").alias("bare"), F.mode("line").alias("line"), F.first("doc").alias("doc"))
+    kept = stored(often.join(sizes, "place").where(F.col("on") >= F.greatest(F.lit(2), F.least(F.lit(RECURS), F.col("pages") * 0.2))).select("place", "doc", "fold", "bare", "line"), "headers")
+    of_place = kept.groupBy("place").agg(F.collect_set("fold").alias("known"), F.collect_set("line").alias("styles"))
+    some = kept.agg(F.countDistinct("doc")).first()[0]
+    frequent = kept.select("doc", F.explode(F.split(F.lower("bare"), r"[\s.,;:()]+")).alias("w")).where("w rlike '[a-z]'").groupBy("w").agg(F.countDistinct("doc").alias("docs")).where(F.col("docs") >= max(3, some / 50))
+    common = frozenset(r.w for r in frequent.select("w").toLocalIterator())
 
     def shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc": f["doc"], "form": [form_of(b, common) for b in f["bare"]]})
+            yield pd.DataFrame({"doc": list(f["doc"]), "form": [form_of(b, common) for b in f["bare"]]})
 
-    forms = kept.select("doc", "bare").mapInPandas(shape, "doc string, form string").groupBy("form").agg(F.countDistinct("doc").alias("docs")).where("docs >= 3").orderBy(F.desc("docs"), "form").limit(FORMS).collect()
-    return of_doc, frozenset(r.form for r in forms if not set(r.form.split()) <= {"W", "w"}), common
+    forms = kept.select("doc", "bare").mapInPandas(shape, "doc string, form string").groupBy("form").agg(F.countDistinct("doc").alias("docs")).where("docs >= 3").select("form")
+    return of_place, forms.where(~F.col("form").rlike("^[Ww]( [Ww])*$")), common
 
 
 class Noise(NamedTuple):
     """What scan_noise() found: the cases, and what repaired() needs."""
 
-    texts: DataFrame  # src, row_id, text, doc, page_no, known, styles
+    texts: DataFrame  # src, row_id, text, page_no, known, styles, own
     cases: DataFrame  # src, row_id, kind, piece
     readings: DataFrame  # src, row_id, word, right
+    joins: DataFrame  # src, row_id, left, behind, joined
     context: tuple
 
 
-def scan_noise(texts: DataFrame) -> Noise:
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+def _slot(bits: int, first: Column | str, second: Column | str | None = None) -> Column:
+    """The place of a word, or of two in a row, in a bit table; slots() is its twin for hashes."""
+    h = F.xxhash64(first)
+    if second is not None:
+        h = h.bitwiseXOR(F.shiftleft(F.xxhash64(second), 7))
+    return F.shiftright(h, 20).bitwiseAND(F.lit(bits - 1))
+
+
+def slots(bits: int, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    h = first if second is None else first ^ (second << np.uint64(7))
+    return (h >> np.uint64(20)) & np.uint64(bits - 1)
+
+
+def bit_table(rows: DataFrame, *words: str) -> np.ndarray:
+    """A table of bits with those set that belong to the rows, 16 bits for each of them and BITS at most.
+    It is put together in the executors; false hits are for the reader to drop."""
+    bits = min(BITS, max(1 << 16, 1 << (16 * max(1, rows.count()) - 1).bit_length()))
+    slot = _slot(bits, *words)
+    packed = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toPandas()  # BITS / 32 rows at most
+    out = np.zeros(bits // 32, np.uint32)
+    out[packed["k"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _hit(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+
+
+def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
     """texts has src, row_id, text, doc and page_no (both may be null: the page is not known)."""
     spark = texts.sparkSession
-    texts = texts.select("src", "row_id", "text", "doc", "page_no")
-    texts = stored(spread(texts.where(F.col("text").isNotNull() & (F.trim("text") != ""))), "scans")
-    profile = stored(texts.select("doc", "page_no", "text").mapInPandas(_profile, _PROFILE), "profile")
-    of_doc, forms, common = headers_of(texts.where(F.col("doc").isNotNull()), profile.where("fold is not null"))
+    place = F.when(F.col("doc").isNotNull() & F.col("page_no").isNotNull(), F.concat("doc", F.lit("\0"), F.floor(F.col("page_no") / PAGES)))
+    texts = stored(spread(texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("src", "row_id", "text", "doc", "page_no", place.alias("place"))), "scans")
+    profile = stored(texts.select("place", "doc", "page_no", "text").mapInPandas(_profile, _PROFILE), "profile")
+    of_place, forms, common = headers_of(texts.where(F.col("place").isNotNull()), profile.where("fold is not null"))
     counted = stored(_summed(profile), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    vocabulary = {r.word: r.n for r in counted.where(F.col("n") >= max(ATTESTED, total / SHARE)).toLocalIterator()}  # at most SHARE words
-    readings = stored(misreadings(counted, vocabulary), "readings")
-    doubtful = {r.word for r in readings.select("word").distinct().join(spark.createDataFrame([(w,) for w in vocabulary] or [("",)], "word string"), "word", "left_semi").toLocalIterator()}
-    held = spark.sparkContext.broadcast((vocabulary, frozenset(doubtful), forms, common))
-    # a document has at most 1/0.2 lines that recur on a fifth of its pages, two ends, and EDGES each
-    placed = texts.join(broadcast_if_small(stored(of_doc, "headers"), 2000), "doc", "left")
+    readings = stored(misreadings(counted), "readings")
+    doubtful = bit_table(readings.select("word").distinct(), "word")
+    forms = stored(forms, "forms")
+    many = forms.count() > forms_bound
+    held = spark.sparkContext.broadcast((doubtful, frozenset() if many else frozenset(r.form for r in forms.toLocalIterator()), common))
+    placed = texts.join(stored(of_place, "places"), "place", "left")
+    placed = _own_forms(placed, forms, common) if many else placed.withColumn("own", F.lit(None).cast("array<string>"))
+    placed = placed.select("src", "row_id", "text", "page_no", "known", "styles", "own")
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, unsure, shapes, usual = held.value
-        doubts: dict[str, str] = {}
+        table, shapes, usual = held.value
+        doubts = _Doubts(table)
         for f in frames:
             rows = []
-            for src, row, text, page, known, styles in zip(f["src"], f["row_id"], f["text"], f["page_no"], f["known"], f["styles"]):
-                spans = _spans(text, page, known, styles, shapes, usual)
-                rows += [(src, row, s.kind, s.piece, None, None) for s in spans]
-                breaks = [b for b in divided(text, counts) if not any(s.start < b[1] and b[0] < s.end for s in spans)]
-                rows += [(src, row, "hyphen", w, None, None) for _, _, w in breaks]
-                taken = sorted([(s.start, s.end) for s in spans] + [(a, b) for a, b, _ in breaks])
-                toks = outside(text, taken)
-                for i, token in enumerate(toks):
-                    doubt = doubts.get(token)
-                    if doubt is None:
-                        w = word_of(token)
-                        doubt = doubts[token] = w if _worth(w) and (w not in counts or w in unsure) else ""
-                    if doubt:
-                        rows.append((src, row, "suspect", doubt, word_of(toks[i - 1]) if i else "", word_of(toks[i + 1]) if i + 1 < len(toks) else ""))
+            for src, row, text, page, known, styles, own in zip(f["src"], f["row_id"], f["text"], f["page_no"], f["known"], f["styles"], f["own"]):
+                spans, parts = _taken(text, page, known, styles, own, shapes, usual)
+                rows += [(src, row, s.kind, s.piece, None, None, True) for s in spans]
+                for b in parts:
+                    rows.append((src, row, "hyphen", None, b.left, b.right, b.sure))
+                    if not b.sure:  # two words unless the counts say one
+                        rows += [(src, row, "half", w, b.left, b.right, False) for w in (b.left, b.right) if _worth(w) and doubts[w]]
+                toks = outside(text, sorted([(s.start, s.end) for s in spans] + [(b.start, b.end) for b in parts]))
+                for i, w in enumerate(map(doubts.__getitem__, toks)):
+                    if w:
+                        before, behind = i > 0 and toks[i - 1][-1] not in _CLOSING, i + 1 < len(toks) and toks[i][-1] not in _CLOSING
+                        rows.append((src, row, "suspect", w, word_of(toks[i - 1]) if before else "", word_of(toks[i + 1]) if behind else "", True))
             if len(doubts) > 300_000:
                 doubts.clear()
-            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "piece", "left", "behind"])
+            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "piece", "left", "behind", "sure"])
 
     kind = texts.schema["row_id"].dataType.simpleString()
-    seen = stored(placed.select("src", "row_id", "text", "page_no", "known", "styles").mapInPandas(look, f"src string, row_id {kind}, kind string, piece string, left string, behind string"), "seen")
-    options = seen.where("kind in ('suspect', 'hyphen')").join(readings, F.col("piece") == F.col("word"))
-    chosen = stored(_ranked(texts, options, spark), "chosen")
+    seen = stored(placed.mapInPandas(look, f"src string, row_id {kind}, kind string, piece string, left string, behind string, sure boolean"), "seen")
+    halves = seen.where("kind in ('hyphen', 'half')")
+    joined = halves.join(rejoined(halves.select("left", "behind").distinct(), counted), ["left", "behind"])
+    joins = stored(joined.where("kind = 'hyphen' and (sure or divided)").select("src", "row_id", "left", "behind", "joined"), "joins")
+    apart = joined.where("kind = 'half' and not divided").select("src", "row_id", F.lit("suspect").alias("kind"), "piece", F.when(F.col("piece") == F.col("left"), "").otherwise(F.col("left")).alias("left"), F.when(F.col("piece") == F.col("left"), F.col("behind")).otherwise("").alias("behind"))
+    whole = joins.select("src", "row_id", F.lit("hyphen").alias("kind"), F.col("joined").alias("piece"), F.lit("").alias("left"), F.lit("").alias("behind"))
+    asked = seen.where("kind = 'suspect'").select("src", "row_id", "kind", "piece", "left", "behind").unionByName(apart).unionByName(whole)
+    chosen = stored(_ranked(texts, asked.join(readings, F.col("piece") == F.col("word")), counted, total), "chosen")
     chars = chosen.where("kind = 'suspect'").select("src", "row_id", F.lit("char").alias("kind"), F.col("right").alias("piece"))
     fixed = chosen.where("kind = 'hyphen'").select("src", "row_id", "piece", F.col("right").alias("fixed")).distinct()
-    rest = seen.where("kind <> 'suspect'").select("src", "row_id", "kind", "piece")
-    rest = rest.join(fixed.withColumn("kind", F.lit("hyphen")), ["src", "row_id", "kind", "piece"], "left").select("src", "row_id", "kind", F.coalesce("fixed", "piece").alias("piece"))
-    cases = rest.unionByName(chars).distinct()
-    return Noise(placed, cases, chosen.select("src", "row_id", F.col("piece").alias("word"), "right").distinct(), (held,))
+    hyphens = whole.select("src", "row_id", "piece").join(fixed, ["src", "row_id", "piece"], "left").select("src", "row_id", F.lit("hyphen").alias("kind"), F.coalesce("fixed", "piece").alias("piece"))
+    lines = seen.where("kind in ('header', 'page_number')").select("src", "row_id", "kind", "piece")
+    cases = lines.unionByName(hyphens).unionByName(chars).distinct()
+    return Noise(placed, cases, chosen.select("src", "row_id", F.col("piece").alias("word"), "right").distinct(), joins, (held,))
+
+
+_CLOSING = frozenset(".!?:;")  # behind these a neighbour tells nothing
+
+
+class _Doubts(dict):
+    """The word of a token if it may be a misreading, else nothing."""
 
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table
 
-def _ranked(texts: DataFrame, options: DataFrame, spark) -> DataFrame:  # noqa: ANN001
-    """The best candidate of every occurrence: cost, then neighbours, then frequency."""
-    keyed = options.withColumn("at", F.struct("src", "row_id", "kind", "piece", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("behind", F.lit("")).alias("behind"))).select("at", "right", "cost", "n")
-    cheapest = stored(keyed.withColumn("least", F.min("cost").over(Window.partitionBy("at"))).where("cost = least").withColumn("rivals", F.count("*").over(Window.partitionBy("at"))), "options")
-    # neighbours are counted only for the words that compete somewhere: a part of the vocabulary
-    rivals = spark.sparkContext.broadcast(frozenset(r.right for r in cheapest.where("rivals > 1").select("right").distinct().toLocalIterator()))
+    def __missing__(self, token: str) -> str:
+        w = word_of(token)
+        doubt = _worth(w) and bool(_hit(self.table, slots(32 * len(self.table), np.array([_hash(w)], np.uint64)))[0])
+        self[token] = out = w if doubt else ""
+        return out
+
+
+def _own_forms(placed: DataFrame, forms: DataFrame, common: frozenset[str]) -> DataFrame:
+    """The header forms that can stand in each text, joined to it: the way for more forms than are broadcast."""
+    sizes = frozenset(r.n for r in forms.select((F.size(F.split("form", " "))).alias("n")).distinct().toLocalIterator())
+    kind = placed.schema["row_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(s, r, x) for s, r, t in zip(f["src"], f["row_id"], f["text"]) for x in stretches(t, common, sizes)]
+            yield pd.DataFrame(rows, columns=["src", "row_id", "form"])
+
+    met = placed.select("src", "row_id", "text").mapInPandas(run, f"src string, row_id {kind}, form string").join(forms, "form").groupBy("src", "row_id").agg(F.collect_set("form").alias("own"))
+    return placed.join(met, ["src", "row_id"], "left")
+
+
+def _ranked(texts: DataFrame, options: DataFrame, counted: DataFrame, total: int) -> DataFrame:
+    """The best candidate of every occurrence whose odds against the word as it was read are positive."""
+    options = stored(options.select("src", "row_id", "kind", "piece", "left", "behind", "right", "price", "n", "n_read"), "options")
+    one = options.where("left <> ''").select(F.col("left").alias("a"), F.col("right").alias("b"), F.col("left").alias("other"), "n")
+    two = options.where("behind <> ''").select(F.col("right").alias("a"), F.col("behind").alias("b"), F.col("behind").alias("other"), "n")
+    needed = stored(one.unionByName(two).distinct(), "needed")
+    table = options.sparkSession.sparkContext.broadcast(bit_table(needed, "a", "b"))
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted: dict[str, bool] = {}
+        bits, known = table.value, _Ids()
         for f in frames:
-            c: Counter = Counter()
-            if rivals.value:
-                for t in f["text"]:
-                    toks = t.split()
-                    for i, token in enumerate(toks):
-                        if (hit := wanted.get(token)) is None:
-                            hit = wanted[token] = word_of(token) in rivals.value
-                        if hit:
-                            w, after = word_of(token), word_of(toks[i + 1]) if i + 1 < len(toks) else ""
-                            if i:
-                                c[word_of(toks[i - 1]), w] += 1
-                            if after and after not in rivals.value:
-                                c[w, after] += 1
-                if len(wanted) > 300_000:
-                    wanted.clear()
-            yield pd.DataFrame([(a, b, n) for (a, b), n in c.items()], columns=["a", "b", "m"])
-
-    if not rivals.value:
-        best = F.max_by("right", F.struct("n", "right"))
-        return cheapest.groupBy("at").agg(best.alias("right")).select("at.src", "at.row_id", "at.kind", "at.piece", "right")
+            if len(known) > 300_000:
+                known = _Ids()
+            ids: list[int] = []
+            for t in f["text"]:
+                ids += map(known.__getitem__, t.split())
+                ids.append(0)
+            at = np.array(ids)
+            h = known.hashes()[at]
+            hit = np.flatnonzero(_hit(bits, slots(32 * len(bits), h[:-1], h[1:])) & (at[:-1] > 0) & (at[1:] > 0))
+            both, n = np.unique(at[hit] * len(known.words) + at[hit + 1], return_counts=True)
+            if len(hit):
+                yield pd.DataFrame({"a": [known.words[k // len(known.words)] for k in both], "b": [known.words[k % len(known.words)] for k in both], "m": n.astype("int64")})
+
     near = texts.select("text").mapInPandas(pairs, "a string, b string, m long").groupBy("a", "b").agg(F.sum("m").alias("m"))
-    one, two = near.alias("one"), near.alias("two")
-    scored = cheapest.join(one, (F.col("at.left") == F.col("one.a")) & (F.col("right") == F.col("one.b")) & (F.col("rivals") > 1), "left").join(two, (F.col("right") == F.col("two.a")) & (F.col("at.behind") == F.col("two.b")) & (F.col("rivals") > 1), "left")
-    best = F.max_by("right", F.struct((F.coalesce("one.m", F.lit(0)) + F.coalesce("two.m", F.lit(0))).alias("m"), F.col("n"), F.col("right")))
-    return scored.groupBy("at").agg(best.alias("right")).select("at.src", "at.row_id", "at.kind", "at.piece", "right")
+    by_chance = F.coalesce("n_other", F.lit(1)) * F.col("n") / max(total, 1)
+    lift = F.log((F.coalesce("m", F.lit(0)) + 0.5) / (by_chance + 0.5))
+    lifts = needed.join(near, ["a", "b"], "left").join(counted.select(F.col("word").alias("other"), F.col("n").alias("n_other")), "other", "left").groupBy("a", "b").agg(F.max(lift).alias("lift"))
+    l, r = lifts.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("lift").alias("lift_left")), lifts.select(F.col("a").alias("right"), F.col("b").alias("behind"), F.col("lift").alias("lift_behind"))
+    scored = options.join(l, ["left", "right"], "left").join(r, ["right", "behind"], "left")
+    odds = F.log(F.col("n") / F.col("n_read")) - F.col("price") + F.coalesce("lift_left", F.lit(0.0)) + F.coalesce("lift_behind", F.lit(0.0))
+    best = F.min_by("right", F.struct(-F.col("odds"), -F.col("n"), F.col("right"))).alias("right")
+    return scored.withColumn("odds", odds).where("odds > 0").groupBy("src", "row_id", "kind", "piece", "left", "behind").agg(best).select("src", "row_id", "kind", "piece", "right")
+
+
+class _Ids(dict):
+    """Tokens numbered by their word, from 1, with the hashes of the words; 0 is no word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words, self.hashed, self.of_word = [""], [0], {"": 0}
+
+    def __missing__(self, token: str) -> int:
+        w = word_of(token)
+        k = self.of_word.get(w)
+        if k is None:
+            k = self.of_word[w] = len(self.words)
+            self.words.append(w)
+            self.hashed.append(_hash(w))
+        self[token] = k
+        return k
+
+    def hashes(self) -> np.ndarray:
+        return np.array(self.hashed, np.uint64)
+
+
+def _taken(text: str, page, known, styles, own, shapes: frozenset[str], common: frozenset[str]) -> tuple[list[Furniture], list[Break]]:  # noqa: ANN001
+    """The furniture of a text and the divided words outside of it."""
+    spans = _spans(text, page, known, styles, shapes if own is None else frozenset(own), common)
+    return spans, [b for b in breaks(text) if not any(s.start < b.end and b.start < s.end for s in spans)]
 
 
 def _spans(text: str, page, known, styles, forms: frozenset[str], common: frozenset[str]) -> list[Furniture]:  # noqa: ANN001
@@ -656,18 +829,21 @@ def _spans(text: str, page, known, styles, forms: frozenset[str], common: frozen
 def repaired(noise: Noise) -> DataFrame:
     """(src, row_id, text): continuous readable paragraphs."""
     held = noise.context[0]
-    per_row = noise.readings.groupBy("src", "row_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("right"))
+    keys = ["src", "row_id"]
+    per_row = noise.readings.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("right"))
+    halves = noise.joins.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("left", F.lit("\0"), "behind").alias("k"), "joined"))).alias("halves"))
     kind = noise.texts.schema["row_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, _, shapes, usual = held.value
+        _, shapes, usual = held.value
         for f in frames:
             out = []
-            for text, page, known, styles, right in zip(f["text"], f["page_no"], f["known"], f["styles"], f["right"]):
-                right = dict(right) if right is not None else {}
-                spans = _spans(text, page, known, styles, shapes, usual)
-                out.append(reflowed(text, spans, [(a, b, right.get(w, w)) for a, b, w in divided(text, counts)], right))
-            yield pd.DataFrame({"src": f["src"], "row_id": f["row_id"], "text": pd.Series(out, dtype=object)})
-
-    rows = noise.texts.join(per_row, ["src", "row_id"], "left").select("src", "row_id", "text", "page_no", "known", "styles", "right")
-    return rows.mapInPandas(run, f"src string, row_id {kind}, text string")
+            for text, page, known, styles, own, right, joined in zip(f["text"], f["page_no"], f["known"], f["styles"], f["own"], f["right"], f["halves"]):
+                right, joined = dict(right) if right is not None else {}, dict(joined) if joined is not None else {}
+                spans, parts = _taken(text, page, known, styles, own, shapes, usual)
+                whole = [(b.start, b.end, joined[k]) for b in parts if (k := f"{b.left}\0{b.right}") in joined]
+                out.append(reflowed(text, spans, [(a, b, right.get(w, w)) for a, b, w in whole], right))
+            yield pd.DataFrame({"src": list(f["src"]), "row_id": f["row_id"], "text": pd.Series(out, dtype=object)})
+
+    rows = noise.texts.join(per_row, keys, "left").join(halves, keys, "left")
+    return rows.select(*keys, "text", "page_no", "known", "styles", "own", "right", "halves").mapInPandas(run, f"src string, row_id {kind}, text string")

@@ -244,6 +244,8 @@ def test_kinds(spark):
     df = clashing(spark.createDataFrame(rows, "id long, want string, t string"), "words", "kind", "letters")
     got = {r.id: r for r in quality.kinds(df, "id", "t").collect()}
     assert {i: got[i].kind for i, _, _ in rows} == {i: w for i, w, _ in rows} and got[91].words is None
+    model = quality.fit(quality.statistics(df, "id", "t").where("words is not null"), tolerance=1e-3)
+    assert all(a < b for a, b in zip(model["trace"], model["trace"][1:-1])) and len(model["trace"]) < quality.PASSES and model["trace"][-1] - model["trace"][-2] < 1e-3
     assert got[0].words == 25 and got[0].punctuated_lines == 1.0
     assert quality.kinds(df.limit(0), "id", "t").count() == 0
     odd = df.unionByName(clashing(spark.createDataFrame([(70, None, "a\x1cb\x85c\u2003d  e\r\nf\rg"), (71, None, "x" * 5000), (72, None, "1. a 2. b - c -d\t|x; y,z 1,2 n/a")], "id long, want string, t string"), "words", "kind", "letters"))
@@ -285,7 +287,49 @@ def test_automaton_finds_all_candidates():
     for _ in range(200):
         q = "".join(r.choice("abcd") for _ in range(r.randint(0, 7)))
         assert trie.within(q) == sorted(w for w in words if scans.distance(w, q, 2) <= 2)
-    assert scans.channel("rnodern", "modern") == 1 and scans.channel("c0at1ng", "coating") == 2 and scans.channel("plates", "plants") is None
+    assert scans.price("rnodern", "modern") == (scans.FIRST, 0) and scans.price("c0at1ng", "coating") == (scans.FIRST + scans.MORE, 0)
+    assert scans.price("xeadings", "readings") == (scans.OTHER, 1) and scans.price("growths", "growth") == (scans.GAP, 1)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 70))) for _ in range(2))
+        table = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, table[0] = table[0], i
+            for j, y in enumerate(b, 1):
+                before, table[j] = table[j], min(table[j] + 1, table[j - 1] + 1, before + (x != y))
+        assert scans.distance(a, b, 12) == min(table[-1], 13)
+
+
+@pytest.mark.parametrize("shard", [scans.SHARD, 3])
+def test_all_readings_are_found_in_shards(spark, shard):
+    r = random.Random(8)
+    words = {"".join(r.choice("il1o0es5") for _ in range(r.randint(3, 8))): r.choice((1, 2, 4, 60, 900)) for _ in range(150)} | {"readings": 500, "xeadings": 1, "growth": 700, "growkh": 2}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {(x.word, x.right) for x in scans.misreadings(df, shard=shard).collect()}
+    trie = scans.Trie([w for w, n in words.items() if n >= scans.ATTESTED])
+    want = set()
+    for w, n in words.items():
+        for v in trie.within(w):
+            other = scans.price(w, v)[1]
+            if v != w and words[v] > n and (not other and words[v] >= 12 * n and (len(w) > 3 or not scans.STRONG.isdisjoint(w)) or other and n < 5 and len(w) >= 5 and (other == 1 or len(w) >= 10)):
+                want.add((w, v))
+    assert got == want and ("xeadings", "readings") in got and ("growkh", "growth") in got
+    assert scans.misreadings(df.limit(0)).count() == 0
+
+
+def test_neighbours_decide_between_candidates(spark):
+    one, two = "the samples were washed in cold water", "all cheques were cashed at a bank"
+    rows = [("p", i, one if i % 2 else two, None, None) for i in range(400)] + [("p", 1000, one.replace("washed", "kashed"), None, None), ("p", 1001, two.replace("cashed", "kashed"), None, None), ("p", 1002, "here kashed nothing", None, None)]
+    noise = scans.scan_noise(spark.createDataFrame(rows, "src string, row_id long, text string, doc string, page_no int"))
+    assert {tuple(x)[1:] for x in noise.cases.collect()} == {(1000, "char", "washed"), (1001, "char", "cashed")}
+
+
+def test_header_forms_beyond_the_broadcast_give_the_same(spark):
+    body = ("", "Most plates", "Old lamps", "Both ends", "Some films")
+    pages = [("p", 10 * d + n, f"Annals of {name} Studies\nThe plates of the {name} panel were\nkept in the dark.\n{n}", f"d{d}", n) for d, name in enumerate(("Panel", "Coating", "Water", "Vapour")) for n in range(1, 5)]
+    pages += [("p", 90, "Annals of Oxide Studies\nOne page only has\nno header that recurs.", "e", 1), ("p", 91, "Annals of Oxide Studies 4 The plates of it were kept in the dark.", None, None)]
+    df = spark.createDataFrame(pages, "src string, row_id long, text string, doc string, page_no int")
+    a, b = ({tuple(x) for x in scans.scan_noise(df, bound).cases.collect()} for bound in (scans.FORMS, 0))
+    assert a == b and {x for x in a if x[1] > 80 and x[2] == "header"} == {("p", 90, "header", "Annals of Oxide Studies"), ("p", 91, "header", "Annals of Oxide Studies")}
 
 
 def test_scans(spark):
