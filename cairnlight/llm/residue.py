@@ -1,27 +1,32 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Method: texts are cut into parts (the whole, its sentences and the stretches around dashes
-and bars) and reduced to forms (case, digits and identifiers folded). Forms that are certain
-residue by RULES are the trusted labels. Near-duplicate forms are found with partitioned
-SimHash tables: the 64 bits in 6 blocks, one table for each choice of 3 blocks, which loses
-no pair at a Hamming distance of 3 or less; pairs are verified by that distance and by edit
-similarity (0.8 or more). Labels spread through the connected components, and then from the
-labelled forms to all others of edit similarity 0.8 or more until none is left: candidates
-are compared in blocks of like length by the character pairs and characters they do not
-share, at most two and one an edit, which loses no pair; edit distance verifies them. That costs labelled times other
-forms of like length.
-
-A label does not pass to a form that is as similar (0.8 or more) to what remains of the
-trusted form without its slots, notes and filler: it may well be the sound text around them.
-
-Everything runs on distinct values; buckets are joined inside the JVM under the distance
-condition, so no group is collected and pairs that fail it are never emitted. Null, empty
-and blank values are no cases. Rows repeated under one key are reported once; an empty
+Method: texts are cut into parts (the whole, its sentences, the stretches around dashes and
+bars, between brackets or marks, behind a short lead) and reduced to forms (case, digits,
+identifiers, names of slots and repetitions folded). The trusted labels are those of SEEDS,
+inspected pieces of residue that stand in no corpus at hand; they become forms among the others. Near-duplicate forms are found with
+partitioned SimHash tables over words and character 4-grams: 64 bits in 8 blocks, a table
+for each choice of 2 blocks, so that all forms within 6 bits share a bucket and most of
+those within HAMMING, as far as one changed word moves a short text. In every bucket each
+form is compared with the least and the greatest one, so a family of n copies gives 2n
+candidates and not n * n; candidates are verified by their distance and by edit similarity
+(0.8 or more). Labels spread through the connected components.
+
+What tables of hashes cannot promise is made good exactly: from the labelled forms to all
+others of edit similarity 0.8 or more until none is left. Candidates are compared in blocks
+of like length by the character pairs and characters they do not share, at most two and one
+an edit, which loses no pair. That costs labelled times other forms of like length. Filler
+in random order has no near-duplicates: a text of which nearly all words (SHARE) stand
+mostly in labelled texts is residue as well.
+
+Everything runs on distinct values. A sound text around a slot or a note is never labelled
+as a form itself, only the part is, so nothing spreads from it to its clean copies. Null,
+empty and blank values are no cases. Rows repeated under one key are reported once; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,84 +38,85 @@ from pyspark.sql import functions as F
 
 from cairnlight.session import dropped, spread, stored
 
-HAMMING, SIMILARITY = 3, 0.8
-BLOCKS = (11, 11, 11, 11, 10, 10)
+HAMMING, SIMILARITY = 16, 0.8
+BLOCKS, CHOSEN = 8, 2
 SKETCH, LETTERS, BLOCK = 512, 64, 2000  # bits of a form's character pairs, counts of its characters; forms compared at once
 SALTS = 16  # copies of the verdicts, so that a frequent value is not joined in one task
-
-# The certain forms of residue (matched in lower case unless marked otherwise).
-SLOTS = (
-    r"\{\{[^{}]*\}\}", r"\{%[^{}]*%\}", r"[$#]\{\s*\w+\s*\}", r"<%[^<>]*%>", r"(?<![A-Za-z0-9])__[A-Za-z]\w*__(?![A-Za-z0-9])", r"@@\w+@@", r"\$\$\w+\$\$", r"(?<!\w)%[A-Za-z_]{3,}%(?!\w)",
-    r"(?i)\[\s*insert [^\[\]]+\]", r"\[[A-Z][A-Z_]{2,}\]", r"\[[a-z]+(?:_[a-z]+)+\]", r"<[A-Z][A-Z_]{2,}>", r"<[a-z]+(?:_[a-z]+)+>", r"(?i)<[^<>]*\b(?:here|your|insert)\b[^<>]*>",
-    r"\{(?:[A-Za-z]{3,}|[A-Za-z]+_[A-Za-z_]+)\}", r"%\(\w+\)[sd]", r"(?:^|[\s\[(:'\"])%[sdr](?:$|[\s\])}:,.'\"])",
-)
-NOTES = (
-    r"^\W*(?:tbd|tba|tbc|todo|fixme|xxx|n\.?n\.?)\W*$", r"\b(?:todo|fixme)\b\s*:?\s*(?:\w+)", r"\b(?:caption|text|title|legend|description|figure|message|content|label|name|details?)s? (?:is |are )?(?:still )?(?:to be (?:added|supplied|written|inserted|provided|done)|to (?:come|follow)|coming soon|goes? here|pending|missing)\b",
-    r"\b(?:fill|filled) in later\b", r"\bno (?:description|caption|text|title) yet\b", r"\b(?:type|insert|enter|put|add|write|your|place) (?:\w+ ){0,3}(?:caption|text|title|legend|description|message)\b(?: \w+)? here\b",
-    r"^xxx .* xxx$", r"\b(?:coming soon|to be announced|under construction)\b", r"\bwill be (?:added|supplied|inserted) (?:later|soon)\b",
-)
-FILLER = (
-    r"\blorem ipsum\b|\bipsum lorem\b|\bdolor sit amet\b", r"\b(?:asdf|qwerty|foo bar|blah blah|bla bla|test test|abc abc|some text here|sample text|example text)\b", r"\b(?:dummy|placeholder|filler|sample) (?:text|caption|title|message|content|description)\b",
-    r"^\W*x{3,}(?:\s+x+)*\W*$|\bx{3,}(?:\s+x{2,})+\W*$", r"\b([^\W\d_]{2,})(?:\W+\1){2,}\W*$", r"(?:^|\s)\W*(?:undefined|null|nan|none)(?:\W+(?:undefined|null|nan|none))+\W*$", r"^\W*undefined\W*$", r"\[object object\]",
+SHARE, WORDS, SEEN, MOSTLY = 0.8, 4, 3, 0.25  # of a text's words, of which there must be some, each seen in labelled texts and in this share of all
+ROWS = 50_000  # values that one task takes apart
+
+# Inspected residue; {a|b} stands for either. The names in slots are folded to w, W or w_w.
+SEEDS = (
+    "{{title}}", "{{TITLE}}", "{{page_title}}", "{{PAGE_TITLE}}", "{title}", "{TITLE}", "{page_title}", "${title}", "${TITLE}", "${page_title}", "#{title}", "#{TITLE}", "#{page_title}", "{% title %}", "{% TITLE %}", "{% page_title %}", "<%= title %>", "<%= TITLE %>", "<%= page_title %>", "<% title %>",
+    "[TITLE]", "[PAGE_TITLE]", "[page_title]", "<TITLE>", "<PAGE_TITLE>", "<page_title>", "__TITLE__", "__title__", "__PAGE_TITLE__", "__page_title__", "@@TITLE@@", "@@title@@", "@@PAGE_TITLE@@", "@@page_title@@", "$$TITLE$$", "$$title$$", "$$PAGE_TITLE$$", "$$page_title$$", "%TITLE%", "%title%", "%PAGE_TITLE%", "%page_title%", "%(title)s", "%(title)d",
+    "[insert title here]", "[INSERT TITLE HERE]", "[insert page title here]", "[insert title]", "<insert title here>", "<insert title>", "<your title here>", "<your page title here>", "[your title here]", "<title here>", "<page title here>", "[title here]", "[page title here]", "[author: supply figure]", "[author: add text]", "[image to be added]", "[text to come]", "[placeholder]",
+    "TBD", "TBA", "TODO", "FIXME", "N.N.", "TODO: describe this", "TODO: add text", "TODO text", "to be announced", "coming soon", "(coming soon)", "(to be added)", "(text to follow)", "caption to be added", "Caption to be supplied.", "text to follow", "Figure to come", "Insert caption here", "Type caption text here", "Enter your text here", "Add a description here", "Your text here",
+    "No description yet", "(no description yet - fill in later)", "No caption available yet", "fill in later", "xxx insert figure legend xxx", "This figure will be replaced by the author.", "This image will be replaced later.", "Placeholder text", "This is placeholder text.", "Under construction",
+    "lorem ipsum", "Lorem ipsum dolor sit amet", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "asdf asdf", "qwerty qwerty", "foo bar", "foo bar baz", "blah blah", "bla bla", "test test", "abc abc abc 123", "abc abc", "xxx xxx", "xxxxx xxxx xxxxxxx", "sample text", "Sample text. Sample text.", "some text here", "some text here some text here", "dummy text", "This is dummy text.", "Dummy caption 1", "example text", "undefined undefined", "undefined: undefined", "undefined", "null null", "NaN NaN", "[object Object]", "%s", "%s: %s", "%s - %s",
+    "The {page|file|document|address}{| you requested| you asked for| behind this link} {could not be found|does not exist|is no longer available|cannot be displayed|has been moved|is restricted to members}", "Oops! We could not find that page.", "It may have moved or been deleted.", "Page not found", "404 page not found",
+    "404 Not Found", "403 Forbidden", "410 Gone", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Time-out", "Error 404 (Not Found)", "HTTP Status 404 – Not Found", "HTTP Status 404 – Not Found Type Status Report Description The server could not find the page", "HTTP Status 500 – Internal Server Error Type Status Report Description The server could not serve the page",
+    "<html>", "<!doctype html>", "<body>", "<noscript>", "<html><head><title>404 Not Found</title></head><body><h1>Not Found</h1></body></html>",
+    "Access denied. You do not have permission to view this page.", "You do not have permission to view this page.", "Access denied. Contact the webmaster.", "Your session has expired. Please log in again.", "Your session has expired.", "Please log in again to continue.", "Sorry, something went wrong on our end.", "Something went wrong on our end. Please try again.", "This site is down for maintenance.", "This site is down for maintenance. Please check back soon.", "Please check back soon.", "This page isn't working right now.", "Reload the page or contact the site owner.",
+    "Unusual traffic was detected from your network.", "Unusual traffic was noticed from your network.", "Solve the puzzle below to go on.", "Please prove that you are human.", "Checking your browser before you proceed…", "Checking your browser before you proceed to the page.", "Checking your browser before you proceed to the page you asked for.", "Please wait while we check your browser.", "Scripts and cookies must be on.", "Return to the home page", "Go back to the start page",
+    "Diese Seite wurde leider nicht gefunden.", "Die Seite wurde nicht gefunden.", "Zur Startseite", "Cette page n'existe plus.", "La page demandée est introuvable.", "Page introuvable", "Retour à l'accueil", "La página solicitada no existe.", "Lo sentimos, la página no existe.", "Volver al inicio",
+    "Please {enable|allow} {JavaScript|JS|scripts|active content}{| and cookies}{| in your browser} {to view this page|to load the page|before opening the page}", "{Kindly|You have to|You must|To go on,} {enable|allow} JavaScript{| and cookies}{| in your browser} {to load the page|before opening the page}", "You need to {enable|turn on} JavaScript to run this app.", "Enable JavaScript and cookies to continue", "Enable JS and disable any ad blocker", "For full functionality of this site it is necessary to enable JavaScript.", "{JavaScript|JS|Scripts|Active content} {is {disabled|turned off|not supported|required}|seems to be blocked}{| in your browser| here}", "JavaScript is switched off in your browser.",
+    "{This|Our} {site|page|viewer} {requires|needs|relies on|does not work without} {JavaScript|JS|scripts|active content}{| to be on}", "This viewer needs scripts to be allowed.", "Your browser blocks scripts, so the page cannot load.", "Your browser does not support JavaScript", "Loading… (this page requires JavaScript)", "Switch it on and reload.", "Reload after changing the setting.",
+    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "JavaScript ist deaktiviert.", "Activez JavaScript pour continuer.", "Activez JavaScript et les cookies pour continuer.", "Veuillez activer JavaScript.", "Para ver este contenido debe activar JavaScript en su navegador.", "Active JavaScript para continuar.",
 )
-_THING = r"(?:page|file|document|address|site|website|link|resource|url)"
-_STATE = r"(?:could ?n[o']t be found|could not find|was not found|not found|cannot be (?:displayed|found|opened)|does not exist|doesn't exist|no longer (?:available|exists)|is not here|not available|has (?:been )?moved|has been (?:deleted|removed)|may have moved|restricted to members|is(?:n't| not) working|is down|is unavailable|went missing)"
-PAGES = (
-    rf"\b(?:the|this|that|our|your) {_THING}\b(?: (?:you (?:asked for|wanted|requested|are looking for)|behind this link|requested))?,? (?:\w+ )?{_STATE}", rf"\b{_THING} (?:you (?:asked for|wanted|requested|are looking for)|behind this link) ", r"\bwe could not find (?:that|the|this) (?:page|file|document|address)\b", rf"\b(?:sorry|oops|whoops|hm|we are sorry)\b.{{0,40}}\b{_THING}\b.{{0,60}}{_STATE}",
-    r"<!doctype html|<html\b|<body\b|<head>|<noscript|</\w+>", r"\bhttp status \d+\b", r"^\W*\d{3} (?:not found|bad gateway|service unavailable|gateway time-?out|internal server error|forbidden|gone|unauthorized|bad request)\W*$", r"\byou do not have permission to (?:view|access)\b", r"\byour session has expired\b", r"\bunusual traffic\b", r"\bchecking your browser\b", r"\bsomething went wrong on our (?:end|side)\b", r"\bdown for maintenance\b", r"\b(?:go|return|take me|back) (?:back )?(?:to the )?(?:home ?page|start ?page)\b", r"\bsolve the puzzle below\b|\bprove you are (?:human|not a robot)\b",
-    r"\bseite\b.{0,40}\bnicht (?:gefunden|verfügbar|vorhanden)\b|\bzur startseite\b", r"\bpage introuvable\b|\bn'existe plus\b|\bretour à l'accueil\b", r"\bpágina\b.{0,40}\bno (?:existe|encontrada|se encuentra|disponible)\b|\bvolver al inicio\b",
-)
-_SCRIPT = r"(?:java ?script|\bjs\b|\bscripts?\b|\bscripting\b|\bactive content\b)"
-_ASK = r"(?:\benable|\bactivate|\bturn(?:ed)? (?:on|off|it on)|\bswitch(?:ed)? (?:on|off|it on)|\ballow|\bdisabled?|\brequired|\brequires?|\bneeds?|\brelies on|\bblock(?:s|ed)|\bnot supported|\bwithout|\bmust be on|\bto be on|\bnecessary)"
-SCRIPTS = (
-    rf"(?:^|[.:!?…|;-]\s*|\b(?:to go on|kindly|please|you (?:must|have to|need to|should)|(?:our|this|the|your) \w+(?: \w+)?|loading)[^.]{{0,30}}){_ASK}\w*[^.!?]{{0,40}}{_SCRIPT}", rf"{_SCRIPT}(?: and cookies)? (?:is|are|seems? to be|must be|has to be|have to be|needs? to be) (?:\w+ )?(?:disabled|required|blocked|not supported|turned off|switched off|on|enabled|allowed|unsupported)", rf"\b(?:this|our|the) \w+(?: \w+)? (?:requires|needs|relies on|does not work without|will not work without)\b[^.]{{0,20}}{_SCRIPT}", r"\bnecessary to (?:allow|enable) scripts\b", r"\b(?:enable|allow) (?:java ?script|js)\b",
-    r"\bjavascript\b.{0,40}\b(?:aktivieren|einschalten|erforderlich|benötigt)\b|\baktivieren sie\b.{0,20}\bjavascript\b", r"\bactivez\b.{0,20}\bjavascript\b|\bjavascript\b.{0,30}\b(?:activ|requis|nécessaire)", r"\b(?:activar|active|habilite|habilitar)\b.{0,20}\bjavascript\b|\bjavascript\b.{0,30}\b(?:desactivado|necesario)",
-)
-LATIN = frozenset("lorem ipsum dolor dolore dolorem sit amet consectetur adipiscing elit elitus sed do eiusmod tempor tempore incididunt ut labore et magna magnum aliqua quis quisque nostrud porta mattis nulla orci urna urnae felis felix lacus lacun vivat vivamus vestra vestibulum quam".split())
+# The words of slots that are kept, because they say what is to be done.
+KEPT = ("insert", "here", "your", "author", "supply", "add", "to", "be", "added", "come", "placeholder", "html", "body", "noscript", "doctype", "object", "coming", "soon", "follow")
+_SLOT = r"\{\{[^{}]*\}\}|\{%[^{}]*%\}|[#$]?\{[^{}]*\}|<%[^<>]*%>|<[^<>]*>|\[[^\[\]<>{}%]*\]|(?<!\w)(?:__[A-Za-z]\w*?__|@@\w+@@|\$\$\w+\$\$|%[A-Za-z]\w+%)(?!\w)|%\(\w+\)[sd]"
+_STRETCH = r"\([^()]*\)"
 
 
 def form(text: Column) -> Column:
-    """Case, digits, identifiers and spacing folded."""
+    """Case, digits, identifiers, repetitions and spacing folded."""
     t = F.regexp_replace(F.lower(text), r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{4,}\b", "0")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[0-9]+(?:[.,][0-9]+)*", "0"), r"\s+", " "))
-
-
-def trusted(text: Column) -> Column:
-    """Whether a text is certain residue."""
-    low = F.lower(text)
-    hit = F.lit(False)
-    for p in SLOTS:
-        hit = hit | text.rlike(p)
-    for p in (*NOTES, *FILLER, *PAGES, *SCRIPTS):
-        hit = hit | low.rlike(p)
-    words = F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "")
-    latin = F.size(F.filter(words, lambda w: w.isin(sorted(LATIN))))
-    return hit | ((F.size(words) >= 4) & (latin >= 0.6 * F.size(words)))
-
-
-def bare(text: Column) -> Column:
-    """What remains without slots, notes and filler; null where a page or a script notice is in it."""
-    hit = F.lit(False)
-    for p in (*PAGES, *SCRIPTS):
-        hit = hit | F.lower(text).rlike(p)
-    left = text
-    for p in SLOTS:
-        left = F.regexp_replace(left, p, " ")
-    for p in (*NOTES, *FILLER):
-        left = F.regexp_replace(left, f"(?i){p}", " ")
-    return F.when(~hit, left)
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[0-9]+(?:[.,][0-9]+)*", "0"), r"\s+", " "))
+    t = F.regexp_replace(t, r"(?<=\p{L})[\s.!?…:]+$", "")
+    return F.regexp_replace(t, r"\b(\w{2,})\b(?:\W+\1\b)+", "$1 $1")
+
+
+def slot(stretch: Column) -> Column:
+    """The form of what stands between marks: the words in it folded by their shape, but for KEPT."""
+    t = F.regexp_replace(stretch, "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(KEPT) + ")(?![A-Za-z0-9_])", "\u0001$0\u0001")
+    plain = "(?<![A-Za-z0-9_\u0001\u0002]){}(?![A-Za-z0-9_\u0001])"
+    for name, put in (("[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", "W"), ("[A-Z][A-Z0-9]{2,}", "W"), ("[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+", "ww"), ("[A-Za-z][A-Za-z0-9]{2,}", "w")):
+        t = F.regexp_replace(t, plain.replace("{}", name) if "_" in name else plain.replace("{}", name), "\u0002" + put)
+    t = F.regexp_replace(F.lower(F.regexp_replace(t, "\u0002W", "\u0003")), "\u0003", "W")
+    t = F.regexp_replace(F.regexp_replace(t, "(?<=__)[A-Za-z]\\w*(?=__)", "w"), "[\u0001\u0002]", "")
+    return F.concat(F.lit("\u0004"), F.regexp_replace(F.trim(t), r"(?<=[{%=<\[(])\s+|\s+(?=[}%>\])])", ""))
 
 
 def parts(text: Column) -> Column:
-    """The text and the stretches it consists of."""
-    cut = F.split(text, r"(?<=[.!?…])\s+|\s+[-–—|]\s+|\s*\n+\s*|(?<=\w):\s+")
-    return F.array_distinct(F.concat(F.array(text), F.filter(cut, lambda x: F.length(F.trim(x)) >= 12)))
+    """The forms of a text and of the stretches it consists of."""
+    cut = F.split(text, r"(?<=[.!?…])\s+|\s+[-–—|]\s+|\s*[\n;]+\s*|(?<=\w):\s+|,\s+|(?<=\p{Ll})\s+(?=\p{Lu}\p{Ll})")
+    # what stands behind a lead of some words in lower case, and how stretches open
+    led = F.filter(F.transform(F.concat(F.array(text), cut), lambda x: F.regexp_extract(x, r"^\s*\p{L}+(?: \p{Ll}+){0,2} (?=\p{Lu}\p{L}*[ ,!:])(.+)$", 1)), lambda x: x != "")
+    openings = F.transform(F.concat(F.array(text), cut, led), lambda x: F.regexp_extract(x, r"^\W*(\p{Lu}{4,}(?= \p{L})|\p{L}+ \p{L}+(?= \p{L}+ \p{L}))", 1))
+    bare = F.array(F.regexp_replace(text, r"\s*" + _STRETCH, ""))
+    plain = F.transform(F.concat(F.array(text), cut, led, openings, bare, F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(0))), form)
+    slots = F.transform(F.regexp_extract_all(text, F.lit(_SLOT), F.lit(0)), slot)
+    return F.array_distinct(F.filter(F.concat(plain, slots), lambda x: F.length(x) >= 2))
+
+
+def _choices(pattern: str) -> list[str]:
+    """All texts of a pattern; what stands in braces without a bar is no choice."""
+    m = re.search(r"\{([^{}]*\|[^{}]*)\}", pattern)
+    return [y for x in m.group(1).split("|") for y in _choices(pattern[: m.start()] + x + pattern[m.end() :])] if m else [pattern]
+
+
+def seeds(spark) -> DataFrame:  # noqa: ANN001
+    """(form) of SEEDS: whole, as slots where they are nothing else."""
+    t = F.col("t")
+    only = t.rlike("^(?:" + _SLOT + ")$")
+    return spark.createDataFrame([(x,) for pattern in SEEDS for x in _choices(pattern)], "t string").select(F.when(only, slot(t)).otherwise(form(t)).alias("form")).distinct()
 
 
 def _bits(text: str) -> int:
-    """64-bit SimHash over character 4-grams."""
+    """64-bit SimHash over words and character 4-grams."""
     padded = f"  {text} "
-    grams = {padded[i : i + 4] for i in range(max(1, len(padded) - 3))}
+    grams = {padded[i : i + 4] for i in range(max(1, len(padded) - 3))} | set(text.split())
     codes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
     ones = np.unpackbits(codes.view(np.uint8)).reshape(len(codes), 64).sum(0)
     return int(np.packbits(ones * 2 > len(codes)).view(np.int64)[0])
@@ -126,22 +132,20 @@ def alike(s: str, o: str, similarity: float) -> Column:
     return F.expr(f"levenshtein({s}, {o}, cast(floor({1 - similarity!r} * greatest(length({s}), length({o})) + 1e-9) as int)) >= 0")
 
 
-def near_pairs(forms: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
-    """forms has id and form (distinct); (a, b), a < b, of all pairs within the distance and similarity."""
+def near_links(forms: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
+    """forms has id and form (distinct); (a, b) of pairs within the distance and similarity: of each form
+    with the least and the greatest of every bucket it is in."""
     hashed = stored(spread(forms.select("id", "form")).mapInPandas(_simhashes, "id long, form string, bits long"), "simhash")
-    starts = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
-    tables = []
-    for t, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - hamming)):
-        mask = sum(((1 << BLOCKS[k]) - 1) << int(starts[k]) for k in chosen)
+    size, tables = 64 // BLOCKS, []
+    for t, chosen in enumerate(combinations(range(BLOCKS), CHOSEN)):
+        mask = sum(((1 << size) - 1) << k * size for k in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         tables.append(F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(mask)).alias("key")))
     placed = hashed.select("id", "bits", F.inline(F.array(*tables)))
-    a, b = placed.alias("a"), placed.alias("b")
-    close = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= hamming)
-    pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    texts = hashed.select("id", "form")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(texts.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-    return both.where(alike("fa", "fb", similarity)).select("a", "b")
+    ends = placed.groupBy("t", "key").agg(F.min(F.struct("id", "bits")).alias("least"), F.max(F.struct("id", "bits")).alias("most")).where("least.id < most.id")
+    met = placed.join(ends, ["t", "key"]).select(F.col("id").alias("a"), "bits", F.explode(F.array("least", "most")).alias("o"))
+    pairs = met.where((F.col("a") != F.col("o.id")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("o.bits"))) <= hamming)).select("a", F.col("o.id").alias("b")).distinct()
+    return within(pairs, hashed, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,16 +212,15 @@ def _blocks(sketches: DataFrame, similarity: float, name: str) -> DataFrame:
 
 
 def within(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of edit similarity or more over which a label can pass; forms has id, form, sure and bare."""
-    x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}"), F.col("sure").alias(f"s{k}"), F.col("bare").alias(f"r{k}")) for k in "ab")
-    lacks = lambda s, o: F.col(f"s{s}") & ~F.col(f"s{o}") & F.coalesce(alike(f"r{s}", f"f{o}", similarity), F.lit(False))
-    return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb", similarity)).where(~lacks("a", "b") & ~lacks("b", "a")).select("a", "b")
+    """The pairs (a, b) whose whole forms have that edit similarity or more."""
+    x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb", similarity)).select("a", "b")
 
 
 def reached(forms: DataFrame, labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The ids of the labelled and of all forms that a chain of pairs of that edit similarity joins to one.
 
-    forms has id, form (distinct), sure and bare; labelled has id. Only pairs with a labelled side are looked for.
+    forms has id and form (distinct); labelled has id. Only pairs with a labelled side are looked for.
     """
     sketches = stored(spread(forms.select("id", "form")).mapInPandas(_sketched, "id long, length int, sketch binary"), "sketches")
     done = new = stored(labelled.select("id").distinct(), "reached")
@@ -234,21 +237,38 @@ def reached(forms: DataFrame, labelled: DataFrame, similarity: float = SIMILARIT
         done = done.unionByName(new)
 
 
-def residue_values(values: DataFrame) -> DataFrame:
-    """values has text (distinct); the texts that are residue or contain it."""
-    cut = values.select("text", F.explode(parts(F.col("text"))).alias("part"))
-    seen = stored(cut.select(F.xxhash64("text").alias("value"), form(F.col("part")).alias("form"), trusted(F.col("part")).alias("sure"), "part").withColumn("bare", F.when(F.col("sure"), form(bare(F.col("part"))))).drop("part").where(F.length("form") > 0), "parts")
-    forms = stored(seen.groupBy("form").agg(F.max("sure").alias("sure"), F.min("bare").alias("bare")).withColumn("id", F.xxhash64("form")), "forms")
-    labels = components(within(near_pairs(forms), forms, SIMILARITY))
-    spreading = forms.where("sure").join(labels, forms["id"] == labels["node"], "left_semi").join(labels, forms["id"] == labels["node"]).select("component").distinct()
-    linked = labels.join(spreading, "component", "left_semi").select(F.col("node").alias("id"))
-    bad = reached(forms, forms.where("sure").select("id").unionByName(linked))
-    return seen.withColumn("id", F.xxhash64("form")).join(bad, "id", "left_semi").select("value").distinct()
+def _of_like_words(values: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The values that are not labelled but nearly all of whose words stand mostly in labelled ones."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
+    listed = values.join(labelled.withColumn("bad", F.lit(1)), "value", "left").select("value", F.coalesce("bad", F.lit(0)).alias("bad"), F.explode(words).alias("word"))
+    listed = stored(listed, "words")
+    kept = listed.groupBy("word").agg(F.sum("bad").alias("seen"), F.count("*").alias("n")).where((F.col("seen") >= SEEN) & (F.col("seen") >= MOSTLY * F.col("n"))).select("word", F.lit(1).alias("known"))
+    share = listed.where("bad = 0").join(kept, "word", "left").groupBy("value").agg(F.count("known").alias("known"), F.count("*").alias("n"))
+    return share.where((F.col("n") >= WORDS) & (F.col("known") >= SHARE * F.col("n"))).select("value")
+
+
+def residue_labels(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """values has text (distinct); (value, way) of the texts that are or contain residue, value their hash and
+    way how they were found: 'seed', 'component', 'chain' or 'words'; and (id, form) of all forms."""
+    spark = values.sparkSession
+    values = stored(values.select(F.xxhash64("text").alias("value"), "text"), "values")
+    tasks = max(spark.sparkContext.defaultParallelism, values.count() // ROWS)
+    seen = stored(values.repartition(tasks).select("value", F.explode(parts(F.col("text"))).alias("form")).withColumn("id", F.xxhash64("form")), "parts")
+    sown = stored(seeds(spark).withColumn("id", F.xxhash64("form")), "seeds")
+    forms = stored(seen.select("id", "form").unionByName(sown.select("id", "form")).distinct(), "forms")
+    labels = components(near_links(forms))
+    spreading = labels.join(sown, labels["node"] == sown["id"], "left_semi").select("component").distinct()
+    linked = stored(labels.join(spreading, "component", "left_semi").select(F.col("node").alias("id")).unionByName(sown.select("id")).distinct(), "linked")
+    bad = reached(forms, linked)
+    way = F.min(F.when(F.col("sown").isNotNull(), 1).when(F.col("linked").isNotNull(), 2).otherwise(3)).alias("way")
+    found = seen.join(bad, "id", "left_semi").join(sown.select("id", F.lit(1).alias("sown")), "id", "left").join(linked.withColumn("linked", F.lit(1)), "id", "left").groupBy("value").agg(way)
+    found = stored(found.select("value", F.element_at(F.array(*map(F.lit, ("seed", "component", "chain"))), F.col("way")).alias("way")), "found")
+    return found.unionByName(_of_like_words(values, found.select("value")).select("value", F.lit("words").alias("way"))), forms
 
 
 def residue_rows(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The keys of all rows whose text is residue, each once."""
     there = rows.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(*keys, F.col(text).alias("text"))
-    found = residue_values(there.select("text").distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = residue_labels(there.select("text").distinct())[0].select("value").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = there.select(*keys, F.xxhash64("text").alias("value"), F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int").alias("salt"))
     return salted.join(found, ["value", "salt"], "left_semi").select(*keys).distinct()

@@ -22,6 +22,7 @@ repaired each and reported once; ties between candidates go to the alphabeticall
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -302,15 +303,29 @@ class Line(NamedTuple):
     text: str
 
 
-def lines_of(text: str) -> list[Line]:
-    out, at = [], 0
-    for raw in text.split("\n"):
-        t = raw.strip(" \t\r\f\v\xa0" + _INVISIBLE)
-        if t:
-            s = at + raw.index(t[0])
-            out.append(Line(s, s + len(t), t))
-        at += len(raw) + 1
-    return out
+_MARGIN = " \t\r\f\v\xa0" + _INVISIBLE
+
+
+def edges_of(text: str) -> tuple[list[Line], list[Line]]:
+    """The first EDGES lines that are not blank, and the last EDGES of the others, from the outside inwards."""
+    raw = text.split("\n")
+    head: list[Line] = []
+    tail: list[Line] = []
+    at, i = 0, 0
+    while i < len(raw) and len(head) < EDGES:
+        if t := raw[i].strip(_MARGIN):
+            s = at + raw[i].index(t[0])
+            head.append(Line(s, s + len(t), t))
+        at += len(raw[i]) + 1
+        i += 1
+    end, k = len(text), len(raw) - 1
+    while k >= i and len(tail) < EDGES:
+        if t := raw[k].strip(_MARGIN):
+            s = end - len(raw[k]) + raw[k].index(t[0])
+            tail.append(Line(s, s + len(t), t))
+        end -= len(raw[k]) + 1
+        k -= 1
+    return head, tail
 
 
 _NUMBER_FIRST = regex.compile(rf"^(\d{{1,5}}|{_ROMAN})(?:\s{{2,}}|\t| [|·–-] )(?=\S)")
@@ -386,9 +401,8 @@ def _far(fold: str, head: str) -> int | None:
 
 def furniture_of_lines(text: str, page_no: int | None, known: list[str], forms: frozenset[str], frequent: frozenset[str]) -> list[Furniture]:
     """Header, footer and page-number lines at the edges of a text with line breaks."""
-    lines = lines_of(text)
     out = []
-    for side in (lines[:EDGES], lines[: EDGES - 1 : -1][:EDGES] if len(lines) > EDGES else []):
+    for side in edges_of(text):
         for k, line in enumerate(side):
             inner = side[k + 1] if k + 1 < len(side) else None
             head, _ = without_number(line.text)
@@ -421,87 +435,107 @@ def _styles(styles: tuple[str, ...]) -> tuple[list[tuple[str, int]], frozenset[i
     return heads, frozenset(n for _, n in heads), not styles or any(without_number(x)[1] != "none" for x in styles)
 
 
-def _edge_tokens(text: str, most: int) -> tuple[list[str], list[tuple[int, int]]]:
-    """The first and the last `most` tokens and their places."""
-    first = text.split(None, most)
-    if len(first) <= most:
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        return first, spans
-    start = text.rindex(first[-1])  # the rest of the text, to its end
-    rest = first.pop().rsplit(None, most)
-    tail = start
-    if len(rest) > most:
-        tail += len(rest[0])
-    spans = [m.span() for m in _TOKEN.finditer(text, 0, start)] + [m.span() for m in _TOKEN.finditer(text, tail)]
-    return [text[a:b] for a, b in spans], spans
+class _Edges:
+    """The first and the last `most` tokens of a text; their places are looked for when they are asked."""
+
+    def __init__(self, text: str, most: int):
+        self.text, self.words, self.first, self.start, self.tail = text, text.split(None, most), 0, len(text), len(text)
+        self.first = len(self.words)
+        if len(self.words) > most:  # the last one is the rest of the text
+            self.first = most
+            self.start = text.rindex(self.words[-1])
+            rest = self.words.pop().rsplit(None, most)
+            self.tail = self.start + (len(rest[0]) if len(rest) > most else 0)
+            self.words += rest[1:] if len(rest) > most else rest
+
+    def place(self, i: int) -> tuple[int, int]:
+        found = _TOKEN.finditer(self.text, 0, self.start) if i < self.first else _TOKEN.finditer(self.text, self.tail)
+        return next(itertools.islice(found, i if i < self.first else i - self.first, None)).span()
 
 
 def furniture_of_flat(text: str, page_no: int | None, known: list[str], styles: list[str], forms: frozenset[str], frequent: frozenset[str]) -> list[Furniture]:
     """The same at both ends of a text that was flattened to one line."""
     heads, counts, attached = _styles(tuple(styles))
     shaped, openings, closings = _shapes(forms)
-    sizes = sorted(counts | shaped)
+    sizes = _sorted_sizes(counts, shaped)
     # two headers with a number on either side are the most that an end can hold
-    words, toks = _edge_tokens(text, 2 * max((*sizes, 3)) + 4)
+    edges = _Edges(text, 2 * max((*sizes[-1:], 3)) + 4)
+    words = edges.words
     single = lambda a, b: " ".join(words[a:b])
-    shape = functools.cache(lambda i: _form(words[i], frequent))
+    shape = lambda i: _form(words[i], frequent)
     out: list[Furniture] = []
 
     def number(i: int) -> bool:
         return bare(words[i]) and number_of(words[i], page_no, False)
 
-    def header(a: int, b: int) -> float | None:
-        """How far a stretch is from a header: the distance to a known one, or 0.5 for a known form."""
-        if b - a in counts:
-            fold = folded(single(a, b))
-            near = min((x for h, n in heads if n == b - a and (x := _far(fold, h)) is not None), default=None)
-            if near is not None:
-                return float(near)
-        if b - a not in shaped or f"{shape(a)} {shape(a + 1)}" not in openings or f"{shape(b - 2)} {shape(b - 1)}" not in closings:
-            return None
+    def known_far(a: int, b: int) -> float | None:
+        fold = folded(single(a, b))
+        return min((float(x) for h, n in heads if n == b - a and (x := _far(fold, h)) is not None), default=None)
+
+    def formed(a: int, b: int) -> bool:
         opens = b >= len(words) or words[b][:1].isupper() or words[b][:1] in "-|(" or words[b][:1].isdigit()
-        return 0.5 if opens and words[b - 1][-1] not in _CLOSED and " ".join(map(shape, range(a, b))) in forms else None
+        return opens and words[b - 1][-1] not in _CLOSED and f"{shape(a)} {shape(a + 1)}" in openings and f"{shape(b - 2)} {shape(b - 1)}" in closings and " ".join(map(shape, range(a, b))) in forms
+
+    def ornament(a: int, front: bool, left: int) -> tuple[str, int, int] | None:
+        for n in (3, 2):
+            s = a if front else a - n
+            if n <= left and words[s][:1] in _ORNATE and ornate(single(s, s + n)):
+                return "page_number", s, s + n
+        return None
+
+    def header(a: int, front: bool, left: int) -> tuple[str, int, int] | None:
+        """The nearest to a known one, or of a known form (which counts as half an error), with a bare number
+        next to it where this document writes it so."""
+        best, hit = None, None
+        for before, behind in ((0, 0), (1, 0), (0, 1)) if attached else ((0, 0),):
+            beside = (before if front else behind) > 0  # the number stands at the outer end, the same for all sizes
+            if left < 2 + before + behind or beside and not number(a if front else a - 1):
+                continue
+            outer = a + beside if front else a - beside
+            fits = (f"{shape(outer)} {shape(outer + 1)}" in openings if front else f"{shape(outer - 2)} {shape(outer - 1)}" in closings) if shaped else False
+            for n in sizes if fits else counts:
+                if n < 2 or n + before + behind > left:
+                    continue
+                h = outer if front else outer - n
+                s = h - before
+                if not beside and (before and not number(s) or behind and not number(h + n)):
+                    continue
+                far = known_far(h, h + n) if n in counts else None
+                if far is None and fits and n in shaped and formed(h, h + n):
+                    far = 0.5
+                if far is not None and (best is None or (far, -before - behind, n) < best):
+                    best, hit = (far, -before - behind, n), ("header", s, s + n + before + behind)
+        return hit
 
     for front in (True, False):
         a = 0 if front else len(words)
         for _ in range(EDGES):
             left = len(words) - a if front else a
-            hit = next((("page_number", *((a, a + n) if front else (a - n, a))) for n in (3, 2) if n <= left and words[a if front else a - n][:1] in _ORNATE and ornate(single(*((a, a + n) if front else (a - n, a))))), None)
-            # a header, with a bare number next to it where this document writes it so; the nearest to a known one
-            best: tuple[float, int] | None = None
-            ways = ((0, 0), (1, 0), (0, 1)) if attached else ((0, 0),)
-            for n in sizes if hit is None else ():
-                for before, behind in ways:
-                    if n < 2 or n + before + behind > left:
-                        continue
-                    s = a if front else a - n - before - behind
-                    h = s + before
-                    if before and not number(s) or behind and not number(h + n):
-                        continue
-                    far = header(h, h + n)
-                    if far is not None and (best is None or (far, -before - behind) < best):
-                        best, hit = (far, -before - behind), ("header", s, s + n + before + behind)
-            if hit is None and left:
-                s = a if front else a - 1
-                if number_of(words[s], page_no, False):
-                    hit = ("page_number", s, s + 1)
+            hit = ornament(a, front, left) or header(a, front, left)
+            if hit is None and left and number_of(words[a if front else a - 1], page_no, False):
+                hit = ("page_number", a, a + 1) if front else ("page_number", a - 1, a)
             if hit is None:
                 break
             kind, s, e = hit
-            out.append(Furniture(toks[s][0], toks[e - 1][1], kind, single(s, e)))
+            out.append(Furniture(edges.place(s)[0], edges.place(e - 1)[1], kind, single(s, e)))
             a = e if front else s
         if front and out and out[-1].end >= len(text.rstrip()):
             break
     return out
 
 
+@functools.lru_cache(maxsize=2000)
+def _sorted_sizes(counts: frozenset[int], shaped: frozenset[int]) -> list[int]:
+    return sorted(counts | shaped)
+
+
 def stretches(text: str, frequent: frozenset[str], sizes: frozenset[int]) -> set[str]:
     """All forms that the stretches at the ends of a text have: what header forms can match in it."""
     if "\n" in text.strip():
-        lines = lines_of(text)
-        return {form_of(without_number(x.text)[0], frequent) for x in (*lines[:EDGES], *lines[-EDGES:])}
+        head, tail = edges_of(text)
+        return {form_of(without_number(x.text)[0], frequent) for x in (*head, *tail)}
     reach = 2 * max((*sizes, 3)) + 4
-    words, _ = _edge_tokens(text, reach)
+    words = _Edges(text, reach).words
     shapes = [_form(w, frequent) for w in words]
     return {" ".join(shapes[i : i + n]) for n in sizes for i in range(len(shapes) - n + 1)}
 
@@ -525,6 +559,9 @@ def outside(text: str, taken: list[tuple[int, int]]) -> list[str]:
 _AND = frozenset(("and", "or", "und", "oder", "et", "ou", "y", "o"))
 
 
+_LEAD = regex.compile(r"^[^\p{L}\p{N}@|]+")
+
+
 class Break(NamedTuple):
     """A word that may be divided. `sure`: at a line end, or by a mark that stands for nothing else."""
 
@@ -544,7 +581,7 @@ def breaks(text: str) -> list[Break]:
         if flat and right.lower() in _AND:
             continue
         l = word_of(left + "x")[:-1] or left.lower()  # noqa: E741
-        out.append(Break(start, end, regex.sub(r"^[^\p{L}\p{N}@|]+", "", l), word_of(right), not flat or text[mark] != "-"))
+        out.append(Break(start, end, _LEAD.sub("", l), word_of(right), not flat or text[mark] != "-"))
     return out
 
 
@@ -594,8 +631,8 @@ def edge_lines(text: str) -> Iterator[tuple[str, str, str]]:
     """(line without its number, line, its fold) of what may be headers at both ends."""
     if "\n" not in text.strip():
         return
-    lines = lines_of(text)
-    for line in {*lines[:EDGES], *lines[-EDGES:]}:
+    head, tail = edges_of(text)
+    for line in (*head, *tail):
         if line.text[-1] in _CLOSED:
             continue
         head, _ = without_number(line.text)
@@ -641,32 +678,37 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
 
-def _slot(bits: int, first: Column | str, second: Column | str | None = None) -> Column:
-    """The place of a word, or of two in a row, in a bit table; slots() is its twin for hashes."""
+_SHIFTS = (3, 19, 36)  # three places in a table belong to every word or pair
+
+
+def _slots(bits: int, first: str, second: str | None = None) -> Column:
+    """The places of a word, or of two in a row, in a bit table; slots() is its twin for hashes."""
     h = F.xxhash64(first)
     if second is not None:
         h = h.bitwiseXOR(F.shiftleft(F.xxhash64(second), 7))
-    return F.shiftright(h, 20).bitwiseAND(F.lit(bits - 1))
+    return F.array(*[F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS])
 
 
-def slots(bits: int, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    h = first if second is None else first ^ (second << np.uint64(7))
-    return (h >> np.uint64(20)) & np.uint64(bits - 1)
+def slots(bits: int, h: np.ndarray) -> list[np.ndarray]:
+    return [(h >> np.uint64(s)) & np.uint64(bits - 1) for s in _SHIFTS]
 
 
 def bit_table(rows: DataFrame, *words: str) -> np.ndarray:
-    """A table of bits with those set that belong to the rows, 16 bits for each of them and BITS at most.
+    """A table of bits with those set that belong to the rows, 64 bits for each of them and BITS at most.
     It is put together in the executors; false hits are for the reader to drop."""
-    bits = min(BITS, max(1 << 16, 1 << (16 * max(1, rows.count()) - 1).bit_length()))
-    slot = _slot(bits, *words)
-    packed = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toPandas()  # BITS / 32 rows at most
+    bits = min(BITS, max(1 << 16, 1 << (64 * max(1, rows.count()) - 1).bit_length()))
+    packed = rows.select(F.explode(_slots(bits, *words)).alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toPandas()  # BITS / 32 rows at most
     out = np.zeros(bits // 32, np.uint32)
     out[packed["k"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
-def _hit(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+def hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all places of the hashes are set."""
+    out = np.ones(len(h), bool)
+    for s in slots(32 * len(table), h):
+        out &= (table[s >> np.uint64(5)] >> (s & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+    return out
 
 
 def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
@@ -737,7 +779,10 @@ class _Doubts(dict):
 
     def __missing__(self, token: str) -> str:
         w = word_of(token)
-        doubt = _worth(w) and bool(_hit(self.table, slots(32 * len(self.table), np.array([_hash(w)], np.uint64)))[0])
+        doubt = False
+        if _worth(w):
+            h, most = _hash(w), 32 * len(self.table) - 1
+            doubt = all(int(self.table[(h >> s & most) >> 5]) >> (h >> s & 31) & 1 for s in _SHIFTS)
         self[token] = out = w if doubt else ""
         return out
 
@@ -775,7 +820,8 @@ def _ranked(texts: DataFrame, options: DataFrame, counted: DataFrame, total: int
                 ids.append(0)
             at = np.array(ids)
             h = known.hashes()[at]
-            hit = np.flatnonzero(_hit(bits, slots(32 * len(bits), h[:-1], h[1:])) & (at[:-1] > 0) & (at[1:] > 0))
+            hit = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+            hit = hit[hits(bits, h[hit] ^ (h[hit + 1] << np.uint64(7)))]
             both, n = np.unique(at[hit] * len(known.words) + at[hit + 1], return_counts=True)
             if len(hit):
                 yield pd.DataFrame({"a": [known.words[k // len(known.words)] for k in both], "b": [known.words[k % len(known.words)] for k in both], "m": n.astype("int64")})

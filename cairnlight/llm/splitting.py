@@ -36,10 +36,10 @@ def _boundaries(text: str, room: int) -> tuple[list[int], list[int]]:
         before = text[a - 1] if a else ""
         lines = gap.count("\n")
         s = 5 if lines > 1 else 4 if before in _SENTENCE and before else 3 if lines else 2 if before in _CLAUSE and before else 1
-        if b - a > 1:
-            inner = [a] * (a > 0) + list(range(a + max(1, room // 2), b, max(1, room // 2)))
-            places += inner
-            power += [0] * len(inner)
+        # before the gap as well: a run of just the limit stays whole without the space behind it
+        inner = [a] * (a > 0) + list(range(a + max(1, room // 2), b, max(1, room // 2)))
+        places += inner
+        power += [0] * len(inner)
         if 0 < b < len(text):
             places.append(b)
             power.append(s)
@@ -68,8 +68,7 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
             cores.append((a, b, how))
             continue
         mid, cut, kind = (a + b) // 2, -1, "natural"
-        for share in (4, 2):  # the middle half first, then anywhere inside
-            near = (b - a) // share
+        for near in ((b - a) // 4, b - a):  # the middle half first, then anywhere inside
             lo, hi = bisect_right(places, max(a, mid - near)), bisect_left(places, min(b, mid + near))
             if lo < hi:
                 cut = places[max(range(lo, hi), key=lambda k: (power[k] - 2 * abs(places[k] - mid) / (b - a), -places[k]))]
