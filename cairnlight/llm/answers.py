@@ -5,7 +5,9 @@ Bayes model over character trigrams, trained on labelled texts; a response that
 is told by the likelihood that a text ends where it ends, taken from the n-grams before
 all ends and all other places of the responses themselves: first of words (function words
 as they are, others as classes), then of the characters of the last word.
-Refusals, copies and stand-ins for nothing are found by rules.
+The likelihood of a longer context leans on that of the next shorter one by STRENGTH
+places, so it means the same in small and large corpora. Refusals are told by a word n-gram
+model of declining phrases (refusals.py); copies and stand-ins for nothing by rules.
 
 One defect at most per pair, looked for in this order: empty, copied, refusal, language,
 truncated. A null response is empty; a null prompt rules out only 'copied' and 'language'.
@@ -24,31 +26,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlight.llm.quality import COMMON
+from cairnlight.llm.refusals import Refusals, declines, model
 from cairnlight.session import spread, stored
 
 SAMPLE = 400  # labelled texts per language that the language model may see
 TEXT_CHARS = 4000  # training characters taken from one of them
 ORDER = 6  # words of context before an end
-SUPPORT = 8  # places a context must have been seen at
+STRENGTH, PRIOR = 12.0, 0.5  # places that a shorter context counts for in a longer one, and the likelihood before all
 END = 0.2  # a response whose last context ends texts less often than this breaks off
 WORD_END = 0.02  # likewise for a last word that elsewhere begins longer words
 MARGIN = 7.0  # log odds by which a response must be in another language
 CLEAR = 2.0  # log odds by which the prompt must be in its own
 
-# Stand-ins for nothing and phrases of those who decline to answer.
+# Stand-ins for nothing.
 NOTHING = frozenset("n/a na n.a. none null nil nan nothing empty blank tbd unknown undefined k.a. no_answer s/o nd n.d. not_available no_response".split())
-REFUSALS = (
-    r"\b(?:i|we)(?:'m| am| are|'re)?(?: afraid| sorry,?(?: but)?)?,? ?(?:\bi |\bwe )?(?:really |simply |also )?(?:cannot|can't|can not|won't|will not|could not|couldn't|am not able|are not able|'m not able|not able|unable|am unable|are unable|not allowed|not permitted|am not allowed|must decline|have to decline|decline to|do not feel|don't feel|do not have enough|don't have enough|don't know|do not know|have no (?:knowledge|information|idea)|would rather not|'d rather not|prefer not|refuse)\b",
-    r"\b(?:i|we) (?:must|have to|need to) (?:decline|refuse)\b",
-    r"\bi will (?:stop here|leave (?:the|this) question)\b",
-    r"\b(?:goes )?against my (?:guidelines|instructions|rules|policy)\b|\bmy (?:guidelines|instructions|rules|policy)\b.{0,20}\b(?:do(?:es)? not|don't|doesn't|forbid|prohibit)\b",
-    r"\bno answer can be given\b|\blet's talk about something else\b|\bas an? (?:language|ai)\b.{0,20}\b(?:assistant|model)\b",
-    r"\bcontext (?:provided )?does not (?:mention|contain|say)\b.{0,60}\b(?:i|we) can(?:not|'t)\b|\b(?:something|that) i (?:can't|cannot) (?:assist|help)\b",
-    r"\b(?:kann|darf|möchte|will|werde) ich\b.{0,30}\b(?:nicht|keine?n?)\b|\bich (?:kann|darf|möchte|will|werde)\b.{0,40}\b(?:nicht|keine?n?)\b|\bmir keine (?:angaben|informationen)\b|\bes tut mir leid\b|\bleider\b.{0,30}\bnicht\b.{0,20}\b(?:beantworten|helfen|sagen)\b|\bkontext\b.{0,30}\b(?:erlaubt|enthält|reicht|lässt)\b.{0,20}\b(?:keine?|nicht)\b",
-    r"\bje ne (?:peux|suis|sais|saurais|souhaite|veux)\b|\bne permet pas de répondre\b|\bje (?:préfère|regrette|refuse)\b|\bje suis (?:désolée?|navrée?)\b|\bdésolée?, (?:mais )?je\b|\bil m'est impossible\b|\bje n'ai pas\b",
-    r"\bno (?:puedo|me es posible|estoy|quiero|dispongo|sé|tengo)\b|\bno permite (?:dar|responder)\b|\blo siento\b|\bprefiero no\b|\blamento no\b|\bme temo que no\b",
-)
-_REFUSAL = regex.compile("|".join(REFUSALS))
 _LABEL = regex.compile(r"^\s*(?:q|a|question|answer|frage|antwort|réponse|pregunta|respuesta|prompt)\s*[:.]\s*", regex.I)
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -142,8 +133,8 @@ def is_copy(prompt: str | None, response: str) -> bool:
     return row[-1] >= (0.8 * len(a) if asks else len(a)) and row[-1] >= 0.5 * len(q)
 
 
-def is_refusal(response: str) -> bool:
-    return bool(_REFUSAL.search(_INVISIBLE.sub("", response).replace("’", "'").lower()))
+def is_refusal(response: str, refusals: Refusals | None = None) -> bool:
+    return declines(_INVISIBLE.sub("", response), refusals or model())
 
 
 # --- ends --------------------------------------------------------------------------------
@@ -203,7 +194,7 @@ def pairs_with_defects(pairs: DataFrame, languages: Languages) -> DataFrame:
     """pairs has src, row_id, prompt, response; the result src, row_id, defect (null where sound)."""
     spark = pairs.sparkSession
     pairs = spread(pairs.select("src", "row_id", "prompt", "response"))
-    model = spark.sparkContext.broadcast(languages)  # trigrams of a bounded sample
+    held = spark.sparkContext.broadcast((languages, model()))  # trigrams of a bounded sample, n-grams of fixed phrases
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -214,9 +205,9 @@ def pairs_with_defects(pairs: DataFrame, languages: Languages) -> DataFrame:
                     d = "empty"
                 elif is_copy(p, a):
                     d = "copied"
-                elif is_refusal(a):
+                elif is_refusal(a, held.value[1]):
                     d = "refusal"
-                elif p and other_language(model.value, p, a):
+                elif p and other_language(held.value[0], p, a):
                     d = "language"
                 else:
                     text = _INVISIBLE.sub("", a).strip()
@@ -241,7 +232,9 @@ def pairs_with_defects(pairs: DataFrame, languages: Languages) -> DataFrame:
     asked = open_.select("src", "row_id", F.posexplode(F.transform("last", lambda c: F.concat(F.lit("w "), c))).alias("depth", "context")).unionByName(open_.where(F.col("word").isNotNull()).select("src", "row_id", F.lit(-1).alias("depth"), F.concat(F.lit("c "), "word").alias("context")))
     counted = pairs.mapInPandas(_counts, "kind string, context string, ends double, places double")
     counted = counted.groupBy(F.concat_ws(" ", "kind", "context").alias("context")).agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
-    met = asked.join(counted, "context").where((F.col("places") >= SUPPORT) | (F.col("depth") == -1))
+    met = asked.join(counted, "context")
     rate = F.col("ends") / F.col("places")
-    verdict = met.groupBy("src", "row_id").agg(F.min_by(F.when(F.col("depth") >= 0, rate), F.when(F.col("depth") >= 0, F.col("depth"))).alias("sentence"), F.max(F.when(F.col("depth") == -1, rate)).alias("word_end")).where((F.col("sentence") < END) | (F.col("word_end") < WORD_END)).select("src", "row_id", F.lit("truncated").alias("cut"))
+    seen = F.sort_array(F.collect_list(F.when(F.col("depth") >= 0, F.struct("depth", "ends", "places"))), asc=False)  # the shortest first; ORDER at most
+    sentence = F.aggregate(seen, F.lit(PRIOR), lambda p, x: (x["ends"] - 1 + STRENGTH * p) / (x["places"] - 1 + STRENGTH))  # without the response itself
+    verdict = met.groupBy("src", "row_id").agg(sentence.alias("sentence"), F.max(F.when(F.col("depth") == -1, rate)).alias("word_end")).where((F.col("sentence") < END) | (F.col("word_end") < WORD_END)).select("src", "row_id", F.lit("truncated").alias("cut"))
     return judged.join(verdict, ["src", "row_id"], "left").select("src", "row_id", F.coalesce("defect", F.when(F.size("last") > 0, F.col("cut"))).alias("defect"))

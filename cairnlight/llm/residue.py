@@ -132,42 +132,37 @@ def alike(s: str, o: str, similarity: float) -> Column:
     return F.expr(f"levenshtein({s}, {o}, cast(floor({1 - similarity!r} * greatest(length({s}), length({o})) + 1e-9) as int)) >= 0")
 
 
-def near_links(forms: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
-    """forms has id and form (distinct); (a, b) of pairs within the distance and similarity: of each form
-    with the least and the greatest of every bucket it is in."""
-    hashed = stored(spread(forms.select("id", "form")).mapInPandas(_simhashes, "id long, form string, bits long"), "simhash")
+def _placed(hashed: DataFrame) -> DataFrame:
+    """(id, bits, t, key): every form in every table; the bits of the chosen blocks are the key."""
     size, tables = 64 // BLOCKS, []
     for t, chosen in enumerate(combinations(range(BLOCKS), CHOSEN)):
         mask = sum(((1 << size) - 1) << k * size for k in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         tables.append(F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(mask)).alias("key")))
-    placed = hashed.select("id", "bits", F.inline(F.array(*tables)))
-    ends = placed.groupBy("t", "key").agg(F.min(F.struct("id", "bits")).alias("least"), F.max(F.struct("id", "bits")).alias("most")).where("least.id < most.id")
-    met = placed.join(ends, ["t", "key"]).select(F.col("id").alias("a"), "bits", F.explode(F.array("least", "most")).alias("o"))
+    return hashed.select("id", "bits", F.inline(F.array(*tables)))
+
+
+def near_links(others: DataFrame, labelled: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
+    """Both sides have id, form and bits; (a, b) of other forms a within the distance and similarity of a
+    labelled form b: in each bucket the least and the greatest labelled one stand for all."""
+    ends = stored(_placed(labelled).groupBy("t", "key").agg(F.min(F.struct("id", "bits")).alias("least"), F.max(F.struct("id", "bits")).alias("most")), "buckets")
+    met = _placed(others).join(ends, ["t", "key"]).select(F.col("id").alias("a"), "bits", F.explode(F.array("least", "most")).alias("o"))
     pairs = met.where((F.col("a") != F.col("o.id")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("o.bits"))) <= hamming)).select("a", F.col("o.id").alias("b")).distinct()
-    return within(pairs, hashed, similarity)
+    return within(pairs, others, labelled, similarity)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes with an edge; component is the smallest node in it.
+def components_of(hashed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The ids of the connected components that hold a labelled form: (id) of these and all forms linked to them.
 
-    Every round takes the least label around each node and then that label's own label, so
-    the number of rounds grows with the logarithm of the longest chain; each round is
-    written to the shared folder.
-    """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    hashed has id, form and bits; labelled has id. Labels go one link further a round; components without a
+    labelled form are never built, and what was reached before is in no later round."""
+    done = new = stored(labelled.select("id").distinct(), "component")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("around"))
-        step = labels.join(near, "node").select("node", F.least("component", "around").alias("next"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        new = stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), "was"), "labels")
-        changed = new.where(F.col("component") != F.col("was")).limit(1).count()
-        dropped(labels)
-        labels = new.select("node", "component")
-        if not changed:
-            dropped(both)
-            return labels
+        links = near_links(hashed.join(done, "id", "left_anti"), hashed.join(new, "id", "left_semi"))
+        new = stored(links.select(F.col("a").alias("id")).distinct(), "component")
+        if not new.limit(1).count():
+            return done
+        done = stored(done.unionByName(new), "component")
 
 
 def _sketch(text: str) -> bytes:
@@ -211,9 +206,9 @@ def _blocks(sketches: DataFrame, similarity: float, name: str) -> DataFrame:
     return banded.join(sizes, "band").groupBy("band", F.pmod(F.xxhash64("id"), "cuts").alias("cut")).agg(F.collect_list(F.struct("id", "length", "sketch")).alias(name)).drop("cut")
 
 
-def within(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole forms have that edit similarity or more."""
-    x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}")) for k in "ab")
+def within(pairs: DataFrame, first: DataFrame, second: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a of the first, b of the second forms) whose whole forms have that edit similarity or more."""
+    x, y = (forms.select(F.col("id").alias(k), F.col("form").alias(f"f{k}")) for k, forms in (("a", first), ("b", second)))
     return pairs.join(x, "a").join(y, "b").where(alike("fa", "fb", similarity)).select("a", "b")
 
 
@@ -229,7 +224,7 @@ def reached(forms: DataFrame, labelled: DataFrame, similarity: float = SIMILARIT
         others = _blocks(sketches.join(done, "id", "left_anti"), similarity, "ys")
         near = ours.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).join(others, "band").select("xs", "ys")
         found = stored(near.repartition(forms.sparkSession.sparkContext.defaultParallelism).mapInPandas(_candidates(similarity), "a long, b long"), "candidates")
-        new = stored(within(found, forms, similarity).select(F.col("b").alias("id")).distinct(), "reached")
+        new = stored(within(found, forms, forms, similarity).select(F.col("b").alias("id")).distinct(), "reached")
         dropped(found)
         if not new.limit(1).count():
             dropped(sketches)
@@ -256,9 +251,8 @@ def residue_labels(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = stored(values.repartition(tasks).select("value", F.explode(parts(F.col("text"))).alias("form")).withColumn("id", F.xxhash64("form")), "parts")
     sown = stored(seeds(spark).withColumn("id", F.xxhash64("form")), "seeds")
     forms = stored(seen.select("id", "form").unionByName(sown.select("id", "form")).distinct(), "forms")
-    labels = components(near_links(forms))
-    spreading = labels.join(sown, labels["node"] == sown["id"], "left_semi").select("component").distinct()
-    linked = stored(labels.join(spreading, "component", "left_semi").select(F.col("node").alias("id")).unionByName(sown.select("id")).distinct(), "linked")
+    hashed = stored(spread(forms).mapInPandas(_simhashes, "id long, form string, bits long"), "simhash")
+    linked = components_of(hashed, sown)
     bad = reached(forms, linked)
     way = F.min(F.when(F.col("sown").isNotNull(), 1).when(F.col("linked").isNotNull(), 2).otherwise(3)).alias("way")
     found = seen.join(bad, "id", "left_semi").join(sown.select("id", F.lit(1).alias("sown")), "id", "left").join(linked.withColumn("linked", F.lit(1)), "id", "left").groupBy("value").agg(way)

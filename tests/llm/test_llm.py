@@ -1,7 +1,9 @@
 """The operators for training data: edge cases, round trips, brute force and held-out accuracy."""
 
 import itertools
+import pathlib
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -165,6 +167,7 @@ def test_defects(spark):
         ("How many?", "I'm sorry, but I can't help with that.", "refusal"), ("Wie viele?", "Dabei kann ich nicht helfen.", "refusal"), ("Why?", "The guidelines do not allow salt in water.", None), ("Why?", "32 patients declined to take part.", None),
         ("What was the rate of the flow in the water?", de, "language"), ("Wie war die Rate der Strömung in dem Wasser?", de, None),
         ("What was the mean rate of the plates?", "The mean rate of the plates was 5.2 mg after the", "truncated"), ("What was it?", "The mean rate of the plates was 5.2 mg after the light had been turned off", None), ("What was it?", "The mean rate of the pla", "truncated"),
+        ("Why?", "We could not detect any growth after 4 days.", None), ("Why?", "The authors say we cannot exclude a bias.", None), ("Why?", "That is not something I am comfortable answering.", "refusal"), ("Why?", "I have to pass on this one.", "refusal"),
         ("What?", "a drop of 5 %", None), (None, "The mean rate of the plates was 5.2 mg after the light had been turned off.", None),
     ]
     data = [("s", i, p, a) for i, (p, a) in enumerate(rows)] + [("s", 100 + i, p, a) for i, (p, a, _) in enumerate(odd)]
@@ -189,22 +192,23 @@ def test_residue(spark):
     assert residue.residue_rows(df.limit(0), ["src", "row_id"]).count() == 0
 
 
+def hashed(spark, texts):
+    return spark.createDataFrame([(i, t, residue._bits(t)) for i, t in enumerate(texts)], "id long, form string, bits long")
+
+
 def test_links_are_near_and_few_and_components_are_whole(spark):
     r = random.Random(4)
     base = ["".join(r.choice("abcdefg hij") for _ in range(60)) for _ in range(12)]
     texts = sorted({t for b in base for t in [b] + [b[:k] + r.choice("xyz") + b[k + 1 :] for k in (5, 30, 55)]} | {base[0][:k] + c + base[0][k + 1 :] for k in range(60) for c in "xyz"})
-    forms = spark.createDataFrame(list(enumerate(texts)), "id long, form string")
-    got = {(x.a, x.b) for x in residue.near_links(forms).collect()}
+    forms = hashed(spark, texts)
+    got = {(x.a, x.b) for x in residue.near_links(forms, forms).collect()}
     bits = [residue._bits(t) & (2**64 - 1) for t in texts]
     assert got and all((bits[i] ^ bits[j]).bit_count() <= residue.HAMMING and scans.distance(texts[i], texts[j], 12) <= 12 for i, j in got)
-    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (bits[i] ^ bits[j]).bit_count() <= 6]
-    labels = {x.node: x.component for x in residue.components(residue.near_links(forms)).collect()}
-    whole = [labels.get(i, i) == labels.get(j, -j) for i, j in near]
-    assert near and all(whole) and len(got) <= 2 * 28 * len(texts)  # two links a form and table, however large the family
-    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    labels = {x.node: x.component for x in residue.components(chain).collect()}
-    assert {labels[k] for k in range(41)} == {0} and labels[101] == 100
-    assert residue.components(chain.limit(0)).count() == 0
+    assert len(got) <= 2 * 28 * len(texts)  # two links a form and table, however large the family
+    family = {i for i, t in enumerate(texts) if scans.distance(t, base[0], 12) <= 12}
+    one = spark.createDataFrame([(min(family),)], "id long")
+    assert {x.id for x in residue.components_of(forms, one).collect()} == family and len(family) > 150
+    assert residue.components_of(forms, one.limit(0)).count() == 0
 
 
 def test_labels_reach_all_forms_of_like_edits(spark):
@@ -238,8 +242,8 @@ def test_links_compare_whole_forms(spark):
     text = lambda n: "".join(r.choice("abcdefg hij") for _ in range(n))
     start, tail = text(2000), text(2000)
     forms = [start + tail, start + text(2000), start + tail[:-1] + "z"]
-    df = spark.createDataFrame(list(enumerate(forms)), "id long, form string")
-    assert {tuple(sorted((x.a, x.b))) for x in residue.near_links(df).collect()} == {(0, 2)}
+    df = hashed(spark, forms)
+    assert {tuple(sorted((x.a, x.b))) for x in residue.near_links(df, df).collect()} == {(0, 2)}
 
 
 def test_labels_come_by_propagation_and_by_words(spark):
@@ -281,14 +285,30 @@ def test_kinds(spark):
 # --- 9 ---------------------------------------------------------------------------------------
 
 
-def test_details_on_held_out_sentences():
+def test_details_on_composed_sentences():
     weights, r = personal.train(), random.Random(12345)
     hit = said = true = 0
     for _ in range(300):
         text, gold = personal.composed(r)
         found = {(s.start, s.end, s.kind) for s in personal.decode(text, weights)}
         hit, said, true = hit + len(found & gold), said + len(found), true + len(gold)
-    assert hit / said > 0.97 and hit / true > 0.97
+    assert hit / said > 0.97 and hit / true > 0.95
+
+
+def test_details_on_sentences_written_apart():
+    """100 sentences written by hand, marked <kind|stretch>; none comes from the generator."""
+    weights = personal.train()
+    hit = said = true = 0
+    for line in (pathlib.Path(__file__).parent / "personal_sentences.txt").read_text(encoding="utf-8").splitlines():
+        text, gold = "", set()
+        for piece in re.split(r"(<\w+\|[^>]+>)", line):
+            m = re.fullmatch(r"<(\w+)\|([^>]+)>", piece)
+            if m:
+                gold.add((len(text), len(text) + len(m[2]), m[1]))
+            text += m[2] if m else piece
+        found = {(s.start, s.end, s.kind) for s in personal.decode(text, weights)}
+        hit, said, true = hit + len(found & gold), said + len(found), true + len(gold)
+    assert hit / said > 0.97 and hit / true > 0.9
 
 
 def test_details_and_placeholders(spark):
