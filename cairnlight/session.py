@@ -33,12 +33,14 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the cluster names it.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made.
+    Only where that setting is absent on a local master (tests, a laptop) a local folder is made.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"cairnlight-{sc.applicationId}")
     sc.setCheckpointDir(own)
     return own
@@ -53,38 +55,42 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a frame made by stored(), once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its rows, counted now, fit the bound; else as it is, to be joined by a shuffle.
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files of a frame made by stored(), asked of the file system: no file is listed here."""
+    spark = df.sparkSession
+    path = getattr(df, "_stored_at", None)
+    if path is None:
+        raise ValueError("not a stored frame")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
-    For frames that are stored already: the count reads them.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+def broadcast_if_small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """A stored frame marked for broadcast if its files are at most that large; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if stored_bytes(df) <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a frame that is read in fewer splits than there are cores.
 
-    A no-op for inputs of many or large files; keeps Python stages of small single-file inputs
-    parallel. Only file names and sizes are looked at: nothing is planned or run.
+    A no-op for large inputs; keeps Python stages of small inputs parallel. The planner's own estimate of
+    the input's size decides, then the number of its files; no list of them is fetched, nothing is run.
     """
     spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    cores = spark.sparkContext.defaultParallelism
+    jvm = spark.sparkContext._jvm
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df if size >= split * cores else df.repartition(cores)
+    return df if size >= split * cores or not 0 < len(df._jdf.inputFiles()) < cores else df.repartition(cores)

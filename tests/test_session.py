@@ -1,4 +1,6 @@
-from cairnlight.session import broadcast_if_small, dropped, shared_folder, spread, stored
+import pytest
+
+from cairnlight.session import broadcast_if_small, dropped, shared_folder, spread, stored, stored_bytes
 
 
 def test_spread_only_what_is_read_in_few_splits(spark, tmp_path):
@@ -18,7 +20,9 @@ def test_stored_frames_live_in_the_shared_folder(spark):
     assert stored(spark.range(0), "t").count() == 0
 
 
-def test_broadcast_needs_a_counted_size(spark):
+def test_broadcast_needs_a_known_size(spark):
     df = stored(spark.range(100), "t")
-    assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_small(df, 10, most=999) is df
+    assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
+    assert 0 < stored_bytes(df) < 1 << 20 and broadcast_if_small(df, most=9) is df
+    with pytest.raises(ValueError, match="stored"):
+        broadcast_if_small(spark.range(3))
