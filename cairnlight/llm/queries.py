@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.llm import percentiles as pct
 from cairnlight.llm import answers, leakage, personal, quality, residue, scans, splitting, tokens
-from cairnlight.session import stored, table
+from cairnlight.session import broadcast_if_small, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,9 @@ def _scans(spark: SparkSession, d: str) -> scans.Noise:
     """All pages, and the chunks that are prose, with the document and number of their page."""
     pages = table(spark, d, "ingest_doclaynet")
     chunks = table(spark, d, "evidence").select("evidence_id", "source", "chunk")
-    prose = stored(quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id"), "prose")
+    prose = broadcast_if_small(stored(quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id"), "prose"))
     place = pages.where(F.col("image_id").isNotNull()).groupBy(F.concat("image_id", F.lit(".txt")).alias("source")).agg(F.min(F.struct(F.col("original_filename").alias("doc"), F.col("page_no"))).alias("at"))
-    place = stored(place, "pages")  # broadcast by the planner if its files are small
+    place = broadcast_if_small(stored(place, "pages"))
     of_chunks = chunks.join(prose, "evidence_id", "left_semi").join(place, "source", "left").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_id"), F.col("chunk").alias("text"), "at.doc", "at.page_no")
     of_pages = pages.select(F.lit("ingest_doclaynet").alias("src"), F.col("page_id").alias("row_id"), F.col("page_text").alias("text"), F.col("original_filename").alias("doc"), "page_no")
     return scans.scan_noise(of_pages.unionByName(of_chunks))
@@ -96,6 +96,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The five statistics by name, from their definition in built-in expressions (the kinds are p6_found's)."""
+    stats = quality.statistics_sql(table(spark, d, "evidence"), "evidence_id", "chunk")
+    return stats.select("evidence_id", *[F.round(c, 6).alias(c) for c in ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")])
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics of every chunk, its kind and how certain that is."""
     return quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk")
 
 
@@ -119,7 +126,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_cumulative, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p6_found, p6_statistics, p7_ids, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_cumulative, p2_percentiles, p2_percentiles_bounded, p2_percentiles_calls, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p6_found, p6_kinds, p6_statistics, p7_ids, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 _RANKS = """
 WITH calls AS ({calls}), long AS (

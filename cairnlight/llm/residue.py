@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlight.session import dropped, spread, stored
+from cairnlight.session import broadcast_if_small, dropped, spread, stored
 
 HAMMING, SIMILARITY = 16, 0.8
 BLOCKS, CHOSEN = 8, 2
@@ -146,7 +146,7 @@ def near_links(others: DataFrame, labelled: DataFrame, hamming: int = HAMMING, s
     """Both sides have id, form and bits; (a, b) of other forms a within the distance and similarity of a
     labelled form b: in each bucket the least and the greatest labelled one stand for all."""
     ends = stored(_placed(labelled).groupBy("t", "key").agg(F.min(F.struct("id", "bits")).alias("least"), F.max(F.struct("id", "bits")).alias("most")), "buckets")
-    met = _placed(others).join(ends, ["t", "key"]).select(F.col("id").alias("a"), "bits", F.explode(F.array("least", "most")).alias("o"))
+    met = _placed(others).join(broadcast_if_small(ends), ["t", "key"]).select(F.col("id").alias("a"), "bits", F.explode(F.array("least", "most")).alias("o"))
     pairs = met.where((F.col("a") != F.col("o.id")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("o.bits"))) <= hamming)).select("a", F.col("o.id").alias("b")).distinct()
     return within(pairs, others, labelled, similarity)
 

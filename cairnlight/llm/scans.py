@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlight.session import spread, stored
+from cairnlight.session import broadcast_if_small, spread, stored
 
 WIDTH = 2  # errors the automaton admits
 ATTESTED = 5  # occurrences a vocabulary word must have
@@ -725,7 +725,7 @@ def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
     forms = stored(forms, "forms")
     many = forms.count() > forms_bound
     held = spark.sparkContext.broadcast((doubtful, frozenset() if many else frozenset(r.form for r in forms.toLocalIterator()), common))
-    placed = texts.join(stored(of_place, "places"), "place", "left")
+    placed = texts.join(broadcast_if_small(stored(of_place, "places")), "place", "left")
     placed = _own_forms(placed, forms, common) if many else placed.withColumn("own", F.lit(None).cast("array<string>"))
     placed = placed.select("src", "row_id", "text", "page_no", "known", "styles", "own")
 
@@ -740,14 +740,12 @@ def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
                 for b in parts:
                     rows.append((src, row, "hyphen", None, b.left, b.right, b.sure))
                     if not b.sure:  # two words unless the counts say one
-                        rows += [(src, row, "half", w, b.left, b.right, False) for w in (b.left, b.right) if _worth(w) and doubts[w]]
+                        rows += [(src, row, "half", w, b.left, b.right, False) for w in (b.left, b.right) if doubts.word(w)]
                 toks = outside(text, sorted([(s.start, s.end) for s in spans] + [(b.start, b.end) for b in parts]))
-                for i, w in enumerate(map(doubts.__getitem__, toks)):
-                    if w:
-                        before, behind = i > 0 and toks[i - 1][-1] not in _CLOSING, i + 1 < len(toks) and toks[i][-1] not in _CLOSING
-                        rows.append((src, row, "suspect", w, word_of(toks[i - 1]) if before else "", word_of(toks[i + 1]) if behind else "", True))
-            if len(doubts) > 300_000:
-                doubts.clear()
+                for i, w in doubts.of(toks):
+                    before, behind = i > 0 and toks[i - 1][-1] not in _CLOSING, i + 1 < len(toks) and toks[i][-1] not in _CLOSING
+                    rows.append((src, row, "suspect", w, word_of(toks[i - 1]) if before else "", word_of(toks[i + 1]) if behind else "", True))
+            doubts.emptied()
             yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "piece", "left", "behind", "sure"])
 
     kind = texts.schema["row_id"].dataType.simpleString()
@@ -770,21 +768,40 @@ def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
 _CLOSING = frozenset(".!?:;")  # behind these a neighbour tells nothing
 
 
-class _Doubts(dict):
-    """The word of a token if it may be a misreading, else nothing."""
+class _Doubts:
+    """Which tokens may be misreadings: their words, looked up in a bit table once a token."""
 
     def __init__(self, table: np.ndarray):
-        super().__init__()
         self.table = table
+        self.sound: set[str] = set()
+        self.words: dict[str, str] = {}
 
-    def __missing__(self, token: str) -> str:
+    def word(self, token: str) -> str:
+        """The word of a token if it may be a misreading, else nothing."""
         w = word_of(token)
-        doubt = False
         if _worth(w):
             h, most = _hash(w), 32 * len(self.table) - 1
-            doubt = all(int(self.table[(h >> s & most) >> 5]) >> (h >> s & 31) & 1 for s in _SHIFTS)
-        self[token] = out = w if doubt else ""
-        return out
+            if all(int(self.table[(h >> s & most) >> 5]) >> (h >> s & 31) & 1 for s in _SHIFTS):
+                return w
+        return ""
+
+    def of(self, tokens: list[str]) -> Iterator[tuple[int, str]]:
+        """(place, word) of the doubtful ones."""
+        other = set(tokens).difference(self.sound)
+        if not other:
+            return
+        for t in other.difference(self.words):
+            if w := self.word(t):
+                self.words[t] = w
+            else:
+                self.sound.add(t)
+        if not other.isdisjoint(self.words):
+            yield from ((i, self.words[t]) for i, t in enumerate(tokens) if t in self.words)
+
+    def emptied(self) -> None:
+        if len(self.sound) + len(self.words) > 300_000:
+            self.sound.clear()
+            self.words.clear()
 
 
 def _own_forms(placed: DataFrame, forms: DataFrame, common: frozenset[str]) -> DataFrame:
