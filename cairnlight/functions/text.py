@@ -75,6 +75,19 @@ def json_triples(text: Column) -> Column:
     return F.filter(parsed, lambda x: x.isNotNull() & (F.size(x) == 3))
 
 
+def authored(reply: Column) -> Column:
+    """(q, answer) of an author's JSON reply; null for bad JSON, a missing question or answer, and SKIP."""
+    x = F.from_json(unfenced(reply), "q string, answer string")
+    return F.when(x["q"].isNotNull() & x["answer"].isNotNull() & (x["q"] != "SKIP"), x)
+
+
+def estimated_tokens(text: Column, by: str = "characters") -> Column:
+    """About four characters a token, or 1.3 tokens a word."""
+    if by == "characters":
+        return F.floor(F.length(text) / 4)
+    return F.floor(F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != "")) * 1.3)
+
+
 def loose(text: Column) -> Column:
     """Lower case, all but letters, digits and spaces turned into spaces (which are not collapsed)."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "))

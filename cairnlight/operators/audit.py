@@ -60,3 +60,12 @@ def fact_statistics(facts: DataFrame, questions: int) -> DataFrame:
     """facts has qid and garbled, a row each; one row: questions, those with facts, mean facts of these, garbled percent."""
     one = facts.agg(F.countDistinct("qid").alias("with_facts"), F.count("*").alias("facts"), F.count_if("garbled").alias("garbled"))
     return one.select(F.lit(questions).alias("questions"), "with_facts", F.expr("try_divide(facts, with_facts)").alias("mean_facts"), F.expr("try_divide(100.0D * garbled, facts)").alias("garbled_percent"))
+
+
+def bottleneck(counts: DataFrame, stages: tuple[str, str, str], least: float = 0.4) -> DataFrame:
+    """One row of counts per stage with the share that passes the second and the third, and which of them loses
+    most: 'extraction' or 'retrieval' where less than `least` passes, else 'neither'. An empty stage passes nothing."""
+    a, b, c = stages
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    x = counts.select(*stages, share(b, a).alias("extract_rate"), share(c, b).alias("retrieve_rate"))
+    return x.withColumn("verdict", F.when(F.col("extract_rate") < least, "extraction").when(F.col("retrieve_rate") < least, "retrieval").otherwise("neither"))

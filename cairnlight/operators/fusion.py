@@ -17,6 +17,7 @@ INSTRUCTIONS = {
     "all+pixels": "Answer using only the provided text context, knowledge-graph facts, and the attached image(s). If the answer isn't in any of them, say you don't know.",
     "all+captions": "Answer using only the provided text context, knowledge-graph facts, and image descriptions. If the answer isn't in any of them, say you don't know.",
 }
+LEVEL = 2  # of explanations, where none can be read
 PICTURE_CONTEXT = 400  # characters of a chunk next to a picture
 
 
@@ -95,6 +96,14 @@ def explanation(level: int, answer: Column, passages: Column, facts: Column, ima
     return F.concat_ws("\n", *lines)
 
 
+def parsed_level(text: str | None, default: int = LEVEL) -> int:
+    """The level of a setting; the default where it is missing or no number."""
+    try:
+        return int(text)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+
+
 def retrieved(evidence: DataFrame, k: int) -> DataFrame:
     """(question_id, passages) with the k best passages as an array of (rank, source, chunk); k bounds it."""
     return evidence.where(F.col("rank") <= k).groupBy("question_id").agg(F.collect_list(F.struct("rank", "source", "chunk")).alias("passages"))

@@ -282,16 +282,16 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     best = f.groupBy("source").agg(F.max_by(F.struct("image", "caption", "score"), "o").alias("figure"))
     facts = F.when(F.col("level").isNotNull(), F.array(F.concat(F.coalesce("type", F.lit("?")), F.lit(" is "), "level"), F.concat(F.lit("level "), "level"))).otherwise(F.array().cast("array<string>"))
     images = F.when(F.col("figure").isNotNull(), F.array(F.struct(F.lit(1).alias("rank"), F.col("figure.image").alias("image_name"), F.col("figure.caption").alias("caption")))).otherwise(F.array().cast("array<struct<rank:int,image_name:string,caption:string>>"))
-    return q.join(passages(spark, d), "question_id").join(best, "source", "left").select("question_id", "q", "answer", "passages", facts.alias("facts"), "figure", images.alias("images"))
+    return q.join(passages(spark, d), "question_id").join(best, "source", "left").select("question_id", "q", "answer", "passages", facts.alias("facts"), "figure", images.alias("images"), "source", "level")
 
 
 _FUSED = (
     _PASSAGES
     + """,
 figs AS (SELECT string_split(image, '_')[1] || '.txt' AS source, image, caption, score FROM figure WHERE image IS NOT NULL QUALIFY row_number() OVER (PARTITION BY string_split(image, '_')[1] ORDER BY coalesce(score, -1.0) DESC, figure_id) = 1),
-texts AS (SELECT question_id, string_agg('[' || source || '] ' || chunk, chr(10) || chr(10) ORDER BY rank_no) AS context, string_agg(chunk, chr(10) || chr(10) ORDER BY rank_no) AS bare, string_agg('[' || source || '] ' || substring(chunk, 1, 400), chr(10) || chr(10) ORDER BY rank_no) AS short,
+texts AS (SELECT question_id, list(source ORDER BY rank_no) AS ranked, string_agg('[' || source || '] ' || chunk, chr(10) || chr(10) ORDER BY rank_no) AS context, string_agg(chunk, chr(10) || chr(10) ORDER BY rank_no) AS bare, string_agg('[' || source || '] ' || substring(chunk, 1, 400), chr(10) || chr(10) ORDER BY rank_no) AS short,
   array_to_string(list_distinct_first(list(source ORDER BY rank_no)), ', ') AS sources, string_agg('      [' || source || '] ' || substring(chunk, 1, 120) || '...', chr(10) ORDER BY rank_no) AS snippets FROM best GROUP BY question_id),
-fused AS (SELECT q.question_id, q.q, q.answer, t.*, CASE WHEN level IS NULL THEN NULL ELSE '- ' || coalesce(type, '?') || ' is ' || level || chr(10) || '- level ' || level END AS fact_lines, level IS NOT NULL AS has_facts,
+fused AS (SELECT q.question_id, q.q, q.answer, q.source AS expected, q.level, t.* EXCLUDE (question_id), CASE WHEN level IS NULL THEN NULL ELSE '- ' || coalesce(type, '?') || ' is ' || level || chr(10) || '- level ' || level END AS fact_lines, level IS NOT NULL AS has_facts,
   coalesce(type, '?') || ' is ' || level AS fact1, 'level ' || level AS fact2, f.image, f.caption, f.score, '- (' || f.image || ') ' || coalesce(f.caption, '') AS image_line
   FROM questions_publaynet_text q JOIN texts t USING (question_id) LEFT JOIN figs f ON q.source = f.source WHERE q.q IS NOT NULL)"""
 )
@@ -310,10 +310,10 @@ def q24_context_kg(spark: SparkSession, d: str) -> DataFrame:
     return f.select("question_id", F.md5(fusion.user_prompt(F.col("q"), fusion.context(F.col("passages")), fusion.facts_block(F.col("facts")))).alias("prompt_md5"), F.md5(fusion.judge_context(F.col("passages"), F.col("facts"))).alias("judge_md5"))
 
 
-@query(f"WITH {_FUSED} SELECT question_id, md5('Text context:' || chr(10) || context || chr(10) || chr(10) || 'Relevant images (described):' || chr(10) || coalesce(image_line, '') || chr(10) || chr(10) || 'Question: ' || q) AS prompt_md5, CASE WHEN image IS NULL THEN 'none' ELSE 'caption' END AS delivery FROM fused")
+@query(f"WITH {_FUSED} SELECT question_id, md5('Text context:' || chr(10) || context || chr(10) || chr(10) || 'Relevant images (described):' || chr(10) || coalesce(image_line, '') || chr(10) || chr(10) || 'Question: ' || q) AS prompt_md5, CASE WHEN image IS NULL THEN 'none' WHEN level = 'hard' THEN 'pixels' ELSE 'caption' END AS delivery FROM fused")
 def q25_context_multimodal(spark: SparkSession, d: str) -> DataFrame:
     f = fused(spark, d)
-    by = fusion.delivery(F.lit(True), F.lit(False), F.lit(True), F.col("images"))
+    by = fusion.delivery(F.lit(True), F.coalesce(F.col("level") == "hard", F.lit(False)), F.lit(True), F.col("images"))  # hard ones stand for questions about figures
     return f.select("question_id", F.md5(fusion.user_prompt(F.col("q"), fusion.context(F.col("passages")), images=fusion.image_block(F.col("images"), none=False))).alias("prompt_md5"), by.alias("delivery"))
 
 
@@ -432,13 +432,13 @@ def q38_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.select("model", "baseline", F.col("+KG").alias("kg"), F.col("+multimodal").alias("multimodal"), F.col("+both").alias("both_"))
 
 
-@query("WITH r AS (SELECT DISTINCT run_id FROM gen_result), p AS (SELECT DISTINCT run_id, model FROM gen_result) SELECT r.run_id, m.name AS model FROM r, (SELECT DISTINCT name FROM model_pricing) m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.run_id = r.run_id AND p.model = m.name)")
+@query("WITH r AS (SELECT DISTINCT question_id FROM gen_result), p AS (SELECT DISTINCT question_id, model FROM gen_result) SELECT r.question_id, m.name AS model FROM r, (SELECT DISTINCT name FROM model_pricing) m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.question_id IS NOT DISTINCT FROM r.question_id AND p.model = m.name)")
 def q39_missing_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Registered models without a call in a run: per run the registry less what it has, so no cross join."""
+    """Registered models that were never asked a question: per question the registry less what it has, so no cross join."""
     names = [r[0] for r in table(spark, d, "model_pricing").select("name").distinct().orderBy("name").collect()]  # the fixed registry
-    have = table(spark, d, "gen_result").select("run_id", "model").distinct().where(F.col("model").isNull() | F.col("model").isin(names)).groupBy("run_id").agg(F.collect_set("model").alias("have"))
-    runs = table(spark, d, "gen_result").select("run_id").distinct().join(have, "run_id", "left")
-    return runs.select("run_id", F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), F.coalesce("have", F.array().cast("array<string>")))).alias("model"))
+    asked_ = table(spark, d, "gen_result").select("question_id", F.when(F.col("model").isin(names), F.col("model")).alias("model")).distinct()
+    have = asked_.groupBy("question_id").agg(F.collect_set("model").alias("have"))  # no more than the registry
+    return have.select("question_id", F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "have")).alias("model"))
 
 
 @query(f"WITH s AS ({_CALLS}) SELECT system_name, calls, model, CASE system_name WHEN 'baseline' THEN 0 WHEN '+KG' THEN 1 WHEN '+multimodal' THEN 2 WHEN '+both' THEN 3 ELSE 4 END AS place FROM s")
@@ -455,13 +455,13 @@ def q41_vocab_df(spark: SparkSession, d: str) -> DataFrame:
     return audit.vocabulary(table(spark, d, "documents"), "text")
 
 
-@query(f"""WITH {_VOCABULARY}, h AS (SELECT doc_id, substring(text, 1, 40) AS t FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH {_VOCABULARY}, h AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, list_filter(regexp_extract_all(t, '[A-Za-z]{{3,}}'), lambda x: x <> upper(x)) AS plain, len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) AS n FROM h),
 k AS (SELECT doc_id, count(*) AS n, count(v.word) AS known FROM (SELECT doc_id, unnest(list_transform(plain, lambda x: lower(x))) AS word FROM w) x LEFT JOIN vocabulary v USING (word) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN w.n = 0 OR regexp_matches(t, '[0-9]') THEN false WHEN len(list_filter(plain, lambda x: substring(x, 2) <> lower(substring(x, 2)))) > 0 THEN true ELSE coalesce((k.n - k.known) / k.n >= 0.5, false) END AS garbled FROM w LEFT JOIN k USING (doc_id)""")
 def q42_ocr_garbage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    return audit.garbled(docs.select("doc_id", F.substring("text", 1, 40).alias("head")), "doc_id", "head", audit.vocabulary(docs, "text"))
+    return audit.garbled(docs, "doc_id", "text", audit.vocabulary(docs, "text"))
 
 
 @query(f"WITH {_EDGES}, {_ASKED}, top AS (SELECT node, count(DISTINCT qid) AS questions FROM matches GROUP BY node ORDER BY questions DESC, node LIMIT 12) SELECT * FROM top WHERE questions >= greatest(2, 0.1 * (SELECT count(*) FROM asked))")
@@ -601,3 +601,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     n = neighbours(spark, d, 3).join(labels.withColumnRenamed("vec_id", "id"), "id").join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted")), "qid")
     best = n.groupBy("qid").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("rank"))).alias("r"))
     return best.agg(F.count("*").alias("queries"), F.avg(F.col("r").isNotNull().cast("double")).alias("recall_at_3"), F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce(1.0 / F.log2(F.col("r") + 1.0), F.lit(0.0))).alias("ndcg_at_3"))
+
+
+from cairnlight.plans import composites  # noqa: E402, F401 - adds its queries
