@@ -388,12 +388,13 @@ def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) ->
         now = spark.sparkContext.broadcast(model)
 
         def expect(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            weights, total = _weights(now.value), None
+            weights, total = _weights(now.value).astype(np.float32), None
             for f in frames:
-                phi = _standardized(_prepared(f), now.value)
+                # single precision within a batch, double over batches
+                phi = _standardized(_prepared(f), now.value).astype(np.float32)
                 p, density = _posterior(phi, weights)
-                part = np.vstack([p.T @ phi, np.zeros(phi.shape[1])])
-                part[-1, 0] = density.sum()
+                part = np.vstack([p.T @ phi, np.zeros(phi.shape[1])]).astype(np.float64)
+                part[-1, 0] = density.sum(dtype=np.float64)
                 total = part if total is None else total + part
             if total is not None:
                 yield pd.DataFrame({"k": np.arange(len(total)), "m": list(total)})

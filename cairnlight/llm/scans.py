@@ -128,44 +128,58 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 class Trie:
-    """Vocabulary as nested dictionaries; '' marks the end of a word."""
+    """Vocabulary as nested dictionaries, forwards and backwards; '' marks the end of a word."""
 
     def __init__(self, words: Iterator[str] | list[str]):
         self.root: dict = {}
+        self.back: dict = {}
         self.longest = 0
         for w in words:
-            node, self.longest = self.root, max(self.longest, len(w))
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
+            self.longest = max(self.longest, len(w))
+            for root, letters in ((self.root, w), (self.back, w[::-1])):
+                node = root
+                for c in letters:
+                    node = node.setdefault(c, {})
+                node[""] = w
 
     def within(self, word: str, errors: int = WIDTH) -> list[str]:
         """All words within the edit distance: the automaton's states (bit sets of matched
-        lengths, one per number of errors) run down the trie and die out where none is left."""
+        lengths, one per number of errors) run down the trie and die out where none is left.
+
+        Either the first half of the word holds less than all errors: forwards, the last error is
+        only admitted behind that half. Or it holds all: backwards, the second half must match as it stands."""
         if len(word) > self.longest + errors:
             return []
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | (2 << i)
-        full, last = (2 << len(word)) - 1, 1 << len(word)
-        out, get = [], masks.get
-        # states of up to 0, 1 and 2 errors (those of more contain those of fewer); more errors are not asked for
-        second, third = (errors > 0) * full, (errors > 1) * full
-        stack = [(self.root, 1, 3 & second, 7 & third)]
-        while stack:
-            node, a, b, c = stack.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    if (a | b | c) & last:
-                        out.append(child)
-                    continue
-                m = get(letter, 0)
-                x = (a << 1) & m
-                y = ((b << 1) & m | a | ((a | x) << 1)) & second
-                z = ((c << 1) & m | b | ((b | y) << 1)) & third
-                if x | y | z:
-                    stack.append((child, x, y, z))
-        return sorted(out)
+        full, half = (2 << len(word)) - 1, len(word) // 2
+        behind = full & ~((1 << half) - 1)
+        if errors < 2:
+            return sorted(_run(self.root, word, (errors > 0) * full, 0))
+        rest = full & ~((1 << (len(word) - half)) - 1)
+        return sorted(_run(self.root, word, full, behind) | _run(self.back, word[::-1], rest, rest))
+
+
+def _run(root: dict, word: str, second: int, third: int) -> set[str]:
+    """The words whose path keeps a state of up to 0, 1 or 2 errors; states of 1 and 2 only at the lengths of these masks."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(word):
+        masks[c] = masks.get(c, 0) | (2 << i)
+    last = 1 << len(word)
+    out, get = set(), masks.get
+    stack = [(root, 1, 3 & second, 7 & third)]
+    while stack:
+        node, a, b, c = stack.pop()
+        for letter, child in node.items():
+            if letter == "":
+                if (a | b | c) & last:
+                    out.add(child)
+                continue
+            m = get(letter, 0)
+            x = (a << 1) & m
+            y = ((b << 1) & m | a | ((a | x) << 1)) & second
+            z = ((c << 1) & m | b | ((b | y) << 1)) & third
+            if x | y | z:
+                stack.append((child, x, y, z))
+    return out
 
 
 _BY_READ: dict[str, list[tuple[str, int]]] = {}
@@ -265,11 +279,12 @@ def _lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     counts = dict(zip(left["right"], left["n"])) if len(right) else {}
     trie, rows = Trie(counts), []
     for w, n in zip(right["word"], right["n_read"]):
+        rare = n < ATTESTED and len(w) >= LETTERS  # others are misread by confusions only
+        least = n if rare else n * math.exp(FIRST) - 0.5
         for v in trie.within(w):
-            if v != w and counts[v] > n:
+            if v != w and counts[v] > least:
                 cost, other = price(w, v)
-                # edits that no confusion explains: only for words that are not attested themselves
-                if other and (n >= ATTESTED or len(w) < LETTERS or other > 1 and len(w) < 2 * LETTERS):
+                if other and (not rare or other > 1 and len(w) < 2 * LETTERS):
                     continue
                 if other or math.log(counts[v] / n) >= FIRST and (len(w) > 3 or not STRONG.isdisjoint(w)):
                     rows.append((w, int(n), v, float(cost), int(counts[v])))
