@@ -157,7 +157,7 @@ class _Tokens(dict):
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[tuple[float, ...]] = []  # not yet in the table
-        self.table = np.empty((0, len(_PER_TOKEN)))
+        self.table = np.empty((0, len(_PER_TOKEN)), np.float32)  # counts, exact in single precision
 
     def __missing__(self, t: str) -> int:
         self[t] = n = len(self.table) + len(self.rows)
@@ -166,7 +166,7 @@ class _Tokens(dict):
 
     def sums(self) -> np.ndarray:
         if self.rows:
-            self.table, self.rows = np.vstack([self.table, np.array(self.rows, float)]), []
+            self.table, self.rows = np.vstack([self.table, np.array(self.rows, np.float32)]), []
         return self.table
 
 
@@ -183,7 +183,7 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
             t = t.replace("\r\n", "\n").replace("\r", "\n")
             lines = [x for x in (y.strip(" ") for y in t.split("\n")) if x]
             at.append(i)
-            ids += [known[x] for x in toks]
+            ids += map(known.__getitem__, toks)
             ends.append(len(ids))
             own.append((len(toks), len(lines), sum(map(_line_end, lines)), sum(map(_line_mark, lines)), t.count("\t") + (len(_WIDE.findall(t)) if "  " in t else 0), len(set(toks))))
         out = pd.DataFrame({key: f.iloc[:, 0]})
@@ -196,8 +196,8 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
             follows = np.append(rows[1:, alpha], 0)
             follows[np.array(ends[1:]) - 1] = 0
             rows[:, mark] *= follows
-            v = dict(zip(_PER_TOKEN, np.add.reduceat(rows, ends[:-1]).T))
-            v["longest"] = np.maximum.reduceat(rows[:, -1], ends[:-1])
+            v = dict(zip(_PER_TOKEN, np.add.reduceat(rows, ends[:-1]).T.astype(float)))
+            v["longest"] = np.maximum.reduceat(rows[:, -1], ends[:-1]).astype(float)
             n, lines, punctuated, marked, wide, distinct = np.array(own, float).T
             lines, letters = np.maximum(lines, 1), np.maximum(v["letters"], 1)
             values = {

@@ -152,5 +152,20 @@ FROM counted
     "p4_found": r"""
 SELECT evidence_id, CASE WHEN list_max(list_transform(regexp_split_to_array(chunk, '[\s\x1c-\x1f\x85\p{Z}]+'), lambda x: length(x))) > 500 THEN 'hard' ELSE 'natural' END AS cut
 FROM evidence WHERE length(chunk) > 500
+""",
+    "p6_statistics": rf"""
+WITH t AS (SELECT evidence_id, regexp_replace(chunk, '\r\n?', chr(10), 'g') AS t FROM evidence),
+x AS (SELECT evidence_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '') AS toks, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '') AS lines,
+  regexp_extract_all(lower(t), '\p{{L}}+') AS words, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '', 'g')) AS chars FROM t)
+SELECT evidence_id, CASE WHEN len(toks) > 0 THEN len(toks)::DOUBLE END AS words, CASE WHEN len(toks) > 0 THEN round(chars / len(toks), 6) END AS mean_word_length,
+  CASE WHEN len(toks) > 0 THEN round(len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}.,;:!?''"()-]')) / chars, 6) END AS symbol_ratio,
+  CASE WHEN len(toks) > 0 THEN round(len(list_filter(lines, lambda l: regexp_matches(l, '[.!?。！？…]["”’)\]]*$'))) / greatest(len(lines), 1), 6) END AS punctuated_lines,
+  CASE WHEN len(toks) > 0 THEN round(len(list_filter(words, lambda w: list_contains([{", ".join(f"'{w}'" for w in sorted(set(quality.COMMON)))}], w))) / len(toks), 6) END AS common_words
+FROM x""",
+    "p8_found": r"""
+WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), '\p{Cf}+', '', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[i:i + least(12, len(w)) - 1], ' ') || ' ' AS g FROM b, unnest(range(1, greatest(len(w) - 11, 1) + 1)) AS u(i) WHERE len(w) > 0)
+SELECT DISTINCT item_id, doc_id FROM g JOIN d ON contains(t, g)
 """,
 }

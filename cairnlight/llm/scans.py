@@ -323,37 +323,40 @@ _MARGIN = " \t\r\f\v\xa0" + _INVISIBLE
 
 def edges_of(text: str) -> tuple[list[Line], list[Line]]:
     """The first EDGES lines that are not blank, and the last EDGES of the others, from the outside inwards."""
-    raw = text.split("\n")
     head: list[Line] = []
     tail: list[Line] = []
-    at, i = 0, 0
-    while i < len(raw) and len(head) < EDGES:
-        if t := raw[i].strip(_MARGIN):
-            s = at + raw[i].index(t[0])
+    at, size = 0, len(text)
+    while at < size and len(head) < EDGES:
+        end = text.find("\n", at)
+        end = size if end < 0 else end
+        if t := text[at:end].strip(_MARGIN):
+            s = text.index(t[0], at)
             head.append(Line(s, s + len(t), t))
-        at += len(raw[i]) + 1
-        i += 1
-    end, k = len(text), len(raw) - 1
-    while k >= i and len(tail) < EDGES:
-        if t := raw[k].strip(_MARGIN):
-            s = end - len(raw[k]) + raw[k].index(t[0])
+        at = end + 1
+    end = size
+    while end >= at and len(tail) < EDGES:
+        start = text.rfind("\n", at, end) + 1 or at
+        if t := text[start:end].strip(_MARGIN):
+            s = text.index(t[0], start)
             tail.append(Line(s, s + len(t), t))
-        end -= len(raw[k]) + 1
-        k -= 1
+        end = start - 1
     return head, tail
 
 
-_NUMBER_FIRST = regex.compile(rf"^(\d{{1,5}}|{_ROMAN})(?:\s{{2,}}|\t| [|·–-] )(?=\S)")
-_NUMBER_LAST = regex.compile(rf"(?<=\S)(?:\s{{2,}}|\t| [|·–-] )(\d{{1,5}}|{_ROMAN})$")
+_NUMBER_FIRST = re.compile(rf"^(\d{{1,5}}|{_ROMAN})(?:\s{{2,}}|\t| [|·–-] )(?=\S)")
+_NUMBER_LAST = re.compile(rf"(?<=\S)(?:\s{{2,}}|\t| [|·–-] )(\d{{1,5}}|{_ROMAN})$")
+
+
+_DIGITISH = frozenset("0123456789ivxlc")
 
 
 def without_number(line: str) -> tuple[str, str]:
     """A line without the page number before or behind it, and where that stood."""
-    m = _NUMBER_FIRST.match(line)
-    if m:
+    if line[:1] in _DIGITISH and (m := _NUMBER_FIRST.match(line)):
         return line[m.end() :], "before"
-    m = _NUMBER_LAST.search(line)
-    return (line[: m.start()], "behind") if m else (line, "none")
+    if line[-1:] in _DIGITISH and (m := _NUMBER_LAST.search(line)):
+        return line[: m.start()], "behind"
+    return line, "none"
 
 
 def form_of(line: str, frequent: frozenset[str] | None = None) -> str:
@@ -431,7 +434,11 @@ def furniture_of_lines(text: str, page_no: int | None, known: list[str], forms:
 
 
 def is_header(line: str, forms: frozenset[str], frequent: frozenset[str]) -> bool:
-    return line[-1:] not in _CLOSED and form_of(line, frequent) in forms
+    if line[-1:] in _CLOSED or not forms:
+        return False
+    shaped, openings, _ = _shapes(forms)
+    words = line.split()
+    return len(words) in shaped and " ".join([_form(w, frequent) for w in words[:2]]) in openings and form_of(line, frequent) in forms
 
 
 _CLOSED = frozenset((".", ",", ";", *HYPHENS))
@@ -697,17 +704,13 @@ _SHIFTS = (3, 19, 36)  # three places in a table belong to every word or pair
 
 
 def _slots(bits: int, first: str, second: str | None = None) -> Column:
-    """The places of a word, or of two in a row, in a bit table; slots() is its twin for hashes."""
+    """The places of a word, or of two in a row, in a bit table; hits() reads them for hashes."""
     h = F.xxhash64(first)
     if second is not None:
         h = h.bitwiseXOR(F.shiftleft(F.xxhash64(second), 7))
     return F.array(*[F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS])
 
 
-def slots(bits: int, h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(s)) & np.uint64(bits - 1) for s in _SHIFTS]
-
-
 def bit_table(rows: DataFrame, *words: str) -> np.ndarray:
     """A table of bits with those set that belong to the rows, 64 bits for each of them and BITS at most.
     It is put together in the executors; false hits are for the reader to drop."""
@@ -719,11 +722,12 @@ def bit_table(rows: DataFrame, *words: str) -> np.ndarray:
 
 
 def hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether all places of the hashes are set."""
-    out = np.ones(len(h), bool)
-    for s in slots(32 * len(table), h):
-        out &= (table[s >> np.uint64(5)] >> (s & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-    return out
+    """The places of the hashes all of whose slots are set."""
+    left = np.arange(len(h))
+    for shift in _SHIFTS:
+        slot = (h[left] >> np.uint64(shift)) & np.uint64(32 * len(table) - 1)
+        left = left[(table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0]
+    return left
 
 
 def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
