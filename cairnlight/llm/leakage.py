@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlight.session import spread
+from cairnlight.llm import bits
+from cairnlight.session import spread, stored
 
 RUN = 12
 MASKS = ("110111011011", "111010110111")  # windows of RUN words; the zeros are ignored
@@ -160,23 +161,36 @@ def overlaps(items: DataFrame, item_key: str, item_text: str, docs: DataFrame, d
 
 def _joined(items: DataFrame, item_key: str, item_text: str, ik: str, docs: DataFrame, doc_key: str, doc_text: str, dk: str) -> DataFrame:
     """The same result for item sets of any size: item words are hashed once, seeds joined by hash,
-    and the candidate pairs verified next to both word lists."""
+    and the candidate pairs verified next to both word lists. Of the corpus only seeds are shuffled whose
+    bits are set in a table of the items' seeds; masks that no item has are not looked at."""
     lengths = {n: masks_for(n) for n in range(1, RUN + 1)}
 
-    def emit(key: str, all_masks: bool):  # noqa: ANN202
+    def emit(key: str, masks, held=None):  # noqa: ANN001, ANN202
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                rows = []
+                keys, places, found = [], [], []
                 for k, text in zip(f.iloc[:, 0], f.iloc[:, 1]):
                     codes = hashed(words(text))
-                    for m in [x for v in lengths.values() for x in v] if all_masks else masks_for(len(codes)):
-                        rows += [(k, int(p), int(h)) for p, h in enumerate(seeds(codes, m).view(np.int64))]
-                yield pd.DataFrame(rows, columns=[key, "place", "seed"])
+                    for m in masks_for(len(codes)) if masks is None else masks:
+                        h = seeds(codes, m)
+                        at = np.arange(len(h)) if held is None else bits.hits(held.value, h)
+                        keys += [k] * len(at)
+                        places.append(at)
+                        found.append(h[at])
+                if keys:
+                    yield pd.DataFrame({key: keys, "place": np.concatenate(places).astype("int32"), "seed": np.concatenate(found).view(np.int64)})
 
         return run
 
-    left = items.mapInPandas(emit(item_key, False), f"`{item_key}` {ik}, place int, seed long").alias("i")
-    right = spread(docs).mapInPandas(emit(doc_key, True), f"`{doc_key}` {dk}, place int, seed long").alias("d")
+    left = stored(items.mapInPandas(emit(item_key, None), f"`{item_key}` {ik}, place int, seed long"), "seeds")
+
+    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"n": [min(RUN, len(words(t))) for t in f.iloc[:, 0]]})
+
+    used = sorted({m for r in items.select(item_text).mapInPandas(sized, "n int").distinct().collect() for m in lengths.get(r.n, ())})  # RUN lengths at most
+    table = items.sparkSession.sparkContext.broadcast(bits.table_of(left.select("seed").distinct(), F.col("seed")))
+    left, right = left.alias("i"), spread(docs).mapInPandas(emit(doc_key, used, table), f"`{doc_key}` {dk}, place int, seed long").alias("d")
     pairs = left.join(right, F.col("i.seed") == F.col("d.seed")).select(F.col(f"i.{item_key}").alias("_i"), F.col(f"d.{doc_key}").alias("_d"), (F.col("d.place") - F.col("i.place")).alias("diagonal")).distinct()
     both = pairs.join(items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_it")), "_i").join(docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_dt")), "_d")
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,6 +276,7 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
 RIDGE = 0.05  # added to the variances of standardized statistics
 PRIOR = 5.0  # rows that a component's last mean weighs in the next
 TOLERANCE, PASSES = 0.01, 50  # the gain in log likelihood a document that ends the fit, and its bound
+SLOTS = 8  # tasks that add up the sums of all partitions
 FEW = 0.2  # examples, in sum, below which a component is named by the nearest
 
 
@@ -353,12 +355,27 @@ def _named(model: dict, ex: np.ndarray, owner: np.ndarray, kinds_of: list[str])
     return [names[row.argmax()] if row.sum() > FEW else n for row, n in zip(said, near)]
 
 
-def _sums(parts: DataFrame, width: int) -> np.ndarray:
-    """Rows of (k, array) summed per place in the executors; what comes back depends on the model's size alone."""
-    flat = parts.select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((int(flat["k"].max()) + 1 if len(flat) else 0, width))
-    out[flat["k"].to_numpy(int), flat["i"].to_numpy(int)] = flat["v"]
-    return out
+def _sums(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of one matrix a partition (slot int, m binary): added up in SLOTS tasks, so SLOTS rows come back
+    however many partitions there are."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            for m in f["m"]:
+                x = np.frombuffer(m)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pd.DataFrame({"m": [total.tobytes()]})
+
+    rows = parts.repartition(SLOTS, "slot").select("m").mapInPandas(add, "m binary").collect()
+    return sum((np.frombuffer(bytes(r.m)) for r in rows), np.zeros(shape[0] * shape[1])).reshape(shape)
+
+
+def _slot() -> int:
+    """The slot of this partition's sums."""
+    context = TaskContext.get()
+    return context.partitionId() % SLOTS if context else 0
 
 
 def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) -> dict:
@@ -376,10 +393,10 @@ def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) ->
         for f in frames:
             x = _prepared(f)
             m += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
-        yield pd.DataFrame({"k": [0], "m": [m.tolist()]})
+        yield pd.DataFrame({"slot": [_slot()], "m": [m.tobytes()]})
 
-    sums = _sums(rows.mapInPandas(moments, "k int, m array<double>"), 1 + 2 * d)
-    n = sums[0, 0] if len(sums) else 0.0
+    sums = _sums(rows.mapInPandas(moments, "slot int, m binary"), (1, 1 + 2 * d))
+    n = sums[0, 0]
     center = sums[0, 1 : 1 + d] / n if n else ex.mean(0)
     scale = np.sqrt(np.maximum(sums[0, 1 + d :] / n - center**2, 0)) if n else ex.std(0)
     model = _started(ex, owner, center, np.maximum(scale, np.maximum(ex.std(0) / 3, 1e-3)))
@@ -397,9 +414,9 @@ def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) ->
                 part[-1, 0] = density.sum(dtype=np.float64)
                 total = part if total is None else total + part
             if total is not None:
-                yield pd.DataFrame({"k": np.arange(len(total)), "m": list(total)})
+                yield pd.DataFrame({"slot": [_slot()], "m": [total.tobytes()]})
 
-        v = _sums(rows.mapInPandas(expect, "k int, m array<double>"), 1 + d + len(_PAIRS[0]))
+        v = _sums(rows.mapInPandas(expect, "slot int, m binary"), (len(groups) + 1, 1 + d + len(_PAIRS[0])))
         now.unpersist()
         trace.append(v[-1, 0] / n)
         if len(trace) > 1 and trace[-1] - trace[-2] < tolerance:
@@ -410,7 +427,7 @@ def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) ->
     return {**model, "kinds": _named(model, ex, owner, kinds_of), "trace": trace}
 
 
-def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES) -> DataFrame:
+def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES, with_statistics: bool = True) -> DataFrame:
     """(key, statistics..., kind, certainty) of every text; kind is null for null and blank ones."""
     stats = stored(statistics(spread(df.select(F.col(key), F.col(text))), key, text), "statistics")
     model = df.sparkSession.sparkContext.broadcast(fit(stats.where(F.col("words").isNotNull()), passes))
@@ -419,7 +436,7 @@ def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES) -> DataFrame
         names = sorted(set(model.value["kinds"]))
         which = np.array([[k == n for n in names] for k in model.value["kinds"]], float)
         for f in frames:
-            out, there = f.copy(), f["words"].notna().to_numpy()
+            out, there = f.copy() if with_statistics else f[[key]].copy(), f["words"].notna().to_numpy()
             kind, sure = np.full(len(f), None, object), np.full(len(f), np.nan)
             if there.any():
                 p = _posterior(_standardized(_prepared(f[there]), model.value), _weights(model.value))[0] @ which
@@ -427,7 +444,7 @@ def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES) -> DataFrame
             out["kind"], out["certainty"] = kind, sure
             yield out
 
-    kept = T.StructType(list(stats.schema.fields)).add("kind", "string").add("certainty", "double")
+    kept = T.StructType(list(stats.schema.fields) if with_statistics else [stats.schema[key]]).add("kind", "string").add("certainty", "double")
     return stats.mapInPandas(run, kept)
 
 

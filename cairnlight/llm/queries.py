@@ -61,7 +61,7 @@ def _scans(spark: SparkSession, d: str) -> scans.Noise:
     """All pages, and the chunks that are prose, with the document and number of their page."""
     pages = table(spark, d, "ingest_doclaynet")
     chunks = table(spark, d, "evidence").select("evidence_id", "source", "chunk")
-    prose = broadcast_if_small(stored(quality.kinds(chunks, "evidence_id", "chunk").where("kind = 'prose'").select("evidence_id"), "prose"))
+    prose = broadcast_if_small(stored(quality.kinds(chunks, "evidence_id", "chunk", with_statistics=False).where("kind = 'prose'").select("evidence_id"), "prose"))
     place = pages.where(F.col("image_id").isNotNull()).groupBy(F.concat("image_id", F.lit(".txt")).alias("source")).agg(F.min(F.struct(F.col("original_filename").alias("doc"), F.col("page_no"))).alias("at"))
     place = broadcast_if_small(stored(place, "pages"))
     of_chunks = chunks.join(prose, "evidence_id", "left_semi").join(place, "source", "left").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_id"), F.col("chunk").alias("text"), "at.doc", "at.page_no")
@@ -92,7 +92,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.unnatural(quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk"), "evidence_id")
+    return quality.unnatural(quality.kinds(table(spark, d, "evidence"), "evidence_id", "chunk", with_statistics=False), "evidence_id")
 
 
 def p6_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ rest is reflowed into paragraphs.
 
 No part of the vocabulary is left out and none is broadcast: the trie is built in shards of
 at most SHARD words of one length, counts of joined words and of neighbours are joined.
-What is broadcast are bit tables of at most BITS bits, whose false hits the joins drop, and
+What is broadcast are bit tables of bounded size (bits.py), whose false hits the joins drop, and
 the header forms up to FORMS of them; beyond that each text's own forms are joined.
 Null and empty texts have no cases and repair to themselves; rows repeated under one key are
 repaired each and reported once; ties between candidates go to the alphabetically first.
@@ -32,10 +32,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlight.llm import bits
 from cairnlight.session import broadcast_if_small, spread, stored
 
 WIDTH = 2  # errors the automaton admits
@@ -44,7 +44,6 @@ FIRST, MORE = math.log(12), math.log(3)  # prices of edits: the first and a furt
 OTHER, GAP = math.log(5000), math.log(1_000_000)  # another character, a lost or an added one
 LETTERS = 5  # letters of a word that other edits are considered for
 SHARD = 20_000  # vocabulary words of one trie, and words looked up in it by one task
-BITS = 1 << 27  # of the broadcast bit tables
 EDGES = 2  # lines at either end of a page that may be furniture
 PAGES = 200  # neighbouring pages over which a line may recur
 RECURS = 4  # pages of those on which a line is a header, or a fifth of them, at least 2
@@ -277,10 +276,12 @@ def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """One shard of the vocabulary (left) and the words to look up in it."""
     counts = dict(zip(left["right"], left["n"])) if len(right) else {}
-    trie, rows = Trie(counts), []
+    trie, rows, most = Trie(counts), [], max(counts.values(), default=0)
     for w, n in zip(right["word"], right["n_read"]):
         rare = n < ATTESTED and len(w) >= LETTERS  # others are misread by confusions only
         least = n if rare else n * math.exp(FIRST) - 0.5
+        if most <= least:  # nothing here is that much more frequent
+            continue
         for v in trie.within(w):
             if v != w and counts[v] > least:
                 cost, other = price(w, v)
@@ -696,40 +697,6 @@ class Noise(NamedTuple):
     context: tuple
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-
-
-_SHIFTS = (3, 19, 36)  # three places in a table belong to every word or pair
-
-
-def _slots(bits: int, first: str, second: str | None = None) -> Column:
-    """The places of a word, or of two in a row, in a bit table; hits() reads them for hashes."""
-    h = F.xxhash64(first)
-    if second is not None:
-        h = h.bitwiseXOR(F.shiftleft(F.xxhash64(second), 7))
-    return F.array(*[F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS])
-
-
-def bit_table(rows: DataFrame, *words: str) -> np.ndarray:
-    """A table of bits with those set that belong to the rows, 64 bits for each of them and BITS at most.
-    It is put together in the executors; false hits are for the reader to drop."""
-    bits = min(BITS, max(1 << 16, 1 << (64 * max(1, rows.count()) - 1).bit_length()))
-    packed = rows.select(F.explode(_slots(bits, *words)).alias("slot")).groupBy(F.shiftright("slot", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toPandas()  # BITS / 32 rows at most
-    out = np.zeros(bits // 32, np.uint32)
-    out[packed["k"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The places of the hashes all of whose slots are set."""
-    left = np.arange(len(h))
-    for shift in _SHIFTS:
-        slot = (h[left] >> np.uint64(shift)) & np.uint64(32 * len(table) - 1)
-        left = left[(table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0]
-    return left
-
-
 def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
     """texts has src, row_id, text, doc and page_no (both may be null: the page is not known)."""
     spark = texts.sparkSession
@@ -740,7 +707,7 @@ def scan_noise(texts: DataFrame, forms_bound: int = FORMS) -> Noise:
     counted = stored(_summed(profile), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     readings = stored(misreadings(counted), "readings")
-    doubtful = bit_table(readings.select("word").distinct(), "word")
+    doubtful = bits.table_of(readings.select("word").distinct(), F.xxhash64("word"))
     forms = stored(forms, "forms")
     many = forms.count() > forms_bound
     held = spark.sparkContext.broadcast((doubtful, frozenset() if many else frozenset(r.form for r in forms.toLocalIterator()), common))
@@ -798,11 +765,7 @@ class _Doubts:
     def word(self, token: str) -> str:
         """The word of a token if it may be a misreading, else nothing."""
         w = word_of(token)
-        if _worth(w):
-            h, most = _hash(w), 32 * len(self.table) - 1
-            if all(int(self.table[(h >> s & most) >> 5]) >> (h >> s & 31) & 1 for s in _SHIFTS):
-                return w
-        return ""
+        return w if _worth(w) and bits.hit(self.table, bits.hashed(w)) else ""
 
     def of(self, tokens: list[str]) -> Iterator[tuple[int, str]]:
         """(place, word) of the doubtful ones."""
@@ -843,21 +806,17 @@ def _ranked(texts: DataFrame, options: DataFrame, counted: DataFrame, total: int
     one = options.where("left <> ''").select(F.col("left").alias("a"), F.col("right").alias("b"), F.col("left").alias("other"), "n")
     two = options.where("behind <> ''").select(F.col("right").alias("a"), F.col("behind").alias("b"), F.col("behind").alias("other"), "n")
     needed = stored(one.unionByName(two).distinct(), "needed")
-    table = options.sparkSession.sparkContext.broadcast(bit_table(needed, "a", "b"))
+    table = options.sparkSession.sparkContext.broadcast(bits.table_of(needed, F.xxhash64("a").bitwiseXOR(F.shiftleft(F.xxhash64("b"), 7))))
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, known = table.value, _Ids()
+        known = _Ids()
         for f in frames:
             if len(known) > 300_000:
                 known = _Ids()
-            ids: list[int] = []
-            for t in f["text"]:
-                ids += map(known.__getitem__, t.split())
-                ids.append(0)
-            at = np.array(ids)
+            at = np.array(list(map(known.__getitem__, " \0 ".join(f["text"]).split())))  # \0 is no word
             h = known.hashes()[at]
             hit = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-            hit = hit[hits(bits, h[hit] ^ (h[hit + 1] << np.uint64(7)))]
+            hit = hit[bits.hits(table.value, h[hit] ^ (h[hit + 1] << np.uint64(7)))]
             both, n = np.unique(at[hit] * len(known.words) + at[hit + 1], return_counts=True)
             if len(hit):
                 yield pd.DataFrame({"a": [known.words[k // len(known.words)] for k in both], "b": [known.words[k % len(known.words)] for k in both], "m": n.astype("int64")})
@@ -886,7 +845,7 @@ class _Ids(dict):
         if k is None:
             k = self.of_word[w] = len(self.words)
             self.words.append(w)
-            self.hashed.append(_hash(w))
+            self.hashed.append(bits.hashed(w))
         self[token] = k
         return k
 
