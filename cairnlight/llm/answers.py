@@ -32,7 +32,7 @@ from cairnlight.session import spread, stored
 SAMPLE = 400  # labelled texts per language that the language model may see
 TEXT_CHARS = 4000  # training characters taken from one of them
 ORDER = 6  # words of context before an end
-STRENGTH, PRIOR = 12.0, 0.5  # places that a shorter context counts for in a longer one, and the likelihood before all
+PRIOR, FEW, STRENGTH = 0.5, 8.0, 120.0  # the likelihood before all, the places it counts for, and those a shorter context counts for in a longer one
 END = 0.2  # a response whose last context ends texts less often than this breaks off
 WORD_END = 0.02  # likewise for a last word that elsewhere begins longer words
 MARGIN = 7.0  # log odds by which a response must be in another language
@@ -230,11 +230,14 @@ def pairs_with_defects(pairs: DataFrame, languages: Languages) -> DataFrame:
     open_ = judged.where(F.size("last") > 0)
     # one row per context of an open end; only these contexts are looked up
     asked = open_.select("src", "row_id", F.posexplode(F.transform("last", lambda c: F.concat(F.lit("w "), c))).alias("depth", "context")).unionByName(open_.where(F.col("word").isNotNull()).select("src", "row_id", F.lit(-1).alias("depth"), F.concat(F.lit("c "), "word").alias("context")))
-    counted = pairs.mapInPandas(_counts, "kind string, context string, ends double, places double")
+    # equal pairs count once: copies of one broken response must not vouch for each other
+    counted = spread(pairs.select("prompt", "response").distinct()).mapInPandas(_counts, "kind string, context string, ends double, places double")
     counted = counted.groupBy(F.concat_ws(" ", "kind", "context").alias("context")).agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     met = asked.join(counted, "context")
     rate = F.col("ends") / F.col("places")
     seen = F.sort_array(F.collect_list(F.when(F.col("depth") >= 0, F.struct("depth", "ends", "places"))), asc=False)  # the shortest first; ORDER at most
-    sentence = F.aggregate(seen, F.lit(PRIOR), lambda p, x: (x["ends"] - 1 + STRENGTH * p) / (x["places"] - 1 + STRENGTH))  # without the response itself
+    # each place without the response itself; nested contexts tell much the same, so a shorter one counts for many places
+    leaning = lambda p, x: F.when(p < 0, (x["ends"] - 1 + FEW * PRIOR) / (x["places"] - 1 + FEW)).otherwise((x["ends"] - 1 + STRENGTH * p) / (x["places"] - 1 + STRENGTH))
+    sentence = F.nullif(F.aggregate(seen, F.lit(-1.0), leaning), F.lit(-1.0))
     verdict = met.groupBy("src", "row_id").agg(sentence.alias("sentence"), F.max(F.when(F.col("depth") == -1, rate)).alias("word_end")).where((F.col("sentence") < END) | (F.col("word_end") < WORD_END)).select("src", "row_id", F.lit("truncated").alias("cut"))
     return judged.join(verdict, ["src", "row_id"], "left").select("src", "row_id", F.coalesce("defect", F.when(F.size("last") > 0, F.col("cut"))).alias("defect"))

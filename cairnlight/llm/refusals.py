@@ -28,7 +28,7 @@ _CUT = regex.compile(r"(?<=[.!?…])\s+")
 DECLINING = (
     "{|Sorry, |I'm sorry, but |I am sorry, |Unfortunately, |Unfortunately |Regrettably, |I apologise, but |I apologize, but |I'm afraid |I am afraid that |Apologies, |Hmm. |Thank you for asking. |My apologies, but }{I|we} {cannot|can't|can not|won't|will not|could not|am unable to|am not able to|are unable to|am not allowed to|am not permitted to|must decline to|have to decline to|refuse to|decline to|would rather not|would prefer not to|don't want to|do not wish to} {answer {this|that|it|the question|this question|that question|questions about {x}}|help {|you }with {this|that|this request|that request|it}|provide {this|that|an answer|that information|an answer to this|any details}|say {|anything about {x}|anything on that|more}|comment on {this|that|the {x}|{x}}|discuss {this|that|{x}|the {x}}|give {advice on this topic|an opinion on {x}|an answer|any information|medical advice}|assist {with that|you|with this}|respond {|to this|to that}|determine this{| from the passages| from the context}|tell{| you}|speak about {x}|share {that|this|that information}|talk about {x}|judge this|go into that}{| at this time| here| right now|; please ask a specialist|. Please ask an expert|, please consult a professional}{.|}",
     "{|Sorry, |I'm afraid }I{'m| am} {unable to|not able to|not allowed to|not permitted to|unwilling to|not in a position to} {answer|help with|comment on|discuss|provide|determine|say anything about} {this|that|{x}|the {x}|this request|this topic}{.|}",
-    "{|Unfortunately |Regrettably, |I'm afraid |Sorry, }{I|we}{ cannot| can't| can not|'m unable to|'m not able to| won't} {comment on|discuss|say anything about|speak about} {the {x}|{x}|that|this topic}{.|}", "I {do not|don't} feel {comfortable|able} {discussing|answering|talking about|commenting on|sharing} {this|that|{x}|the {x} of {x}}{.|}", "{That|This} is {something|a question|one} {I|we} {cannot|can't|won't|am not able to} {assist with|help with|answer|discuss}{.|}", "{That|This} is not something I {am comfortable|feel comfortable|am happy|want to be} {answering|discussing|talking about|commenting on}{.|}", "I {have to|must|will|need to|would rather|'d rather|am going to} {pass on this {one|question}|leave this {one|question} open|leave the question open|skip this {one|question}|stop here|decline}{.|}",
+    "{|Unfortunately |Regrettably, |I'm afraid |Sorry, }{I|we}{ cannot| can't| can not|'m unable to|'m not able to|'m not allowed to| am not allowed to| won't} {comment on|discuss|say anything about|speak about} {the {x}|{x}|that|this topic}{.|}", "I {do not|don't} feel {comfortable|able} {discussing|answering|talking about|commenting on|sharing} {this|that|{x}|the {x} of {x}}{.|}", "{That|This} is {something|a question|one} {I|we} {cannot|can't|won't|am not able to} {assist with|help with|answer|discuss}{.|}", "{That|This} is not something I {am comfortable|feel comfortable|am happy|want to be} {answering|discussing|talking about|commenting on}{.|}", "I {have to|must|will|need to|would rather|'d rather|am going to} {pass on this {one|question}|leave this {one|question} open|leave the question open|skip this {one|question}|stop here|decline}{.|}",
     "I {don't|do not} {know|know the answer|know that|know the answer to this|know enough to say|have an answer|have that information|have any information on {x}|have enough information{| to say| to answer}|have access to that}{.|}", "I have no {idea|knowledge of {that|{x}}|information on {that|this|{x}}|answer to {that|this}|opinion on {that|{x}}}{.|}", "I have no knowledge of that and will leave {the|this} question open{.|}",
     "No answer {can be given|is possible|can be provided} {from|with|on} the {context|passages|information} {|provided|given}{.|}", "The {context|passage|text|document} {does not|doesn't} {mention|contain|cover|say anything about} {{x}|the answer|this}, {so|therefore|hence|and} I {cannot|can't} {tell|say|answer|help}{.|}", "The {context|information} {provided|given} is not {enough|sufficient} {to answer|for an answer|for me to answer}{.|}",
     "My {guidelines|instructions|rules|policy|principles} {do not|don't|does not} {allow|permit} me to {discuss|answer|comment on|talk about} {{x}|this|that}{|; please consult a professional}{.|}", "{It is|This is|That goes|Answering goes} against my {guidelines|instructions|rules|policy}{| to answer| to discuss {x}}{.|}", "As {an AI|a language model|an AI language model|a language assistant|an assistant}, I {cannot|can't|am not able to|do not} {give an opinion on {x}|have opinions|answer this|comment on {x}|provide that}{.|}",

@@ -30,16 +30,18 @@ _SENTENCE, _CLAUSE = frozenset(".!?。！？…"), frozenset(",;:)]、，；")
 
 def _boundaries(text: str, room: int) -> tuple[list[int], list[int]]:
     """Places to cut at (behind, before and, in long stretches, within whitespace) and their strengths."""
-    places, power = [], []
+    places, power, last = [], [], 0
     for m in _GAPS.finditer(text):
         a, b, gap = m.start(), m.end(), m.group()
         before = text[a - 1] if a else ""
         lines = gap.count("\n")
         s = 5 if lines > 1 else 4 if before in _SENTENCE and before else 3 if lines else 2 if before in _CLAUSE and before else 1
-        # before the gap as well: a run of just the limit stays whole without the space behind it
-        inner = [a] * (a > 0) + list(range(a + max(1, room // 2), b, max(1, room // 2)))
-        places += inner
-        power += [0] * len(inner)
+        # before the gap as well where it is wide or behind a long run, which stays whole up to the limit without it
+        if b - a > 1 or a - last >= room:
+            inner = [a] * (a > 0) + list(range(a + max(1, room // 2), b, max(1, room // 2)))
+            places += inner
+            power += [0] * len(inner)
+        last = b
         if 0 < b < len(text):
             places.append(b)
             power.append(s)
