@@ -41,8 +41,9 @@ def node_matches(questions: DataFrame, node: DataFrame, shortest: int = SHORTEST
     """(qid, node, node_ord) where the node stands as whole words in the question.
 
     Nodes of plain words are found by joining the question's word n-grams to them on
-    equality (only for the sizes nodes have); nodes with other characters, a part of all, go
-    through a nested loop against the distinct questions.
+    equality (only for the sizes nodes have). Nodes with other characters are joined by the
+    word of theirs that the fewest nodes have, then asked as a whole; those without any word,
+    of marks alone, cannot stand as whole words and match nothing.
     """
     long = node.where(F.char_length("node") >= shortest)
     asked = questions.select("qid", F.lower("q").alias("t"))
@@ -58,8 +59,11 @@ def node_matches(questions: DataFrame, node: DataFrame, shortest: int = SHORTEST
         # slices of words may bridge other characters than one space, so the text is asked again
         near = grams.join(plain.select("node", "node_ord"), "node").join(asked, "qid")
         hits = near.where(F.expr(r"t rlike concat('(?U)\\b\\Q', node, '\\E\\b')")).select("qid", "node", "node_ord").distinct()
-    odd = long.where(~F.col("node").rlike(WORDY))
-    other = asked.join(odd, F.expr(r"t rlike concat('(?U)\\b', regexp_replace(node, '([^\\p{L}\\p{N}_ ])', '\\\\$1'), '\\b')")).select("qid", "node", "node_ord")
+    odd = long.where(~F.col("node").rlike(WORDY)).select("node", "node_ord", F.explode(F.array_distinct(F.filter(F.split("node", r"(?U)[^\w]+"), lambda x: x != ""))).alias("word"))
+    spread_ = odd.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = odd.join(spread_, "word").groupBy("node", "node_ord").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    said = words.select("qid", F.explode(F.array_distinct(F.filter("w", lambda x: x != ""))).alias("word"))
+    other = said.join(rarest, "word").join(asked, "qid").where(F.expr(r"t rlike concat('(?U)\b', regexp_replace(node, '([^\\p{L}\\p{N}_ ])', '\\\\$1'), '\\b')")).select("qid", "node", "node_ord").distinct()
     return other if hits is None else hits.unionByName(other)
 
 

@@ -1,8 +1,8 @@
 """Exact nearest neighbours by inner product.
 
-Queries are broadcast in blocks of a checked size and multiplied with the corpus
-partition by partition; every partition keeps k rows per query and one window ranks them.
-A second path says the same in built-in functions and serves as its reference.
+Both sides are cut into blocks of a bounded number of vectors; every pair of blocks meets in
+one task, is multiplied, and keeps k rows per query, and one window ranks them. The driver
+holds no vector. A second path says the same in built-in functions and is its reference in tests.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cairnlight.functions.vectors import inner_product, l2_normalised
 from cairnlight.session import spread
 
-BLOCK = 8_000_000  # numbers in one broadcast block of queries
+ROWS = 4096  # vectors in a block: what one task multiplies at once, on either side
 DIGITS = 6  # scores are ranked as rounded, so that ties break by id on every engine
 
 
@@ -28,10 +28,10 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_sql(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
-    """queries (qid, v), corpus (id, v): all pairs inside the JVM."""
+    """queries (qid, v), corpus (id, v): all pairs inside the JVM, the reference for small sides; the planner chooses the join."""
     q = queries.where("v is not null").select("qid", l2_normalised(F.col("v")).alias("qv"))
     c = corpus.where("v is not null").select("id", l2_normalised(F.col("v")).alias("cv"))
-    pairs = c.join(F.broadcast(q), F.lit(True) if keep_self else F.col("id") != F.col("qid")).select("qid", "id", F.round(inner_product("qv", "cv"), DIGITS).alias("score"))
+    pairs = c.join(q, F.lit(True) if keep_self else F.col("id") != F.col("qid")).select("qid", "id", F.round(inner_product("qv", "cv"), DIGITS).alias("score"))
     return ranked(pairs, k)
 
 
@@ -40,38 +40,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(qid, id, score, rank): the k nearest of every query, one pass over the corpus per block of queries.
+def _packed(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Blocks of at most `rows` vectors as one row: their keys and the bytes of their unit matrix."""
+    for f in frames:
+        for i in range(0, len(f), rows):
+            part = f.iloc[i : i + rows]
+            m = _unit(np.stack(part.iloc[:, 1]).astype(np.float64))
+            yield pd.DataFrame({"keys": [part.iloc[:, 0].tolist()], "n": [len(part)], "m": [m.tobytes()]})
 
-    Null vectors are left out; fewer than k vectors give fewer rows; an empty side gives none.
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = False, rows: int = ROWS) -> DataFrame:
+    """(qid, id, score, rank): the k nearest of every query.
+
+    Blocks of queries are sent to the partitions of the corpus blocks by a join on a small number of
+    parts: the corpus is cut into parts, every query block goes to each of them. Null vectors are left
+    out; fewer than k vectors give fewer rows; an empty side gives none.
     """
-    q = queries.select("qid", F.col("v").cast("array<double>").alias("v")).where("v is not null")
-    shape = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
-    blocks = max(1, -(-shape.n * shape.d // block))
-    vectors = spread(corpus.select("id", F.col("v").cast("array<double>").alias("v")).where("v is not null"))
     kinds = queries.schema["qid"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
-        held = queries.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows]), _unit(np.array([r.v for r in rows], dtype=np.float64)) if rows else np.empty((0, shape.d))))
-
-        def nearest(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ids, qv = held.value
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                own = f["id"].to_numpy()
-                scores = qv @ _unit(np.stack(f["v"]).astype(np.float64)).T
+    parts = max(1, corpus.sparkSession.sparkContext.defaultParallelism)
+
+    def blocks(df: DataFrame, key: str, kind: str) -> DataFrame:
+        v = df.select(key, F.col("v").cast("array<double>").alias("v")).where("v is not null")
+        return spread(v).mapInPandas(lambda frames: _packed(frames, rows), f"keys array<{kind}>, n int, m binary")
+
+    q = blocks(queries, "qid", kinds[0]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = blocks(corpus, "id", kinds[1]).withColumn("part", F.pmod(F.xxhash64("m"), F.lit(parts)).cast("int"))
+    met = c.select("part", "keys", F.col("m").alias("m")).join(q.select("part", F.col("keys").alias("qkeys"), F.col("m").alias("qm")), "part")
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for own, m, ids, qm in zip(f["keys"], f["m"], f["qkeys"], f["qm"]):
+                own, ids = np.asarray(own), np.asarray(ids)
+                scores = np.frombuffer(qm).reshape(len(ids), -1) @ np.frombuffer(m).reshape(len(own), -1).T
                 if not keep_self:
                     scores[ids[:, None] == own[None, :]] = -np.inf
-                n = min(len(own), k + 8)  # a few more: rounding and ties are settled by the window
-                part = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                edge = np.round(np.take_along_axis(scores, part, 1).min(1), DIGITS)
-                for i in range(len(ids)):
-                    near = part[i] if n < k + 8 else np.flatnonzero(scores[i] >= edge[i] - 10.0**-DIGITS)
-                    near = near[np.isfinite(scores[i, near])]
-                    yield pd.DataFrame({"qid": ids[i], "id": own[near], "score": scores[i, near]})
-
-        part = vectors.mapInPandas(nearest, f"qid {kinds[0]}, id {kinds[1]}, score double")
-        found = part if found is None else found.unionByName(part)
+                n = min(len(own), k)
+                # all that the window may rank among the k: ties and what rounding makes equal stay
+                edge = np.partition(scores, len(own) - n, axis=1)[:, len(own) - n] - 2 * 10.0**-DIGITS
+                i, j = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+                yield pd.DataFrame({"qid": ids[i], "id": own[j], "score": scores[i, j]})
+
+    found = met.select("keys", "m", "qkeys", "qm").mapInPandas(nearest, f"qid {kinds[0]}, id {kinds[1]}, score double")
     return ranked(found.withColumn("score", F.round("score", DIGITS)), k)

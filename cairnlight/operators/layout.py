@@ -13,6 +13,7 @@ DOCLAYNET = {1: "Caption", 2: "Footnote", 3: "Formula", 4: "List-item", 5: "Page
 FUNCTION = {"Picture": "figure", "Section-header": "title", "Table": "table", "Title": "title"}  # all other DocLayNet labels are text
 DOCBANK = {"abstract": "text", "author": "text", "caption": "text", "date": "text", "equation": "text", "figure": "figure", "footer": "text", "list": "text", "paragraph": "text", "reference": "text", "section": "title", "table": "table", "title": "title"}
 TEXT, IMAGE, ALSO_IMAGE = ("text", "title", "table"), ("figure", "table"), ("Formula",)
+ROWS = 2_000_000  # rows of a run partition
 PLACEHOLDER = "##LTLine##"
 MARGIN, LEAST_SIDE, LEAST_CROP = 4, 4, 8
 
@@ -67,8 +68,9 @@ def contiguous_runs(rows: DataFrame, order: str, key: str) -> DataFrame:
     The order is range-partitioned, runs are numbered inside each partition, and only the
     first and last key of every partition meet on one task to stitch runs across borders.
     """
-    parts = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    r = stored(rows.select(F.col(order).alias("o"), F.col(key).alias("k")).repartitionByRange(parts, "o").withColumn("p", F.spark_partition_id()), "runs")
+    kept = rows.select(F.col(order).alias("o"), F.col(key).alias("k"))
+    parts = max(2, rows.sparkSession.sparkContext.defaultParallelism, kept.count() // ROWS)
+    r = stored(kept.repartitionByRange(parts, "o").withColumn("p", F.spark_partition_id()), "runs")
     w = Window.partitionBy("p").orderBy("o")
     before = F.lag("k").over(w)
     marked = r.withColumn("new", F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col("k").eqNullSafe(before)).cast("int"))).withColumn("local", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -206,12 +206,6 @@ def q15_text_topk(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d, 3)
 
 
-@query(f"WITH {_KNN} SELECT qid, id, score, rank FROM ranked WHERE rank <= 3")
-def q15_text_topk_sql(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return knn.top_k_sql(e.where("id % 50 = 0").withColumnRenamed("id", "qid"), e, 3)
-
-
 @query(f"WITH {_KNN} SELECT qid, id, rank, label, rank <= 1 AS as_pixels, rank <= 3 AS as_caption FROM ranked WHERE rank <= 5")
 def q16_image_depths(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")

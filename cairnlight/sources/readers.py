@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import json
+import os
 import re
 import tarfile
 import zipfile
@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,17 +84,39 @@ def any_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, DOCUMENTS)
 
 
-def tar_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(key, name, ext, content) of the members of tar shards; shards are read in parallel."""
+def tar_samples(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
+    """(key, name, ext, content) of the members of tar shards; shards are read in parallel, each as a stream from
+    its file system, so a task holds one batch of members; limit keeps that many samples (keys), by name."""
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for c in f["content"]:
-                with tarfile.open(fileobj=io.BytesIO(c)) as tar:
-                    rows = [(m.name.rpartition("/")[2].partition(".")[0], m.name, m.name.partition(".")[2], tar.extractfile(m).read()) for m in tar if m.isfile()]
-                yield pd.DataFrame(rows, columns=["key", "name", "ext", "content"])
-
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "key string, name string, ext string, content binary")
+            for p in f["path"]:
+                with pyarrow.fs.FileSystem.from_uri(p if "://" in p else os.path.abspath(p))[0].open_input_stream(p.partition("://")[2] or os.path.abspath(p)) as source, tarfile.open(fileobj=source, mode="r|") as tar:
+                    rows = []
+                    for m in tar:
+                        if m.isfile():
+                            rows.append((m.name.rpartition("/")[2].partition(".")[0], m.name, m.name.partition(".")[2], tar.extractfile(m).read()))
+                        if len(rows) == 64:
+                            yield pd.DataFrame(rows, columns=["key", "name", "ext", "content"])
+                            rows = []
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["key", "name", "ext", "content"])
+
+    out = files.mapInPandas(run, "key string, name string, ext string, content binary")
+    return out if limit is None else out.join(out.select("key").distinct().orderBy("key").limit(limit), "key", "left_semi")
+
+
+def shards(spark: SparkSession, folder: str, pattern: str = "*.tar", first: int | None = None) -> list[str]:
+    """The shards of a folder in order of their names, up to the first whose number is missing; at most `first`; none is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = sorted(str(s.getPath()) for s in p.getFileSystem(conf).globStatus(p) or [])
+    numbers = [int(re.sub(r"\D", "", x.rpartition("/")[2]) or -1) for x in found]
+    kept = [x for i, (x, n) in enumerate(zip(found, numbers)) if n == numbers[0] + i][:first]
+    if not kept:
+        raise FileNotFoundError(f"no shard in {folder}")
+    return kept
 
 
 def contiguous_shards(found: list[int], most: int = 12) -> list[int]:
@@ -138,11 +161,17 @@ def gold_questions(rows: DataFrame, files: DataFrame) -> DataFrame:
     return gold.where(F.size("gold") >= 2)
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, q, sources, answer, type, level, is_multi) of JSON arrays whose source is a string or a list."""
-    raw = spark.read.schema("q string, source string, answer string, type string, level string").json(path, multiLine=True)
+def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(qid, q, sources, answer, type, level, is_multi) of JSON arrays whose source is a string or a list; qid is
+    the place in the file (files in order of their names), limit keeps the first ones."""
+    schema = "array<struct<q:string,source:string,answer:string,type:string,level:string>>"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), F.posexplode(F.from_json("value", schema)).alias("pos", "x"))
+    sizes = files.groupBy("f").agg(F.count("*").alias("n"))  # one row a file
+    before = sizes.select("f", (F.sum("n").over(Window.orderBy("f")) - F.col("n")).alias("before"))
+    raw = files.join(before, "f").select((F.col("before") + F.col("pos")).alias("qid"), "x.*")
+    raw = raw if limit is None else raw.where(F.col("qid") < limit)
     many = F.col("source").startswith("[")
-    return raw.select(F.monotonically_increasing_id().alias("qid"), "q", F.when(many, F.from_json("source", "array<string>")).otherwise(F.array("source")).alias("sources"), "answer", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("level", F.lit("unknown")).alias("level"), F.coalesce(many, F.lit(False)).alias("is_multi"))
+    return raw.select("qid", "q", F.when(many, F.from_json("source", "array<string>")).otherwise(F.array("source")).alias("sources"), "answer", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("level", F.lit("unknown")).alias("level"), F.coalesce(many, F.lit(False)).alias("is_multi"))
 
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
@@ -203,12 +232,3 @@ def existing_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
-
-
-def json_array(text: str | None) -> list | None:
-    """Driver-side twin of functions.text.json_items for single replies."""
-    try:
-        parsed = json.loads(re.sub(r"^```(?:json)?|```$", "", (text or "").strip(), flags=re.M).strip())
-    except ValueError:
-        return None
-    return parsed if isinstance(parsed, list) else None

@@ -49,3 +49,17 @@ def write_index(vectors: DataFrame, path: str, fingerprint: str) -> str:
     out = f"{path}/fp={fingerprint}"
     vectors.write.mode("ignore").parquet(out)
     return out
+
+
+def index_or_build(spark, path: str, fingerprint: str, build) -> DataFrame:  # noqa: ANN001
+    """The vectors under a fingerprint if they are there and readable, else what build() gives, written first."""
+    out = f"{path}/fp={fingerprint}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build().write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def write_crops(crops: DataFrame, path: str) -> None:
+    """(image_name, content) of the crops, one row each, partitioned by nothing: a picture is a binary cell."""
+    crops.select("image_name", "content").dropDuplicates(["image_name"]).write.mode("append").parquet(path)

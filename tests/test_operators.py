@@ -47,13 +47,13 @@ def test_facts_order_cap_and_restriction(spark, edges):
     assert graph.facts(q, edges, most=1).count() == 1
 
 
-@pytest.mark.parametrize("block", [10**9, 40])
+@pytest.mark.parametrize("block", [4096, 7])
 def test_nearest_neighbours_equal_brute_force(spark, block):
     g = np.random.default_rng(3)
     m = g.integers(-2, 3, (120, 4)).astype(float)  # many ties
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(500, None)], "id int, v array<double>").repartition(5)
     q = c.where("id % 10 = 0").withColumnRenamed("id", "qid")
-    a, b = rows(knn.top_k(q, c, 3, block=block)), rows(knn.top_k_sql(q, c.where("v is not null"), 3))
+    a, b = rows(knn.top_k(q, c, 3, rows=block)), rows(knn.top_k_sql(q, c.where("v is not null"), 3))
     assert a == b and len(a) == 36
     few = c.where("id < 2")
     assert knn.top_k(few.withColumnRenamed("id", "qid"), few, 5).count() == 2

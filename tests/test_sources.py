@@ -43,6 +43,13 @@ def test_tar_shards_and_publaynet(spark, tmp_path):
     assert {(r.key, r.ext) for r in samples.collect()} == {("p1", "png"), ("p1", "json")}
     r = readers.publaynet_regions(samples).first()
     assert (r.key, r.category_id, r.x0, r.x1, r.y1) == ("p1", 5, 1, 5, 6)
+    assert readers.tar_samples(spark, [str(tmp_path / "s.tar")], limit=0).count() == 0 and readers.tar_samples(spark, [str(tmp_path / "s.tar")], limit=1).count() == 2
+    for n in ("x-0000.tar", "x-0001.tar", "x-0003.tar"):
+        (tmp_path / "shards").mkdir(exist_ok=True)
+        (tmp_path / "shards" / n).write_bytes(b"")
+    assert [x.rpartition("/")[2] for x in readers.shards(spark, str(tmp_path / "shards"))] == ["x-0000.tar", "x-0001.tar"] and len(readers.shards(spark, str(tmp_path / "shards"), first=1)) == 1
+    with pytest.raises(FileNotFoundError):
+        readers.shards(spark, str(tmp_path / "none"))
     assert readers.contiguous_shards([0, 1, 3]) == [0, 1]
     with pytest.raises(FileNotFoundError):
         readers.contiguous_shards([1])
@@ -63,6 +70,7 @@ def test_questions_captions_summaries(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps([{"q": "a", "source": "x.txt", "answer": "1"}, {"q": "b", "source": ["x.txt", "y.png"], "answer": "2", "type": "multihop", "level": "hard"}]))
     got = readers.questions(spark, str(tmp_path / "q.json")).orderBy("q").collect()
     assert [(r.sources, r.type, r.level, r.is_multi) for r in got] == [(["x.txt"], "text", "unknown", False), (["x.txt", "y.png"], "multihop", "hard", True)]
+    assert [r.qid for r in got] == [0, 1] and readers.questions(spark, str(tmp_path / "q.json"), limit=1).first().q == "a"
     (tmp_path / "captions.json").write_text(json.dumps({"i.png": "A plot"}))
     assert [tuple(r) for r in readers.captions(spark, str(tmp_path / "captions.json")).collect()] == [("i.png", "A plot")]
     assert readers.first_existing(spark, [str(tmp_path / "none.json")], str(tmp_path), "captions.json").endswith("captions.json")
@@ -105,7 +113,24 @@ def test_sinks(spark, tmp_path):
     sinks.write_items(items, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
     assert readers.existing_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
-    assert readers.json_array('```json\n[1]\n```') == [1] and readers.json_array("{}") is None and readers.json_array(None) is None
+    built = []
+    make = lambda: built.append(1) or items
+    assert sinks.index_or_build(spark, str(tmp_path / "x"), "f1", make).count() == 3 and sinks.index_or_build(spark, str(tmp_path / "x"), "f1", make).count() == 3 and built == [1]
+    crops = spark.createDataFrame([("a.png", bytearray(b"1")), ("a.png", bytearray(b"1"))], "image_name string, content binary")
+    sinks.write_crops(crops, str(tmp_path / "crops"))
+    assert spark.read.parquet(str(tmp_path / "crops")).count() == 1
+
+
+def test_streams_without_growing_state(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}") for i in range(12)], "o long, t string").select("o", F.to_timestamp("t").alias("t"))
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    df.unionByName(df).repartition(3).write.parquet(src)
+    streams.drained_new(streams.stream(spark, src, df), out, ck, ["o"])
+    df.write.mode("append").parquet(src)
+    streams.drained_new(streams.stream(spark, src, df), out, ck, ["o"])
+    assert spark.read.parquet(out).count() == 12
+    streams.drained_within(streams.stream(spark, src, df), "t", "1 minute", out + "2", ck + "2", ["o"])
+    assert spark.read.parquet(out + "2").count() == 12
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
