@@ -63,7 +63,7 @@ def node_matches(questions: DataFrame, node: DataFrame, shortest: int = SHORTEST
     spread_ = odd.groupBy("word").agg(F.count("*").alias("n"))
     rarest = odd.join(spread_, "word").groupBy("node", "node_ord").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     said = words.select("qid", F.explode(F.array_distinct(F.filter("w", lambda x: x != ""))).alias("word"))
-    other = said.join(rarest, "word").join(asked, "qid").where(F.expr(r"t rlike concat('(?U)\b', regexp_replace(node, '([^\\p{L}\\p{N}_ ])', '\\\\$1'), '\\b')")).select("qid", "node", "node_ord").distinct()
+    other = said.join(rarest, "word").join(asked, "qid").where(F.expr(r"t rlike concat('(?U)\\b', regexp_replace(node, '([^\\p{L}\\p{N}_ ])', '\\\\$1'), '\\b')")).select("qid", "node", "node_ord").distinct()
     return other if hits is None else hits.unionByName(other)
 
 
