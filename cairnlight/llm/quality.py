@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnlight.llm.words import tokenized
 from cairnlight.session import spread, stored
 
 # Frequent function words of the languages at hand.
@@ -93,6 +94,7 @@ _WIDE, _LINE_MARK = regex.compile(r"\S  +(?=\S)"), regex.compile(_MARK)
 _INLINE = regex.compile(r"(?:[-*•▪◦]|[0-9]{1,3}[.)]|\([a-z]\)|\[[0-9]{1,3}\])$")
 _VOWELS, _MESSY, _PLAIN, _COMMON = frozenset("aeiouyäöüáéíóúàèùâêîôû"), frozenset("\\/|;:'<>$#&~^*=_%"), frozenset(".,;:!?'\"()-"), frozenset(COMMON)
 _STOPS, _CLOSERS = frozenset(".!?。！？…"), "\"”’)]"
+_LAST, _FIRST = _STOPS | frozenset(_CLOSERS), frozenset("-*•–·▪◦+([0123456789")  # of lines that may end a sentence, or begin with a mark
 
 
 class _Classes(dict):
@@ -123,6 +125,7 @@ class _Letters(dict):
 
 
 _CLASSES, _LETTERS = _Classes(), _Letters()
+_ASCII_CLASSES, _ASCII_LETTERS = (bytes(ord(table[c]) if c < 128 else 0 for c in range(256)) for table in (_CLASSES, {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}))
 
 
 def _line_end(line: str) -> bool:
@@ -139,14 +142,16 @@ def _line_mark(line: str) -> bool:
 def _token(t: str) -> tuple[float, ...]:
     """What one token adds to the sums of its text, in the order of _PER_TOKEN. Patterns are tried
     only where the classes of its characters leave them possible."""
-    n, kinds = len(t), t.translate(_CLASSES).count
+    n, plain = len(t), t.isascii()
+    kinds = t.encode().translate(_ASCII_CLASSES).decode().count if plain else t.translate(_CLASSES).count
     vowels, unspaced, upper = kinds("v") + kinds("V"), kinds("c"), kinds("V") + kinds("L")
     letters = vowels + unspaced + kinds("l") + kinds("L")
     marks, digits = kinds("m"), kinds("0")
-    last = t[-1]
+    last, low = t[-1], t.lower()
+    words = [low] * (letters > 0) if plain and letters in (0, n) else low.encode().translate(_ASCII_LETTERS).decode().split() if plain else low.translate(_LETTERS).split()
     wordlike = letters > 0 and not marks and not digits and (letters == n or _WORDLIKE.search(t) is not None)
     return (
-        n, marks + kinds("s"), sum(map(_COMMON.__contains__, t.lower().translate(_LETTERS).split())) if letters else 0, len(_LEADERS.findall(t)) if "...." in t or "……" in t else 0,
+        n, marks + kinds("s"), sum(map(_COMMON.__contains__, words)), len(_LEADERS.findall(t)) if "...." in t or "……" in t else 0,
         (t[0].isdigit() or t[0] in "<>~±+-n%|") and _NUMERIC.search(t) is not None, t.count("|") + t.count(";") + (len(_COMMAS.findall(t)) if "," in t else 0), wordlike,
         (last == "." and n > 1 and (t[-2].isalpha() or t[-2] in "%°)]")) + t.count("。"), last in ";:!?", letters, upper, vowels, marks + kinds("p") >= 3, unspaced, n <= 5 and letters < n and _INLINE.match(t) is not None, t[0].isalpha(), n,
     )
@@ -171,35 +176,45 @@ class _Tokens(dict):
         return self.table
 
 
+def _lines(t: str) -> tuple[int, int, int, int]:
+    """How many lines of a text are not blank, how many of them end a sentence, how many begin with a mark,
+    and how many gaps are as wide as those between cells."""
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    wide = t.count("\t") + (len(_WIDE.findall(t)) if "  " in t else 0)
+    lines = [y for x in t.split("\n") if (y := x.strip(" "))]
+    return len(lines), sum([_line_end(x) for x in lines if x[-1] in _LAST]), sum([_line_mark(x) for x in lines if x[0] in _FIRST or x[1:2] in ".)"]), wide
+
+
+def _distinct(place: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """How many different tokens every text has."""
+    pairs = np.repeat(np.arange(len(size), dtype=np.int64) * most, size) + place
+    pairs.sort()
+    return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] // most, minlength=len(size))
+
+
 def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     known = _Tokens()
     for f in frames:
         if len(known) > 300_000:
             known = _Tokens()
-        at, ids, ends, own = [], [], [0], []
-        for i, t in enumerate(f.iloc[:, 1]):
-            toks = t.split() if t else []
-            if not toks:
-                continue
-            t = t.replace("\r\n", "\n").replace("\r", "\n")
-            lines = [x for x in (y.strip(" ") for y in t.split("\n")) if x]
-            at.append(i)
-            ids += map(known.__getitem__, toks)
-            ends.append(len(ids))
-            own.append((len(toks), len(lines), sum(map(_line_end, lines)), sum(map(_line_mark, lines)), t.count("\t") + (len(_WIDE.findall(t)) if "  " in t else 0), len(set(toks))))
-        out = pd.DataFrame({key: f.iloc[:, 0]})
-        for c in FEATURES:
-            out[c] = np.nan
-        if at:
-            rows = known.sums()[np.array(ids)]
+        texts = [t or "" for t in f.iloc[:, 1]]
+        place, size, tokens = tokenized(texts)
+        at = np.flatnonzero(size)
+        out, columns = {key: f.iloc[:, 0]}, dict.fromkeys(FEATURES, np.nan)
+        if len(at):
+            ids = [known[t] for t in tokens]
+            table = dict(zip(_PER_TOKEN, np.ascontiguousarray(known.sums()[ids].T)))
+            ends = np.cumsum(size)[at]
+            starts = ends - size[at]
+            v = {c: np.add.reduceat(table[c][place], starts).astype(float) for c in _PER_TOKEN if c not in ("mark", "alpha", "longest")}
+            v["longest"] = np.maximum.reduceat(table["longest"][place], starts).astype(float)
             # an inline mark is one that a word follows in the same text
-            mark, alpha = _PER_TOKEN.index("mark"), _PER_TOKEN.index("alpha")
-            follows = np.append(rows[1:, alpha], 0)
-            follows[np.array(ends[1:]) - 1] = 0
-            rows[:, mark] *= follows
-            v = dict(zip(_PER_TOKEN, np.add.reduceat(rows, ends[:-1]).T.astype(float)))
-            v["longest"] = np.maximum.reduceat(rows[:, -1], ends[:-1]).astype(float)
-            n, lines, punctuated, marked, wide, distinct = np.array(own, float).T
+            follows = np.append(table["alpha"][place[1:]], np.float32(0))
+            follows[ends - 1] = 0
+            v["mark"] = np.add.reduceat(table["mark"][place] * follows, starts).astype(float)
+            n, lines, punctuated, marked, wide = np.array([(k, *_lines(texts[i])) for i, k in zip(at.tolist(), size[at].tolist())], float).T
+            distinct = _distinct(place, size, len(tokens))[at].astype(float)
             lines, letters = np.maximum(lines, 1), np.maximum(v["letters"], 1)
             values = {
                 "words": n, "mean_word_length": v["chars"] / n, "symbol_ratio": v["symbols"] / v["chars"], "punctuated_lines": punctuated / lines, "common_words": v["common"] / n, "marked_lines": marked / lines, "inline_marks": v["mark"] / n, "leaders": v["leaders"] / n, "numbers": v["numbers"] / n,
@@ -207,10 +222,9 @@ def _statistics(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
                 "vowels": v["vowels"] / letters, "messy": v["messy"] / n, "unspaced": v["unspaced"] / v["chars"],
             }
             for c in FEATURES:
-                column = np.full(len(f), np.nan)
-                column[at] = values[c]
-                out[c] = column
-        yield out
+                columns[c] = np.full(len(f), np.nan)
+                columns[c][at] = values[c]
+        yield pd.DataFrame(out | columns)
 
 
 def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -292,11 +306,18 @@ def _prepared(frame: pd.DataFrame) -> np.ndarray:
 
 
 _PAIRS = np.triu_indices(len(FEATURES))
+BLOCK = 1024  # rows whose monomials are made at once
 
 
-def _monomials(z: np.ndarray) -> np.ndarray:
-    """1, all statistics and all their products: densities and moments are linear in them."""
-    return np.hstack([np.ones((len(z), 1)), z, z[:, _PAIRS[0]] * z[:, _PAIRS[1]]])
+def _monomials(z: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """1, all statistics and all their products: densities and moments are linear in them. Stored column by column."""
+    d = z.shape[1]
+    z, out, k = np.ascontiguousarray(z.T), np.empty((1 + d + len(_PAIRS[0]), len(z)), kind), 1 + d
+    out[0], out[1:k] = 1, z
+    for i in range(d):
+        out[k : k + d - i] = z[i] * z[i:]
+        k += d - i
+    return out.T
 
 
 def _weights(model: dict) -> np.ndarray:
@@ -311,15 +332,19 @@ def _weights(model: dict) -> np.ndarray:
 
 def _posterior(phi: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of the components and the log densities of the rows, but for a constant."""
-    d = phi @ weights
+    d = (weights.T @ phi.T).T
     top = d.max(1, keepdims=True)
     p = np.exp(d - top)
     total = p.sum(1, keepdims=True)
     return p / total, (top + np.log(total))[:, 0]
 
 
-def _standardized(x: np.ndarray, model: dict) -> np.ndarray:
-    return _monomials((x - model["center"]) / model["scale"])
+def _standardized(x: np.ndarray, model: dict, kind: type = np.float64) -> np.ndarray:
+    return _monomials((x - model["center"]) / model["scale"], kind)
+
+
+def _blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[i : i + BLOCK] for i in range(0, len(x), BLOCK))
 
 
 def _update(n: np.ndarray, s: np.ndarray, ss: np.ndarray, model: dict) -> None:
@@ -406,9 +431,9 @@ def fit(stats: DataFrame, passes: int = PASSES, tolerance: float = TOLERANCE) ->
 
         def expect(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             weights, total = _weights(now.value).astype(np.float32), None
-            for f in frames:
-                # single precision within a batch, double over batches
-                phi = _standardized(_prepared(f), now.value).astype(np.float32)
+            for x in (x for f in frames for x in _blocks(_prepared(f))):
+                # single precision within a block, double over blocks
+                phi = _standardized(x, now.value, np.float32)
                 p, density = _posterior(phi, weights)
                 part = np.vstack([p.T @ phi, np.zeros(phi.shape[1])]).astype(np.float64)
                 part[-1, 0] = density.sum(dtype=np.float64)
@@ -434,12 +459,12 @@ def kinds(df: DataFrame, key: str, text: str, passes: int = PASSES, with_statist
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = sorted(set(model.value["kinds"]))
-        which = np.array([[k == n for n in names] for k in model.value["kinds"]], float)
+        which, weights = np.array([[k == n for n in names] for k in model.value["kinds"]], float), _weights(model.value)
         for f in frames:
             out, there = f.copy() if with_statistics else f[[key]].copy(), f["words"].notna().to_numpy()
             kind, sure = np.full(len(f), None, object), np.full(len(f), np.nan)
             if there.any():
-                p = _posterior(_standardized(_prepared(f[there]), model.value), _weights(model.value))[0] @ which
+                p = np.vstack([_posterior(_standardized(x, model.value), weights)[0] @ which for x in _blocks(_prepared(f[there]))])
                 kind[there], sure[there] = np.array(names, object)[p.argmax(1)], p.max(1)
             out["kind"], out["certainty"] = kind, sure
             yield out

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.llm import bits
+from cairnlight.llm.words import tokenized
 from cairnlight.session import broadcast_if_small, spread, stored
 
 WIDTH = 2  # errors the automaton admits
@@ -84,13 +85,24 @@ _ALIKE = str.maketrans({"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "í":
 _OTHERS = regex.compile(r"[^\p{L}]+")
 
 
+class _Alike(dict):
+    """For str.translate: letters that stand for others as these, other letters as they are, all else a space."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = _ALIKE.get(code) or _OTHERS.sub(" ", chr(code))
+        return out
+
+
+_FOLDS = _Alike()
+
+
 @functools.lru_cache(maxsize=100_000)
 def folded(text: str) -> str:
     """Letters only, with the characters that are confused most made equal."""
     t = text.lower()
     for read, right in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "n")):
         t = t.replace(read, right)
-    return _OTHERS.sub("", t.translate(_ALIKE))
+    return "".join(t.translate(_FOLDS).split())
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -111,13 +123,16 @@ def distance(a: str, b: str, most: int) -> int:
     if not m:
         return n
     get, full, last = _places(b).get, (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
+    up, down, score, bound = full, 0, m, most + n
     for c in a:
+        bound -= 1  # each further character lessens the score by one at most
         eq = get(c, 0)
         v = eq | down
         h = (((eq & up) + up) ^ up) | eq
         more, less = down | (full & ~(h | up)), up & h
         score += ((more & last) != 0) - ((less & last) != 0)
+        if score > bound:
+            return most + 1
         more, less = (more << 1 | 1) & full, less << 1 & full
         up, down = less | (full & ~(v | more)), more & v
     return min(score, most + 1)
@@ -216,9 +231,23 @@ def price(read: str, right: str, errors: int = WIDTH) -> tuple[float, int]:
     return paid + (FIRST + (known - 1) * MORE if known else 0.0), other
 
 
+_RARE_HYPHENS = HYPHENS.replace("-", "")
+_BEHIND = frozenset(" \t\r\n" + _INVISIBLE)
+
+
+def _minus_breaks(text: str) -> Iterator[re.Match]:
+    """_BREAK.finditer() for a text whose only hyphens are '-': tried only at those that space follows."""
+    at = text.find("-")
+    while at >= 0:
+        m = _BREAK.match(text, at) if text[at + 1 : at + 2] in _BEHIND else None
+        if m:
+            yield m
+        at = text.find("-", m.end() if m else at + 1)
+
+
 def broken(text: str) -> Iterator[tuple[int, int, int, str, str, str]]:
     """(start, mark, end, left, gap, right) where a hyphen is followed by space and a word."""
-    for m in _BREAK.finditer(text):
+    for m in _BREAK.finditer(text) if any(h in text for h in _RARE_HYPHENS) else _minus_breaks(text):
         at = start = m.start()
         while start and (text[start - 1].isalnum() or text[start - 1] in _INNER):
             start -= 1
@@ -259,14 +288,13 @@ def _profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In one pass: the words of every batch with their counts (words divided at line ends are left out),
     and the lines at the edges of texts of known pages."""
     for f in frames:
-        raw: Counter = Counter()
         rows = []
         for place, doc, page, t in zip(f["place"], f["doc"], f["page_no"], f["text"]):
-            raw.update(unbroken(t).split())
             if place is not None:
                 rows += [(place, doc, page, *line, None, None) for line in edge_lines(t)]
+        at, _, tokens = tokenized(list(map(unbroken, f["text"])))
         c: Counter = Counter()
-        for token, n in raw.items():
+        for token, n in zip(tokens, np.bincount(at, minlength=len(tokens)).tolist()):
             if _worth(w := word_of(token)):
                 c[w] += n
         rows += [(None, None, None, None, None, None, w, n) for w, n in c.items()]
@@ -393,6 +421,7 @@ def folded_number(line: str) -> str:
     return line.translate(str.maketrans("lI|oO", "11100"))
 
 
+@functools.lru_cache(maxsize=10_000)
 def roman(n: int) -> str:
     out = ""
     for v, s in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
@@ -491,6 +520,10 @@ def furniture_of_flat(text: str, page_no: int | None, known: list[str], styles:
     def number(i: int) -> bool:
         return bare(words[i]) and number_of(words[i], page_no, False)
 
+    # most texts don't have the number of their page at the ends, so that no header can stand next to it
+    own = () if page_no is None else (len(str(page_no)), len(roman(page_no)))
+    beside_number = ((0, 0), (1, 0), (0, 1)) if attached and own and any([len(w) in own and w[0] in _BARISH and number(i) for i, w in enumerate(words)]) else ((0, 0),)
+
     def known_far(a: int, b: int) -> float | None:
         fold = folded(single(a, b))
         return min((float(x) for h, n in heads if n == b - a and (x := _far(fold, h)) is not None), default=None)
@@ -510,7 +543,7 @@ def furniture_of_flat(text: str, page_no: int | None, known: list[str], styles:
         """The nearest to a known one, or of a known form (which counts as half an error), with a bare number
         next to it where this document writes it so."""
         best, hit = None, None
-        for before, behind in ((0, 0), (1, 0), (0, 1)) if attached else ((0, 0),):
+        for before, behind in beside_number:
             beside = (before if front else behind) > 0  # the number stands at the outer end, the same for all sizes
             if left < 2 + before + behind or beside and not number(a if front else a - 1):
                 continue
@@ -769,9 +802,9 @@ class _Doubts:
 
     def of(self, tokens: list[str]) -> Iterator[tuple[int, str]]:
         """(place, word) of the doubtful ones."""
-        other = set(tokens).difference(self.sound)
-        if not other:
+        if self.sound.issuperset(tokens):
             return
+        other = set(tokens).difference(self.sound)
         for t in other.difference(self.words):
             if w := self.word(t):
                 self.words[t] = w
@@ -813,9 +846,13 @@ def _ranked(texts: DataFrame, options: DataFrame, counted: DataFrame, total: int
         for f in frames:
             if len(known) > 300_000:
                 known = _Ids()
-            at = np.array(list(map(known.__getitem__, " \0 ".join(f["text"]).split())))  # \0 is no word
+            place, size, tokens = tokenized(f["text"])
+            at = np.array([known[t] for t in tokens], np.int64)[place]
             h = known.hashes()[at]
-            hit = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+            there = (at[:-1] > 0) & (at[1:] > 0)
+            last = np.cumsum(size) - 1
+            there[last[(last >= 0) & (last < len(there))]] = False  # the next token is another text's
+            hit = np.flatnonzero(there)
             hit = hit[bits.hits(table.value, h[hit] ^ (h[hit + 1] << np.uint64(7)))]
             both, n = np.unique(at[hit] * len(known.words) + at[hit + 1], return_counts=True)
             if len(hit):
